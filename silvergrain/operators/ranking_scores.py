@@ -362,15 +362,15 @@ def scaled_boxes(boxes: DataFrame) -> DataFrame:
         return F.greatest(F.lit(least), F.round(F.col(name) * F.col(axis)).cast("int"))
 
     wide, high = F.col("img_width"), F.col("img_height")
-    placed = boxes.withColumns({"bx": scaled("x", "scale_x", 0), "by": scaled("y", "scale_y", 0),
-                                "bw": scaled("w", "scale_x", 1), "bh": scaled("h", "scale_y", 1)})
-    inside = placed.where((F.col("bx") < wide) & (F.col("by") < high))
-    trimmed = inside.withColumns({"bw": F.least(F.col("bw"), wide - F.col("bx")),
-                                  "bh": F.least(F.col("bh"), high - F.col("by"))})
+    placed = boxes.withColumns({"face_x": scaled("x", "scale_x", 0), "face_y": scaled("y", "scale_y", 0),
+                                "face_w": scaled("w", "scale_x", 1), "face_h": scaled("h", "scale_y", 1)})
+    inside = placed.where((F.col("face_x") < wide) & (F.col("face_y") < high))
+    trimmed = inside.withColumns({"face_w": F.least(F.col("face_w"), wide - F.col("face_x")),
+                                  "face_h": F.least(F.col("face_h"), high - F.col("face_y"))})
     return trimmed.withColumns({
-        "area": F.col("bw") * F.col("bh") / (wide.cast("double") * high),
-        "x_norm": F.col("bx") / wide, "y_norm": F.col("by") / high,
-        "w_norm": F.col("bw") / wide, "h_norm": F.col("bh") / high})
+        "area": F.col("face_w") * F.col("face_h") / (wide.cast("double") * high),
+        "x_norm": F.col("face_x") / wide, "y_norm": F.col("face_y") / high,
+        "w_norm": F.col("face_w") / wide, "h_norm": F.col("face_h") / high})
 
 
 def padded_boxes(boxes: DataFrame, pad: float = 0.28) -> DataFrame:

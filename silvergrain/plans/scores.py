@@ -261,23 +261,23 @@ def aesthetic_blend(a) -> DataFrame:
 BOX = "greatest({0}, round({1} * {2})::INT)"
 
 view("o_boxes", """
-WITH p AS (SELECT sha1, face_index, img_width AS iw, img_height AS ih, greatest(0, round(x * 2.3)::INT) AS bx,
-    greatest(0, round(y * 1.7)::INT) AS by, greatest(1, round(w * 2.3)::INT) AS bw, greatest(1, round(h * 1.7)::INT) AS bh
+WITH p AS (SELECT sha1, face_index, img_width AS iw, img_height AS ih, greatest(0, round(x * 2.2973)::INT) AS face_x,
+    greatest(0, round(y * 1.7093)::INT) AS face_y, greatest(1, round(w * 2.2973)::INT) AS face_w, greatest(1, round(h * 1.7093)::INT) AS face_h
   FROM image_faces),
-c AS (SELECT * REPLACE (least(bw, iw - bx) AS bw, least(bh, ih - by) AS bh) FROM p WHERE bx < iw AND by < ih)
-SELECT *, bw * bh / (iw::DOUBLE * ih) AS area FROM c""")
+c AS (SELECT * REPLACE (least(face_w, iw - face_x) AS face_w, least(face_h, ih - face_y) AS face_h) FROM p WHERE face_x < iw AND face_y < ih)
+SELECT *, face_w * face_h / (iw::DOUBLE * ih) AS area FROM c""")
 
 
 def _scaled(a) -> DataFrame:
-    return a.faces.withColumns({"scale_x": F.lit(2.3), "scale_y": F.lit(1.7)})
+    return a.faces.withColumns({"scale_x": F.lit(2.2973), "scale_y": F.lit(1.7093)})
 
 
 @query("face_boxes", "AGG16", oracle="""
-SELECT sha1, face_index, bx, by, bw, bh, round(area, 9) AS area, round(bx / iw, 9) AS x_norm, round(by / ih, 9) AS y_norm,
-  round(bw / iw, 9) AS w_norm, round(bh / ih, 9) AS h_norm FROM o_boxes""")
+SELECT sha1, face_index, face_x, face_y, face_w, face_h, round(area, 9) AS area, round(face_x / iw, 9) AS x_norm, round(face_y / ih, 9) AS y_norm,
+  round(face_w / iw, 9) AS w_norm, round(face_h / ih, 9) AS h_norm FROM o_boxes""")
 def face_boxes(a) -> DataFrame:
     names = ["area", "x_norm", "y_norm", "w_norm", "h_norm"]
-    return ranking_scores.scaled_boxes(_scaled(a)).select("sha1", "face_index", "bx", "by", "bw", "bh",
+    return ranking_scores.scaled_boxes(_scaled(a)).select("sha1", "face_index", "face_x", "face_y", "face_w", "face_h",
                                                           *[F.round(c, 9).alias(c) for c in names])
 
 

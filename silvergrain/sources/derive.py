@@ -94,11 +94,9 @@ def derived_tables(d) -> dict[str, Derived]:
         f" || (CASE WHEN n % 3 = 0 THEN CAST(1988 + {burst} % 36 AS STRING) || '/' ELSE '' END) END"
         " || 'IMG_' || CAST(n % 5000 AS STRING) || '.jpg'")
     path = f"CASE WHEN n % 43 = 0 THEN replace({raw_path}, '/', chr(92)) ELSE {raw_path} END"
-    json_label = ("'{\"label\": \"' || {word} || '\", \"score\": ' || CAST({score} AS STRING) || '}'")
-
     def label_item(k, salt):
         word = pick(f"(n * {k} + {salt}) % 11", LABEL_WORDS)
-        score = f"'0.' || lpad(CAST((n * {k} + {salt}) % 997 + 1 AS STRING), 4, '0')"
+        score = f"'0.' || lpad(CAST(((n * {k} + {salt}) % 997 + 1) * 10 + 3 AS STRING), 5, '0')"
         return f"'{{\"label\": \"' || {word} || '\", \"score\": ' || {score} || '}}'"
 
     def tag_item(k, salt):

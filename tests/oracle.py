@@ -77,7 +77,7 @@ if __name__ == "__main__":
         try:
             verdict = compare(spark, con, name, folder)
         except Exception as exc:  # report and go on with the next query
-            verdict = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            verdict = f"{type(exc).__name__}: {str(exc)[:500]}"
         took = time.time() - start
         print(f"{'ok  ' if verdict is None else 'FAIL'} {name} {took:.1f}s {verdict or ''}", flush=True)
         if verdict:

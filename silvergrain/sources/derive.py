@@ -240,6 +240,55 @@ def derived_tables(d) -> dict[str, Derived]:
             ("source_lon", lon),
             ("linked_at", scored_at),
         ], f"{has_gps} AND {place} % 3 <> 2 AND n % 9 <> 4"),
+        **_ingest_tables(d),
+    }
+
+
+def _ingest_tables(d) -> dict[str, Derived]:
+    """File listings and export sidecars as the ingest reads them."""
+    two = lambda expr: f"lpad(CAST(({expr}) AS STRING), 2, '0')"
+    stem = ("CASE n % 4 WHEN 0 THEN 'IMG_20' || " + two("10 + n % 15") + " || " + two("n % 14") + " || " + two("n % 30 + 1")
+            + " || '_' || " + two("n % 26") + " || " + two("n % 60") + " || " + two("n % 58")
+            + " WHEN 1 THEN 'PXL-20' || " + two("n % 25") + " || '-' || " + two("n % 12 + 1") + " || '_' || "
+            + two("n % 28 + 1") + " || '-' || " + two("n % 24") + " || '-' || " + two("n % 60") + " || '-' || "
+            + two("n % 59") + " WHEN 2 THEN 'DSC' || CAST(n AS STRING) ELSE 'photo_' || CAST(n % 900 AS STRING) END")
+    ext = pick("n % 8", [".jpg", ".JPG", ".jpeg", ".png", ".jpg", ".heic", ".jpg", ".txt"])
+    folder = ("CASE WHEN n % 11 = 0 THEN '' WHEN n % 17 = 0 THEN '_private/x/' WHEN n % 13 = 0 THEN 'Undated stuff/' "
+              "ELSE 'trip_' || CAST(n % 7 AS STRING) || '/day-' || CAST(n % 5 AS STRING) || '/' END")
+    source = pick("n % 3", ["takeout", "camera", "phone"])
+    stamp = lambda k: d.ts_text(f"900000000 + n * {k}")
+    iso = lambda k, zone: f"replace({stamp(k)}, ' ', 'T') || '{zone}'"
+    return {
+        "ingest_files": Derived("events", [
+            ("file_id", "n"),
+            ("source", source),
+            ("source_rank", "CAST(n % 3 AS INT)"),
+            ("rel_path", f"{folder} || ({stem}) || {ext}"),
+            ("width", "CAST(CASE WHEN n % 97 = 0 THEN NULL ELSE 300 + (n * 37) % 3000 END AS INT)"),
+            ("height", "CAST(CASE WHEN n % 97 = 0 THEN NULL ELSE 200 + (n * 53) % 2000 END AS INT)"),
+            ("file_size", "n * 13 % 100000 + 500"),
+            ("exif_original", f"CASE WHEN n % 35 = 0 THEN '0000:00:00 00:00:00' WHEN n % 5 = 0 THEN "
+                              f"replace(substring({stamp(40009)}, 1, 10), '-', ':') || substring({stamp(40009)}, 11, 9) "
+                              "WHEN n % 43 = 1 THEN '1949:01:01 10:00:00' END"),
+            ("exif_digitized", f"CASE WHEN n % 7 = 0 THEN ' ' || {stamp(40013)} || ' ' END"),
+            ("exif_plain", f"CASE WHEN n % 18 = 0 THEN {iso(39983, 'Z')} WHEN n % 9 = 0 THEN {iso(39983, '+02:00')} END"),
+            ("xmp", f"CASE WHEN n % 12 = 0 THEN '<d xmp:ModifyDate = \"bad\" photoshop:DateCreated=\"' || {iso(39979, 'Z')} "
+                    f"|| '\" />' WHEN n % 6 = 0 THEN '<x><xmp:CreateDate>' || {iso(39971, 'Z')} "
+                    "|| '</xmp:CreateDate></x>' END"),
+            ("mtime", "1400000000 + n * 37"),
+            ("content_sha1", "sha1('c' || CAST(n - (CASE WHEN n % 10 = 9 THEN 9 ELSE 0 END) AS STRING))"),
+            ("lat_deg", "n % 90"), ("lat_min", "n % 60"), ("lat_sec", "n % 5999"),
+            ("lat_den", "CASE WHEN n % 31 = 0 THEN 0 ELSE 100 END"),
+            ("lat_ref", pick("n % 4", ["N", "S", "n", "s"])),
+            ("alt_num", "n % 8000"), ("alt_ref", "CAST(n % 2 AS INT)"),
+        ]),
+        "takeout_sidecars": Derived("events", [
+            ("json_path", f"{source} || '/' || {folder} || ({stem}) || CASE WHEN n % 2 = 0 THEN {ext} ELSE '' END || '.json'"),
+            ("json_text", "CASE WHEN n % 15 = 0 THEN '{\"title\": 1}' WHEN n % 12 = 0 THEN '{\"creationTime\": {\"timestamp\": \"'"
+                          " || CAST(1100000000 + n AS STRING) || '\"}}' WHEN n % 9 = 0 THEN '{\"timestamp\": ' ||"
+                          " CAST(1200000000 + n AS STRING) || '}' ELSE '{\"photoTakenTime\": {\"timestamp\": \"'"
+                          " || CAST(1000000000 + n * 7919 AS STRING) || '\"}}' END"),
+        ], "n % 3 = 0 AND n % 21 <> 6"),
     }
 
 

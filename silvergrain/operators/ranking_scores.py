@@ -401,3 +401,18 @@ def working_size(width: Column, height: Column, long_side: int) -> tuple[Column,
     scale = F.least(F.lit(1.0), F.lit(float(long_side)) / F.greatest(width, height))
     shrink = lambda side: F.greatest(F.lit(1), F.round(side * scale).cast("int"))
     return shrink(width), shrink(height)
+
+
+def document_hero_scores(star: DataFrame) -> DataFrame:
+    """The written-down hero formula with its boosts and penalties, and its face interest part."""
+    rows = _signals(star)
+    count, largest = zero_int(F.col("face_count")), zero(F.col("largest_face_area_ratio"))
+    face = F.log1p(count) * 0.6 + largest * 0.4
+    landmark = text.contains_any(F.col("top_labels_json"), ("landmark", "mountain", "monument"))
+    paper = _flag("is_document_like") | _flag("is_screenshot_like") | _flag("contains_text")
+    score = weighted((F.col("tech"), 0.30), (face, 0.30), (F.col("aes"), 0.25), (F.col("sem"), 0.15))
+    for cond, bonus in ((count > 0, 0.10), (largest > 0.15, 0.10), (landmark, 0.05)):
+        score = score + F.when(cond, bonus).otherwise(0.0)
+    for cond, factor in ((F.col("tech") < 0.25, 0.5), (paper, 0.4)):
+        score = score * F.when(cond, factor).otherwise(1.0)
+    return rows.select("sha1", F.round(clamp01(score), 6).alias("hero_score"), F.round(face, 6).alias("face_interest"))

@@ -45,13 +45,13 @@ def tile_y(lat: Column, zoom: Column) -> Column:
 
 def rational(value: Column) -> Column:
     """``struct<num,den>`` as a double; a zero denominator gives null."""
-    return value["num"].cast("double") / F.nullif(value["den"].cast("double"), F.lit(0.0))
+    return F.when(value["den"] != 0, value["num"].cast("double") / value["den"].cast("double"))
 
 
 def dms_to_degrees(parts: Column, ref: Column) -> Column:
     """Degrees, minutes, seconds plus hemisphere letter, as signed degrees."""
-    deg = (rational(F.try_element_at(parts, F.lit(1))) + rational(F.try_element_at(parts, F.lit(2))) / 60.0
-           + rational(F.try_element_at(parts, F.lit(3))) / 3600.0)
+    deg = (rational(F.get(parts, F.lit(0))) + rational(F.get(parts, F.lit(1))) / 60.0
+           + rational(F.get(parts, F.lit(2))) / 3600.0)
     signed = F.when(F.upper(ref).isin("S", "W"), -deg).otherwise(deg)
     return F.when(F.size(parts) == 3, signed)
 

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from silvergrain.operators.ordering import ordered_slices
 from silvergrain.session import cut_lineage, ship_package
 
-GROUP_LIMIT = 20000
+GROUP_LIMIT = 200000
 PLACE_ROUNDS = 12
 TIME_ROUNDS = 10
 TIME_MOVE = 1.0

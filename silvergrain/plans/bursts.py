@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.functions import geo
 from silvergrain.operators import bursts, cull, ranking_scores, sessions
 from silvergrain.plans.browse import _request
 from silvergrain.plans.oracle import view
@@ -12,11 +11,6 @@ from silvergrain.plans.registry import query
 from silvergrain.plans.scores import people_signals
 
 
-def placed(a) -> DataFrame:
-    return a.scored.withColumns({"lat3": F.when(F.col("has_gps"), geo.bucket(F.col("latitude"), 3)),
-                                 "lon3": F.when(F.col("has_gps"), geo.bucket(F.col("longitude"), 3))})
-
-
 def _gap_sql(gap: int, keys: str, source: str) -> str:
     return f"""
 WITH g AS (SELECT *, CASE WHEN ts IS NULL OR lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > {gap} THEN 1 ELSE 0 END AS opens
@@ -37,13 +31,13 @@ def _clusters(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
 
 @query("gap_clusters_15s", "WIN1", "WIN4", "PRJ7", oracle=_gap_sql(15, "lat3, lon3", "o_placed"))
 def gap_clusters_15s(a) -> DataFrame:
-    return _clusters(placed(a).where("has_gps"), ["lat3", "lon3"], 15)
+    return _clusters(a.ranked.where("has_gps"), ["lat3", "lon3"], 15)
 
 
 @query("gap_clusters_20s", "WIN2", "WIN4", oracle=_gap_sql(
     20, "coord_key", "(SELECT s.*, coord_key FROM o_scored s JOIN photo_geo USING (sha1))"))
 def gap_clusters_20s(a) -> DataFrame:
-    return _clusters(a.scored.join(a.photo_geo.select("sha1", "coord_key"), "sha1"), ["coord_key"], 20)
+    return _clusters(a.ranked.join(a.photo_geo.select("sha1", "coord_key"), "sha1"), ["coord_key"], 20)
 
 
 view("o_year_scored", "SELECT *, 'year' AS scope_type, year AS scope_key FROM o_scored WHERE undated = 0")
@@ -61,7 +55,7 @@ FROM s WHERE NOT has_gps""")
 
 
 def year_members(a) -> DataFrame:
-    return placed(a).where("undated = 0").withColumns({"scope_type": F.lit("year"), "scope_key": F.col("year")})
+    return a.ranked.where("undated = 0").withColumns({"scope_type": F.lit("year"), "scope_key": F.col("year")})
 
 
 @query("burst_reduction", "WIN6", "AGG19", "SET3", oracle="""

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.operators import heroes, pixels, places, ranking_scores, scopes, semantics
-from silvergrain.plans.bursts import placed, year_members
+from silvergrain.plans.bursts import year_members
 from silvergrain.plans.oracle import view
 from silvergrain.plans.places import records
 from silvergrain.plans.registry import query
@@ -14,7 +14,7 @@ SCOPE = ["scope_type", "scope_key"]
 
 
 def day_members(a) -> DataFrame:
-    return placed(a).where("undated = 0").withColumns({"scope_type": F.lit("day"), "scope_key": F.col("date_key")})
+    return a.ranked.where("undated = 0").withColumns({"scope_type": F.lit("day"), "scope_key": F.col("date_key")})
 
 
 @query("hero16_geo", "TOP9", "CLU1", "CLU3", "AGG12", "PRJ27", "WIN6")
@@ -25,7 +25,7 @@ def hero16_geo(a) -> DataFrame:
 @query("hero16_all_scopes", "TOP9", "CLU1", "AGG1", "AGG3", "AGG4", "AGG5")
 def hero16_all_scopes(a) -> DataFrame:
     """Cards of every decade, year, month, day, folder, tag and undated folder in one job."""
-    return heroes.hero_selection(scopes.membership(placed(a)), SCOPE)
+    return heroes.hero_selection(scopes.membership(a.ranked), SCOPE)
 
 
 view("o_day_reduced", """

@@ -10,7 +10,7 @@ from silvergrain.plans.registry import query
 
 
 def records(a) -> DataFrame:
-    return places.place_records(a.scored, a.photo_geo, a.geo_cache)
+    return places.place_records(a.ranked, a.photo_geo, a.geo_cache)
 
 
 view("o_place_raw", """

@@ -48,9 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and continue from that table.
+
+    A written table survives lost executors, and later reads prune its columns
+    and know its size, so joins against small results can be broadcast safely.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

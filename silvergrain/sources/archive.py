@@ -6,7 +6,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silvergrain.functions import geo
 from silvergrain.operators import library, ranking_scores
+from silvergrain.session import cut_lineage
 from silvergrain.sources import derive
 
 
@@ -18,9 +20,13 @@ class Archive:
         self.root = root
         self._dialect = derive.SparkDialect
         self._derived = derive.derived_tables(self._dialect)
+        self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """A base table; its footer is read once per archive."""
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._base[name]
 
     def derived(self, name: str) -> DataFrame:
         spec = self._derived[name]
@@ -106,3 +112,17 @@ class Archive:
         """Active browse rows with their hero score (0 when never scored)."""
         return self.active.join(self.hero, "sha1", "left").withColumn(
             "hero_score", F.coalesce("hero_score", F.lit(0.0)))
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """The scored rows with place buckets, written once per query.
+
+        Selections read this set several times (bursts, buckets, fillers); the
+        lineage cut keeps the six-way join from running once per use.
+        """
+        rows = self.scored.withColumns({
+            "lat3": F.when(F.col("has_gps"), geo.bucket(F.col("latitude"), 3)),
+            "lon3": F.when(F.col("has_gps"), geo.bucket(F.col("longitude"), 3))})
+        return cut_lineage(rows.select(
+            "sha1", "final_dt", "ts", "hero_score", "has_gps", "latitude", "longitude", "lat3", "lon3", "undated",
+            "decade", "year", "date_key", "folder_group", "web_path", "tags"))

@@ -83,10 +83,10 @@ def derived_tables(d) -> dict[str, Derived]:
                f" + (CASE WHEN {burst} % 4 = 1 AND n % 8 >= 5 THEN 20 ELSE 0 END)")
     dated = f"{EPOCH_1988} + {seconds}"
     lat = (f"CASE WHEN n % 23 = 0 THEN NULL WHEN n % 101 = 0 THEN CAST(0 AS DOUBLE) ELSE"
-           f" (({burst} % 60 * 29) % 130 - 60) * 1.0e0 + ((n % 3) * 7) / 100000"
-           f" + (CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END) / 100 END")
+           f" (({burst} % 60 * 29) % 130 - 60) * 1.0e0 + ((n % 3) * 7) / 99991"
+           f" + (CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END) / 97 END")
     lon = (f"CASE WHEN n % 23 = 0 THEN NULL WHEN n % 101 = 0 THEN CAST(0 AS DOUBLE) ELSE"
-           f" (({burst} % 60 * 53) % 340 - 170) * 1.0e0 + ((n % 2) * 7) / 100000 END")
+           f" (({burst} % 60 * 53) % 340 - 170) * 1.0e0 + ((n % 2) * 7) / 99991 END")
     raw_path = (
         "CASE WHEN n % 41 = 0 THEN '' ELSE "
         "(CASE WHEN n % 31 = 0 THEN '_trash/' WHEN n % 37 = 0 THEN '_stash/' WHEN n % 53 = 0 THEN 'Undated/' ELSE '' END)"

@@ -21,10 +21,13 @@ LABEL_SCHEMA = "array<struct<label:string,score:double>>"
 
 
 def title_case(text: Column) -> Column:
-    """Upper-case the first letter of every run of letters, lower the rest."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
-                                                             r.substr(F.lit(2), F.length(r)))), "")
+    """Upper-case the first letter of every run of letters, lower the rest.
+
+    ``initcap`` starts words only after a space, so a marked space is put
+    between any other non-letter and a letter, and taken out again.
+    """
+    marked = F.regexp_replace(text, r"([^\p{L} ])(?=\p{L})", "$1\u0001 ")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
 
 
 def split_tags(path_tags: Column, custom_tags: Column) -> Column:
@@ -36,9 +39,10 @@ def split_tags(path_tags: Column, custom_tags: Column) -> Column:
 def browse_tags(path_tags: Column, custom_tags: Column, extra_excluded: tuple[str, ...] = ()) -> Column:
     """Sorted, distinct, title-cased tags without excluded words and years."""
     excluded = list(EXCLUDED_TAGS) + [w.lower() for w in extra_excluded]
-    kept = F.filter(split_tags(path_tags, custom_tags),
-                    lambda t: ~F.lower(t).isin(excluded) & ~F.regexp_like(t, F.lit(r"^\d{4}$")))
-    return F.array_sort(F.array_distinct(F.transform(kept, title_case)))
+    # Title case is applied to the joined text once rather than tag by tag.
+    titled = split_tags(title_case(F.coalesce(path_tags, F.lit(""))), title_case(F.coalesce(custom_tags, F.lit(""))))
+    kept = F.filter(titled, lambda t: ~F.lower(t).isin(excluded) & ~F.regexp_like(t, F.lit(r"^\d{4}$")))
+    return F.array_sort(F.array_distinct(kept))
 
 
 def path_tag_text(folders: Column, keep_private: bool = True) -> Column:

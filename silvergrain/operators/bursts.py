@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from silvergrain.functions import geo
 from silvergrain.operators.ordering import ordered_slices
-from silvergrain.session import ship_package
+from silvergrain.session import cut_lineage, ship_package
 
 BREAK, NEAR, BRIDGE = 0, 1, 2
 OLD, SINGLE = 11, 12
@@ -117,7 +117,8 @@ def burst_members(rows: DataFrame, gap: int = 15, metres: float = 15.0, bridge_g
              .select("slice", "sha1", "ts", "rn", "edge", "ts_before"))
     maps = tails.groupBy("slice").applyInPandas(_state_map, "slice int, state int, after int, start_sha1 string")
     chain = maps.withColumn("all_slices", F.lit(0)).groupBy("all_slices").applyInPandas(_chain, "slice int, state int, open_run string")
-    members = (edges.join(F.broadcast(chain), "slice").groupBy("slice")
-               .applyInPandas(_resolve, "cluster_id string, sha1 string, ts long"))
+    # Written once: the sizes and the callers all read the members again.
+    members = cut_lineage(edges.join(F.broadcast(chain), "slice").groupBy("slice")
+                          .applyInPandas(_resolve, "cluster_id string, sha1 string, ts long"))
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return members.join(sizes, "cluster_id")

@@ -119,9 +119,9 @@ def _first_reaching(sliced: DataFrame, keys: list[str], weight: Column, goals: D
 
 def _large_place_centres(large: DataFrame, keys: list[str], k: str) -> DataFrame:
     """Rounds over slices for big groups; ``large`` is as for :func:`region_centres`."""
-    sliced = ordered_slices(large, *keys, "seen")
+    sliced = ordered_slices(large.withColumn("seen", F.struct("seen_at", "seen_id")), *keys, "seen")
     point = F.struct("lat", "lon")
-    best = F.max_by(point, F.struct("hero_score", "weight", (-F.col("seen")).alias("early")))
+    best = F.min_by(point, F.struct((-F.col("hero_score")).alias("h"), (-F.col("weight")).alias("w"), "seen"))
     state = cut_lineage(sliced.groupBy(*keys).agg(F.array(best).cast(f"array<{POINT}>").alias("centres"),
                                                   F.max(k).alias("k")))
     gap = F.array_min(F.transform("centres", lambda c: squared(F.col("lat"), F.col("lon"), c)))
@@ -184,10 +184,11 @@ def _large_time_centres(large: DataFrame, keys: list[str], k: int) -> DataFrame:
 def _by_size(rows: DataFrame, keys: list[str], small: Callable[[DataFrame], DataFrame],
              large: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
     """Sends groups to the grouped pass or to the sliced rounds by their row count."""
-    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in_group")).where(
-        F.col("rows_in_group") > limit).select(*keys))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in_group")).where(
+        F.col("rows_in_group") > limit).select(*keys)
     if sizes.isEmpty():
         return small(rows)
+    sizes = cut_lineage(sizes)
     few = small(rows.join(sizes, keys, "left_anti"))
     return few.unionByName(large(rows.join(sizes, keys, "left_semi")))
 
@@ -199,14 +200,14 @@ def _key_schema(rows: DataFrame, keys: list[str]) -> str:
 def region_centres(buckets: DataFrame, keys: list[str], k: str = "k", limit: int = GROUP_LIMIT) -> DataFrame:
     """``keys, centres``: up to ``k`` place centres of each group of buckets.
 
-    ``buckets`` needs the keys, ``lat, lon, weight, hero_score``, the integer
-    encounter order ``seen`` (unique in the group) and the column ``k``.
+    ``buckets`` needs the keys, ``lat, lon, weight, hero_score``, the encounter
+    order ``seen_at, seen_id`` (unique in the group) and the column ``k``.
     """
     ship_package(buckets.sparkSession)
-    columns = [*keys, "lat", "lon", "weight", "hero_score", "seen", k]
+    columns = [*keys, "lat", "lon", "weight", "hero_score", "seen_at", "seen_id", k]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seen")
+        pdf = pdf.sort_values(["seen_at", "seen_id"])
         lead = pdf.assign(at=np.arange(len(pdf))).sort_values(["hero_score", "weight", "at"],
                                                              ascending=[False, False, True])["at"].iloc[0]
         found = place_centres(pdf[["lat", "lon"]].to_numpy(), pdf["weight"].to_numpy(float), lead, int(pdf[k].iloc[0]))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.operators import clusters, sessions
-from silvergrain.operators.ordering import top_rows, with_positions
+from silvergrain.operators.ordering import top_rows
 from silvergrain.session import cut_lineage
 
 CARD = 16
@@ -24,8 +24,8 @@ def _buckets(members: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFra
     grouped = reduced.where("has_gps").groupBy(*keys, "lat3", "lon3").agg(
         F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.count(F.lit(1)).alias("weight"),
         F.max(F.struct(*BEST)).alias("best"))
-    joined = grouped.join(met, [*keys, "lat3", "lon3"]).withColumn("hero_score", F.col("best.hero_score"))
-    return with_positions(joined, keys, F.col("met"), name="seen").drop("met")
+    return grouped.join(met, [*keys, "lat3", "lon3"]).withColumns({
+        "hero_score": F.col("best.hero_score"), "seen_at": F.col("met.o"), "seen_id": F.col("met.sha1")}).drop("met")
 
 
 def hero_selection(members: DataFrame, keys: list[str], card: int = CARD, limit: int = clusters.GROUP_LIMIT) -> DataFrame:

@@ -25,8 +25,8 @@ def extension(path: Column) -> Column:
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """Files under a root folder as ``rel_path, file_size, mtime``, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    start = F.lit(root.rstrip("/") + "/")
-    rel = F.substring_index(F.col("path"), start, -1)
+    start = root.rstrip("/") + "/"
+    rel = F.col("path").substr(F.instr("path", start) + len(start), F.length("path"))
     return files.select(rel.alias("rel_path"), F.col("length").alias("file_size"),
                         F.unix_timestamp("modificationTime").alias("mtime"))
 
@@ -108,12 +108,13 @@ def first_of_each(files: DataFrame, known: DataFrame) -> DataFrame:
     """New photos by content: unknown to the archive, and the first source of each content wins.
 
     The first copy is found by a ``min`` of (rank, path), which combines on the
-    map side; any number of copies of one photo never meets in a task.
+    map side, so any number of copies of one photo never meets in a task. Both
+    joins then run on unique keys.
     """
-    fresh = files.join(known.select(F.col("sha1").alias("content_sha1")), "content_sha1", "left_anti")
-    first = fresh.groupBy("content_sha1").agg(F.min(F.struct("source_rank", "rel_path", "file_id"))["file_id"]
+    first = files.groupBy("content_sha1").agg(F.min(F.struct("source_rank", "rel_path", "file_id"))["file_id"]
                                               .alias("file_id"))
-    return files.join(first.select("file_id"), "file_id", "left_semi")
+    fresh = first.join(known.select(F.col("sha1").alias("content_sha1")), "content_sha1", "left_anti")
+    return files.join(fresh.select("file_id"), "file_id", "left_semi")
 
 
 def counters(files: DataFrame, known: DataFrame, archive: DataFrame) -> DataFrame:

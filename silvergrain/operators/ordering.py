@@ -24,7 +24,8 @@ def with_positions(rows: DataFrame, group: list[str], *order: Column | str, name
     """Adds the 0-based position of each row in its group, exact at any group size.
 
     A row's position is its rank inside its slice plus the sizes of the earlier
-    slices of the same group. Groups of any size are split over slices.
+    slices of the same group. Groups of any size are split over slices. ``order``
+    names columns (``F.desc("v")``), since the rows are read back from a table.
     """
     sliced = ordered_slices(rows, *group, *order)
     inside = Window.partitionBy("slice", *group).orderBy(*order)

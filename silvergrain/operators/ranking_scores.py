@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from silvergrain.functions import text
 from silvergrain.functions.score import (cap1, clamp01, joined_notes, logistic, smoothstep, weighted, zero,
                                          zero_int)
+from silvergrain.operators.ordering import top_rows
 
 
 def signal_star(active: DataFrame, technical: DataFrame, faces: DataFrame, aesthetic: DataFrame,
@@ -108,26 +109,32 @@ def cull_scores(star: DataFrame) -> DataFrame:
 
 # --- detail-view scores ----------------------------------------------------
 
+def _first_faces(faces: DataFrame, limit: int, values: dict[str, Column], *order: Column) -> DataFrame:
+    """One row per photo with ``<name>_1 .. <name>_limit`` of its first faces.
+
+    The group limit keeps at most ``limit`` faces per photo before the shuffle.
+    """
+    ranked = top_rows(faces, ["sha1"], limit, *order)
+    return ranked.groupBy("sha1").agg(*[
+        F.max(F.when(F.col("rank") == i, value)).alias(f"{name}_{i}")
+        for name, value in values.items() for i in range(1, limit + 1)])
+
+
 def face_geometry(faces: DataFrame) -> DataFrame:
-    """Two largest boxes per photo, with and without zero-area boxes."""
+    """Two largest boxes per photo, and how many boxes have an area."""
     area = zero(F.col("area_ratio"))
-    positive = F.when(area > 0, area)
-    top_two = faces.groupBy("sha1").agg(
-        F.count(F.lit(1)).alias("box_count"), F.count(positive).alias("positive_count"),
-        F.sort_array(F.collect_list(area), asc=False).alias("areas"))
-    second = F.coalesce(F.try_element_at("areas", F.lit(2)), F.lit(0.0))
-    return top_two.select("sha1", "box_count", "positive_count", F.element_at("areas", 1).alias("box_largest"),
-                          second.alias("box_second"))
+    counts = faces.groupBy("sha1").agg(F.count_if(area > 0).alias("positive_count"))
+    top = _first_faces(faces, 2, {"area": area}, area.desc(), F.asc("face_index"))
+    return counts.join(top, "sha1").select("sha1", "positive_count", F.col("area_1").alias("box_largest"),
+                                           F.coalesce("area_2", F.lit(0.0)).alias("box_second"))
 
 
 def asymmetry_hint(expression: DataFrame) -> DataFrame:
     """Mean asymmetry of the first two faces that have one, by face index."""
-    pairs = F.array_sort(F.collect_list(F.when(F.col("asymmetry_score").isNotNull(),
-                                               F.struct("face_index", "asymmetry_score"))))
-    first = F.slice(pairs, 1, 2)
-    total = F.aggregate(first, F.lit(0.0), lambda acc, s: acc + s["asymmetry_score"])
-    return (expression.groupBy("sha1").agg(first.alias("first"), total.alias("asym_total"))
-            .select("sha1", F.when(F.size("first") > 0, F.col("asym_total") / F.size("first")).alias("asymmetry")))
+    known = expression.where(F.col("asymmetry_score").isNotNull())
+    first = _first_faces(known, 2, {"asym": F.col("asymmetry_score")}, F.asc("face_index"))
+    mean = (F.col("asym_1") + F.coalesce("asym_2", F.lit(0.0))) / F.when(F.col("asym_2").isNull(), 1).otherwise(2)
+    return first.select("sha1", mean.alias("asymmetry"))
 
 
 def face_subjectness(count: Column, largest: Column, second: Column) -> Column:
@@ -311,35 +318,25 @@ def expression_metrics(faces: DataFrame) -> DataFrame:
 
 
 def expression_summary(faces: DataFrame) -> DataFrame:
-    """Per-photo expression summary; faces ranked by expression times area.
-
-    Faces of one photo form a small array, built by one aggregation on the
-    photo key, so no window over the face table is needed.
-    """
-    ranked = F.sort_array(F.collect_list(F.struct(
-        (F.col("expression_score") * F.greatest("area_ratio", F.lit(0.000001))).alias("w"),
-        (-F.col("face_index")).alias("tie"), F.col("expression_score").alias("e"), F.col("area_ratio").alias("a"))),
-        asc=False)
-    per_photo = faces.groupBy("sha1").agg(
+    """Per-photo expression summary; faces ranked by expression times area."""
+    counts = faces.groupBy("sha1").agg(
         F.count(F.lit(1)).cast("int").alias("face_count_scored"),
         F.count_if(F.col("smile_score") >= 0.60).cast("int").alias("smiling_face_count"),
         F.count_if(F.col("eyes_open_score") >= 0.55).cast("int").alias("eyes_open_face_count"),
-        F.count_if(F.col("expression_score") >= 0.65).cast("int").alias("good_expression_face_count"),
-        ranked.alias("ranked"))
-    first = F.element_at("ranked", 1)
-    top2 = F.slice("ranked", 1, 2)
-
-    def moment(i: int, weight: float) -> Column:
-        face = F.try_element_at("ranked", F.lit(i))
-        part = face["e"] * weight * cap1(F.greatest(F.lit(0.10), face["a"] / 0.05))
+        F.count_if(F.col("expression_score") >= 0.65).cast("int").alias("good_expression_face_count"))
+    weight = F.col("expression_score") * F.greatest("area_ratio", F.lit(0.000001))
+    top = _first_faces(faces, 3, {"e": F.col("expression_score"), "a": F.col("area_ratio")}, weight.desc(),
+                       F.asc("face_index"))
+
+    def moment(i: int, share: float) -> Column:
+        part = F.col(f"e_{i}") * share * cap1(F.greatest(F.lit(0.10), F.col(f"a_{i}") / 0.05))
         return F.coalesce(part, F.lit(0.0))
 
-    return per_photo.select(
+    pair = (F.col("e_1") + F.coalesce("e_2", F.lit(0.0))) / F.least(F.lit(2), F.col("face_count_scored"))
+    return counts.join(top, "sha1").select(
         "sha1", "face_count_scored", "smiling_face_count", "eyes_open_face_count", "good_expression_face_count",
-        first["e"].alias("best_face_expression_score"),
-        (F.aggregate(top2, F.lit(0.0), lambda acc, s: acc + s["e"]) / F.size(top2))
-        .alias("avg_top2_face_expression_score"),
-        (first["e"] * first["a"]).alias("prominent_face_expression_score"),
+        F.col("e_1").alias("best_face_expression_score"), pair.alias("avg_top2_face_expression_score"),
+        (F.col("e_1") * F.col("a_1")).alias("prominent_face_expression_score"),
         (moment(1, 1.00) + moment(2, 0.70) + moment(3, 0.45)).alias("people_moment_score"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from silvergrain.plans.oracle import assemble
+from silvergrain.session import tune
 from silvergrain.sources.archive import Archive
 
 PLANS: dict[str, Callable[[Archive], DataFrame]] = {}
@@ -29,7 +30,7 @@ def query(name: str, *covers: str, oracle: str | None = None):
 def runners() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            tune(spark)
             return plan(Archive(spark, sf_dir))
         return run
     return {name: bind(plan) for name, plan in PLANS.items()}

@@ -25,6 +25,16 @@ def local_session(cores: str = "*", app: str = "silvergrain") -> SparkSession:
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Query settings every plan relies on.
+
+    Timestamps are text in UTC. Wide score projections can outgrow the size the
+    JVM still compiles; above this limit Spark splits them into small methods.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts: the cluster's own setting wins.
 

@@ -17,10 +17,12 @@ def timeline_cards(dated: DataFrame) -> DataFrame:
     The roll-up runs over at most a few thousand month rows. ``pos`` is the
     card order: decades and years newest first, months ascending.
     """
-    months = dated.groupBy(*TIMELINE).agg(F.count(F.lit(1)).alias("n"), F.max("month_name").alias("month_name"))
-    cards = (months.rollup(*TIMELINE).agg(F.sum("n").alias("photo_count"), F.max("month_name").alias("month_name"),
-                                          F.grouping_id().alias("gid"))
+    months = dated.groupBy(*TIMELINE).agg(F.count(F.lit(1)).alias("n"))
+    cards = (months.rollup(*TIMELINE).agg(F.sum("n").alias("photo_count"), F.grouping_id().alias("gid"))
              .where("decade IS NOT NULL"))
+    # Named after counting: a text maximum would turn the hash aggregate into a sort.
+    cards = cards.withColumn("month_name", F.date_format(
+        F.make_date(F.lit(2000), F.col("month").cast("int"), F.lit(1)), "MMMM"))
     level = F.when(F.col("gid") == 3, "decade").when(F.col("gid") == 1, "year").otherwise("month")
     parent = F.when(F.col("gid") == 3, "").when(F.col("gid") == 1, F.col("decade")).otherwise(F.col("year"))
     cards = cards.withColumns({

@@ -17,7 +17,57 @@ def day_members(a) -> DataFrame:
     return a.ranked.where("undated = 0").withColumns({"scope_type": F.lit("day"), "scope_key": F.col("date_key")})
 
 
-@query("hero16_geo", "TOP9", "CLU1", "CLU3", "AGG12", "PRJ27", "WIN6")
+# Oracle for the clustered cards: the same rules as recursive SQL over small lists of centres.
+view("o_buckets", """
+WITH met AS (SELECT scope_key, round(latitude, 3) AS lat3, round(longitude, 3) AS lon3, min((-ts, sha1)) AS met
+             FROM o_year_scored WHERE has_gps GROUP BY 1, 2, 3),
+b AS (SELECT scope_key, lat3, lon3, avg(latitude) AS la, avg(longitude) AS lo, count(*) AS w,
+        max({'h': hero_score, 'd': final_dt, 's': sha1}) AS best FROM o_reduced WHERE has_gps GROUP BY 1, 2, 3),
+k AS (SELECT scope_key, 16 - max((NOT has_gps)::INT) AS k FROM o_reduced GROUP BY 1)
+SELECT b.*, k.k, count(*) OVER (PARTITION BY b.scope_key) AS places,
+  row_number() OVER (PARTITION BY b.scope_key ORDER BY met) AS seen
+FROM b JOIN met USING (scope_key, lat3, lon3) JOIN k USING (scope_key)""")
+
+_GAP2 = "(b.la - c.la) * (b.la - c.la) + (b.lo - c.lo) * (b.lo - c.lo)"
+
+view("o_seeds", f"""
+SELECT scope_key, max(k) AS k, [arg_max({{'la': la, 'lo': lo}}, (best.h, w, -seen))] AS cs FROM o_buckets WHERE places > k
+GROUP BY scope_key
+UNION ALL
+SELECT scope_key, k, list_append(cs, arg_min({{'la': la, 'lo': lo}}, seen)) FROM (
+  SELECT *, sum(gap) OVER (PARTITION BY scope_key ORDER BY seen) AS run, sum(gap) OVER (PARTITION BY scope_key) AS total FROM (
+    SELECT s.scope_key, s.k, s.cs, b.la, b.lo, b.seen, list_min(list_transform(s.cs, lambda c: {_GAP2})) AS gap
+    FROM o_seeds s JOIN o_buckets b ON b.scope_key = s.scope_key WHERE len(s.cs) < s.k))
+WHERE run >= total / 2 GROUP BY scope_key, k, cs""")
+
+_OWN2 = (f"list_position(list_transform(s.cs, lambda c: {_GAP2}), list_min(list_transform(s.cs, lambda c: {_GAP2})))")
+
+view("o_settle", f"""
+SELECT scope_key, 0 AS r, cs, FALSE AS still FROM o_seeds WHERE len(cs) = k
+UNION ALL
+SELECT scope_key, r + 1, fresh, fresh = cs FROM (
+  SELECT scope_key, r, cs, list_transform(range(1, len(cs) + 1), lambda i: coalesce(m[i], cs[i])) AS fresh FROM (
+    SELECT scope_key, r, cs, map(list(own), list({{'la': la, 'lo': lo}})) AS m FROM (
+      SELECT scope_key, r, cs, own, sum(la * w) / sum(w) AS la, sum(lo * w) / sum(w) AS lo FROM (
+        SELECT s.scope_key, s.r, s.cs, b.la, b.lo, b.w, {_OWN2} AS own
+        FROM o_settle s JOIN o_buckets b ON b.scope_key = s.scope_key WHERE NOT s.still AND s.r < 12)
+      GROUP BY scope_key, r, cs, own) GROUP BY scope_key, r, cs))""")
+
+
+@query("hero16_geo", "TOP9", "CLU1", "CLU3", "AGG12", "PRJ27", "WIN6", oracle=f"""
+WITH f AS (SELECT scope_key, arg_max(cs, r) AS cs FROM o_settle GROUP BY 1),
+reps AS (
+  SELECT scope_key, max(best) AS best FROM (
+    SELECT b.scope_key, b.best, {_OWN2} AS own FROM f s JOIN o_buckets b ON b.scope_key = s.scope_key) GROUP BY scope_key, own
+  UNION ALL SELECT scope_key, best FROM o_buckets WHERE places <= k),
+chosen AS (
+  SELECT scope_key, 0 AS phase, max({{'h': hero_score, 'd': final_dt, 's': sha1}}) AS best FROM o_reduced WHERE NOT has_gps GROUP BY 1
+  UNION ALL SELECT scope_key, 1, best FROM reps),
+every AS (SELECT * FROM chosen UNION ALL
+  SELECT scope_key, 2, {{'h': hero_score, 'd': final_dt, 's': sha1}} FROM o_reduced r
+  WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.scope_key = r.scope_key AND c.best.s = r.sha1))
+SELECT 'year' AS scope_type, scope_key, best.s AS sha1, phase,
+  row_number() OVER (PARTITION BY scope_key ORDER BY phase, best DESC) - 1 AS pos FROM every QUALIFY pos < 16""")
 def hero16_geo(a) -> DataFrame:
     return heroes.hero_selection(year_members(a), SCOPE)
 
@@ -60,7 +110,45 @@ def card_signatures(a) -> DataFrame:
     return scopes.selection_signature(heroes.hero_selection(day_members(a), SCOPE), "v1")
 
 
-@query("place_mosaic", "TOP10", "CLU2", "SET2")
+view("o_moments", """
+SELECT node_id, ts, count(*) AS n, max({'h': hero_score, 'd': final_dt, 's': sha1}) AS best FROM o_node_rows
+WHERE level <> 'root' AND ts IS NOT NULL GROUP BY 1, 2""")
+
+_GAP1 = "list_transform(s.cs, lambda c: abs(v.ts - c))"
+
+view("o_moment_seeds", f"""
+SELECT node_id, [list(ts ORDER BY ts)[count(*) // 2 + 1]::DOUBLE] AS cs FROM o_node_rows
+WHERE level <> 'root' AND ts IS NOT NULL GROUP BY 1 HAVING count(*) > 16
+UNION ALL
+SELECT node_id, list_append(cs, arg_max(ts::DOUBLE, (gap, -ts))) FROM (
+  SELECT s.node_id, s.cs, v.ts, list_min({_GAP1}) AS gap
+  FROM o_moment_seeds s JOIN o_moments v ON v.node_id = s.node_id WHERE len(s.cs) < 16)
+GROUP BY node_id, cs""")
+
+view("o_moment_settle", f"""
+SELECT node_id, 0 AS r, list_sort(cs) AS cs, FALSE AS still FROM o_moment_seeds WHERE len(cs) = 16
+UNION ALL
+SELECT node_id, r + 1, fresh, list_max(list_transform(range(1, 17), lambda i: abs(fresh[i] - cs[i]))) < 1 FROM (
+  SELECT node_id, r, cs, list_transform(range(1, 17), lambda i: coalesce(m[i], cs[i])) AS fresh FROM (
+    SELECT node_id, r, cs, map(list(own), list(mean)) AS m FROM (
+      SELECT node_id, r, cs, own, sum(ts * n)::DOUBLE / sum(n)::DOUBLE AS mean FROM (
+        SELECT s.node_id, s.r, s.cs, v.ts, v.n, list_position({_GAP1}, list_min({_GAP1})) AS own
+        FROM o_moment_settle s JOIN o_moments v ON v.node_id = s.node_id WHERE NOT s.still AND s.r < 10)
+      GROUP BY node_id, r, cs, own) GROUP BY node_id, r, cs))""")
+
+
+@query("place_mosaic", "TOP10", "CLU2", "SET2", oracle=f"""
+WITH f AS (SELECT node_id, arg_max(cs, r) AS cs FROM o_moment_settle GROUP BY 1
+  UNION ALL SELECT node_id, list(ts::DOUBLE ORDER BY ts) FROM o_moments GROUP BY 1 HAVING sum(n) <= 16),
+reps AS (SELECT node_id, 0 AS phase, any_value(cs[own]) AS centre, max(best) AS best FROM (
+    SELECT s.node_id, s.cs, v.best, list_position({_GAP1}, list_min({_GAP1})) AS own
+    FROM f s JOIN o_moments v ON v.node_id = s.node_id) GROUP BY node_id, own),
+every AS (SELECT * FROM reps UNION ALL
+  SELECT node_id, CASE WHEN ts IS NULL THEN 1 ELSE 2 END, 0, {{'h': hero_score, 'd': final_dt, 's': sha1}} FROM o_node_rows r
+  WHERE level <> 'root' AND NOT EXISTS (SELECT 1 FROM reps c WHERE c.node_id = r.node_id AND c.best.s = r.sha1)),
+c AS (SELECT node_id, count(*) AS photo_count FROM o_node_rows GROUP BY 1)
+SELECT node_id, best.s AS sha1, photo_count, row_number() OVER (PARTITION BY node_id ORDER BY phase, centre, best DESC) - 1 AS pos
+FROM every JOIN c USING (node_id) QUALIFY pos < 16""")
 def place_mosaic(a) -> DataFrame:
     return heroes.place_mosaic(places.node_members(records(a)), ["node_id"])
 

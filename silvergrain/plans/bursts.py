@@ -44,7 +44,7 @@ view("o_year_scored", "SELECT *, 'year' AS scope_type, year AS scope_key FROM o_
 
 view("o_reduced", """
 WITH s AS (SELECT *, round(latitude, 3) AS lat3, round(longitude, 3) AS lon3 FROM o_year_scored),
-g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > 15 THEN 1 ELSE 0 END AS opens
+g AS (SELECT *, CASE WHEN ts IS NULL OR lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > 15 THEN 1 ELSE 0 END AS opens
       FROM s WHERE has_gps WINDOW w AS (PARTITION BY scope_key, lat3, lon3 ORDER BY ts, sha1)),
 c AS (SELECT *, sum(opens) OVER (PARTITION BY scope_key, lat3, lon3 ORDER BY ts, sha1) AS cluster FROM g),
 b AS (SELECT *, row_number() OVER (PARTITION BY scope_key, lat3, lon3, cluster

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from silvergrain.operators import heroes, pixels, places, ranking_scores, scopes, semantics
 from silvergrain.plans.bursts import year_members
-from silvergrain.plans.oracle import view
+from silvergrain.plans.oracle import VIEWS, view
 from silvergrain.plans.places import records
 from silvergrain.plans.registry import query
 
@@ -19,7 +19,7 @@ def day_members(a) -> DataFrame:
 
 # Oracle for the clustered cards: the same rules as recursive SQL over small lists of centres.
 view("o_buckets", """
-WITH met AS (SELECT scope_key, round(latitude, 3) AS lat3, round(longitude, 3) AS lon3, min((-ts, sha1)) AS met
+WITH met AS (SELECT scope_key, round(latitude, 3) AS lat3, round(longitude, 3) AS lon3, min((coalesce(-ts, 1099511627776), sha1)) AS met
              FROM o_year_scored WHERE has_gps GROUP BY 1, 2, 3),
 b AS (SELECT scope_key, lat3, lon3, avg(latitude) AS la, avg(longitude) AS lo, count(*) AS w,
         max({'h': hero_score, 'd': final_dt, 's': sha1}) AS best FROM o_reduced WHERE has_gps GROUP BY 1, 2, 3),
@@ -54,7 +54,7 @@ SELECT scope_key, r + 1, fresh, fresh = cs FROM (
       GROUP BY scope_key, r, cs, own) GROUP BY scope_key, r, cs))""")
 
 
-@query("hero16_geo", "TOP9", "CLU1", "CLU3", "AGG12", "PRJ27", "WIN6", oracle=f"""
+CARD_SQL = f"""
 WITH f AS (SELECT scope_key, arg_max(cs, r) AS cs FROM o_settle GROUP BY 1),
 reps AS (
   SELECT scope_key, max(best) AS best FROM (
@@ -67,12 +67,40 @@ every AS (SELECT * FROM chosen UNION ALL
   SELECT scope_key, 2, {{'h': hero_score, 'd': final_dt, 's': sha1}} FROM o_reduced r
   WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.scope_key = r.scope_key AND c.best.s = r.sha1))
 SELECT 'year' AS scope_type, scope_key, best.s AS sha1, phase,
-  row_number() OVER (PARTITION BY scope_key ORDER BY phase, best DESC) - 1 AS pos FROM every QUALIFY pos < 16""")
+  row_number() OVER (PARTITION BY scope_key ORDER BY phase, best DESC) - 1 AS pos FROM every QUALIFY pos < 16"""
+
+
+@query("hero16_geo", "TOP9", "CLU1", "CLU3", "AGG12", "PRJ27", "WIN6", oracle=CARD_SQL)
 def hero16_geo(a) -> DataFrame:
     return heroes.hero_selection(year_members(a), SCOPE)
 
 
-@query("hero16_all_scopes", "TOP9", "CLU1", "AGG1", "AGG3", "AGG4", "AGG5")
+view("o_all_scored", """
+WITH m AS (
+  SELECT sha1, 'decade' AS t, decade AS k FROM o_browse WHERE undated = 0
+  UNION ALL SELECT sha1, 'year', year FROM o_browse WHERE undated = 0
+  UNION ALL SELECT sha1, 'month', year || '-' || month FROM o_browse WHERE undated = 0
+  UNION ALL SELECT sha1, 'day', date_key FROM o_browse WHERE undated = 0
+  UNION ALL SELECT sha1, 'undated', folder_group FROM o_browse WHERE undated = 1
+  UNION ALL SELECT sha1, 'tag', tag FROM o_tags
+  UNION ALL SELECT sha1, 'folder', array_to_string(p[1:d], '/') FROM (
+    SELECT sha1, p, unnest(range(1, len(p))) AS d FROM (SELECT sha1, string_split(web_path, '/') AS p FROM o_browse)))
+SELECT s.*, '' AS scope_type, t || '|' || k AS scope_key FROM m JOIN o_scored s USING (sha1)""")
+
+
+def _for_all_scopes(sql: str) -> str:
+    for name in ("o_year_scored", "o_reduced", "o_buckets", "o_seeds", "o_settle"):
+        sql = sql.replace(name, "o_all_scored" if name == "o_year_scored" else name.replace("o_", "o_all_"))
+    return sql
+
+
+for _name in ("o_reduced", "o_buckets", "o_seeds", "o_settle"):
+    view(_name.replace("o_", "o_all_"), _for_all_scopes(VIEWS[_name]))
+
+
+@query("hero16_all_scopes", "TOP9", "CLU1", "AGG1", "AGG3", "AGG4", "AGG5", oracle=_for_all_scopes(CARD_SQL).replace(
+    "SELECT 'year' AS scope_type, scope_key,",
+    "SELECT split_part(scope_key, '|', 1) AS scope_type, split_part(scope_key, '|', 2) AS scope_key,"))
 def hero16_all_scopes(a) -> DataFrame:
     """Cards of every decade, year, month, day, folder, tag and undated folder in one job."""
     return heroes.hero_selection(scopes.membership(a.ranked), SCOPE)

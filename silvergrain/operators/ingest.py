@@ -23,7 +23,11 @@ def extension(path: Column) -> Column:
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files under a root folder as ``rel_path, file_size, mtime``, without reading them."""
+    """Files under a root folder as ``rel_path, file_size, mtime``, without reading them.
+
+    Spark's listing leaves out names that start with an underscore, which is
+    also the ingest's rule for private folders.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     start = root.rstrip("/") + "/"
     rel = F.col("path").substr(F.instr("path", start) + len(start), F.length("path"))

@@ -22,11 +22,16 @@ def query(name: str, *covers: str, oracle: str | None = None):
         PLANS[name] = plan
         COVERS[name] = covers
         if oracle is not None:
-            ORACLES[name] = assemble(oracle)
+            ORACLES[name] = oracle
         return plan
     return wrap
 
 
+def oracles() -> dict[str, str]:
+    """Complete oracle texts; assembled here, when all shared views have been named."""
+    return {name: assemble(sql) for name, sql in ORACLES.items()}
+
+
 def runners() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvergrain.llm import mixing, packing, prefix_counts, sharding, token_files
+from silvergrain.llm import (
+    compression_quality,
+    language_id,
+    mixing,
+    packing,
+    prefix_counts,
+    repetition,
+    sharding,
+    token_files,
+)
 from silvergrain.llm.common import table
 from silvergrain.session import shared_folder
 
@@ -30,6 +39,11 @@ def op2_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+@query
+def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -46,3 +60,18 @@ def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_extendible_hash_shards"] = sharding.ORACLE
+
+
+@query
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression_quality.train(docs, table(spark, sf_dir, "labels"))
+    scores = compression_quality.quality_scores(docs, model)
+    return scores.select("doc_id", compression_quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_marginal_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.languages(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")

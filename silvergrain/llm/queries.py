@@ -4,11 +4,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from silvergrain.llm import (
+    adaptive_scan,
     compression_quality,
     language_id,
     mixing,
+    near_duplicates,
     packing,
     prefix_counts,
     repetition,
@@ -75,3 +78,13 @@ def op9_marginal_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     found = language_id.languages(docs, language_id.train(docs))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

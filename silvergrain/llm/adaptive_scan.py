@@ -7,8 +7,8 @@ rotation spreads the distances over all coordinates, so that a few blocks of
 columns already estimate a whole distance: after each block, candidates whose
 estimate exceeds the bound by more than chance allows are abandoned.
 
-The bound of a query is the distance of its k-th neighbour in the sample, which
-are real candidates and enter its result. So tasks need not wait for each other.
+The bound of a query is the distance of its k-th neighbour among some vectors of
+the sample, which are real candidates and enter its result. So tasks need not wait for each other.
 How many lists a query probes is measured on the sample: as many as give the
 wanted recall there against brute force.
 
@@ -38,9 +38,10 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` vectors fit the lists and the bounds; at least ``per_list`` of them for each list."""
+    """``sample`` vectors fit the lists, at least ``per_list`` for each; an eighth, up to ``bounding``, gives bounds."""
     neighbours: int = 20
     sample: int = 65_536
+    bounding: int = 8_192
     per_list: int = 32
     trials: int = 1_024
     recall: float = 0.965
@@ -71,16 +72,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 class Index:
-    """Centroids, rotation, the sample, and the number of lists to probe."""
+    """Centroids, rotation, some vectors that give bounds, and the number of lists to probe."""
 
     def __init__(self, sample: np.ndarray, ids: list[list[int]], largest: float, total: int, settings: Settings):
-        self.settings, self.largest, self.sample, self.ids = settings, largest, sample, ids
+        self.settings, self.largest = settings, largest
         rng = np.random.default_rng(settings.seed)
+        some = np.sort(rng.choice(len(sample), min(settings.bounding, -(-len(sample) // 8)), replace=False))
+        self.bounding, self.ids = sample[some], [ids[i] for i in some]
         dims = sample.shape[1] + 1
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         lists = int(max(1, min(np.sqrt(total), len(sample) // settings.per_list)))
         self.centroids = self._centroids(self.lifted(sample), lists, rng)
-        self.probes = self._probes(rng)
+        self.probes = self._probes(sample, rng)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.largest ** 2 - (x * x).sum(1), 0))
@@ -109,27 +112,27 @@ class Index:
     def flat(queries: np.ndarray) -> np.ndarray:
         return np.concatenate([queries, np.zeros((len(queries), 1))], 1)
 
-    def _probes(self, rng) -> int:
+    def _probes(self, sample: np.ndarray, rng) -> int:
         k = self.settings.neighbours
-        if len(self.sample) <= k + 1:
+        if len(sample) <= k + 1:
             return len(self.centroids)
-        trial = rng.choice(len(self.sample), min(self.settings.trials, len(self.sample)), replace=False)
-        owner, places = self.owners(self.sample), []
+        trial = rng.choice(len(sample), min(self.settings.trials, len(sample)), replace=False)
+        owner, places = self.owners(sample), []
         for part in np.array_split(trial, max(1, len(trial) // 128)):
-            scores = self.sample[part] @ self.sample.T
+            scores = sample[part] @ sample.T
             scores[np.arange(len(part)), part] = -np.inf
             best = np.argpartition(-scores, k, axis=1)[:, :k]
-            order = self.order(self.flat(self.sample[part]))
+            order = self.order(self.flat(sample[part]))
             rank = order.argsort(1).argsort(1)
             places.append(np.take_along_axis(rank, owner[best], 1).ravel())
         return int(np.quantile(np.concatenate(places), self.settings.recall, method="higher")) + 1
 
     def first_results(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query: its bound (the lowest score that may matter), and its best sample rows with scores."""
-        k = min(self.settings.neighbours + 1, len(self.sample))
-        scores = queries @ self.sample.T
+        """For each query: its bound (the lowest score that may matter), and its best bounding rows with scores."""
+        k = min(self.settings.neighbours + 1, len(self.bounding))
+        scores = queries @ self.bounding.T
         best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        exact = np.stack([(self.sample[b] * q).sum(1) for b, q in zip(best, queries)])
+        exact = np.stack([(self.bounding[b] * q).sum(1) for b, q in zip(best, queries)])
         bound = exact.min(1) if k == self.settings.neighbours + 1 else np.full(len(queries), -np.inf)
         return bound, best, exact
 
@@ -185,7 +188,7 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
     asked = cut_lineage(queries.select("embedding").distinct().withColumn("q", F.monotonically_increasing_id()))
     if distinct.isEmpty() or asked.isEmpty():
         return spark.createDataFrame([], RESULT)
-    index = spark.sparkContext.broadcast(_fit(distinct, settings))  # the sample and the lists, both of bounded size
+    index = spark.sparkContext.broadcast(_fit(distinct, settings))  # bounding vectors and lists, both of bounded number
 
     def assign(batches):
         for batch in batches:

@@ -101,8 +101,3 @@ def flag_title(name: Column) -> Column:
 
 def plural(count: Column, noun: str) -> Column:
     return F.concat(count.cast("string"), F.lit(f" {noun}"), F.when(count == 1, "").otherwise("s"))
-
-
-def set_signature(ids: Column) -> Column:
-    """Digest of a set of ids, independent of their order."""
-    return F.md5(F.array_join(F.array_sort(ids), "|").cast("binary"))

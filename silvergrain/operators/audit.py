@@ -31,29 +31,31 @@ def source_counts(media: DataFrame) -> DataFrame:
     return media.groupBy("dt_source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dt_source")
 
 
-def raw_tag_counts(media: DataFrame, limit: int = 250) -> DataFrame:
-    """Most frequent raw tags of active photos; case kept, nothing excluded."""
+def raw_tag_counts(media: DataFrame) -> DataFrame:
+    """Counts of all raw tags of active photos; case kept, nothing excluded."""
     tags = F.explode(text.split_tags(F.col("path_tags"), F.col("custom_tags")))
-    return (media.where("is_deleted = 0").select(tags.alias("tag")).groupBy("tag")
-            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(limit))
+    return media.where("is_deleted = 0").select(tags.alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dated_with_hint(media: DataFrame, limit: int = 5000) -> DataFrame:
+def dated_with_hint(media: DataFrame) -> DataFrame:
+    """All active photos that have a date although their path says they have none."""
     rows = media.where((F.col("is_deleted") == 0) & undated_hint() & (F.col("final_dt") != ZERO_DATE))
-    return rows.select(*AUDIT_COLUMNS).orderBy(F.desc("final_dt"), "rel_fqn", "sha1").limit(limit)
+    return rows.select(*AUDIT_COLUMNS)
 
 
-def zero_date_without_hint(media: DataFrame, limit: int = 5000) -> DataFrame:
+def zero_date_without_hint(media: DataFrame) -> DataFrame:
+    """All active photos without a date whose path doesn't say so."""
     rows = media.where((F.col("is_deleted") == 0) & ~undated_hint() & (F.col("final_dt") == ZERO_DATE))
-    return rows.select(*AUDIT_COLUMNS).orderBy("rel_fqn", "sha1").limit(limit)
+    return rows.select(*AUDIT_COLUMNS)
 
 
-def sample(media: DataFrame, limit: int = 5000) -> DataFrame:
-    return media.select(*AUDIT_COLUMNS).orderBy(F.desc("final_dt"), "rel_fqn", "sha1").limit(limit)
+def sample(media: DataFrame, rows: int) -> DataFrame:
+    """The latest ``rows`` photos, deleted ones included."""
+    return media.select(*AUDIT_COLUMNS).orderBy(F.desc("final_dt"), "rel_fqn", "sha1").limit(rows)
 
 
-def report(media: DataFrame) -> DataFrame:
-    """The audit as ``section, line`` JSON rows, ready for a JSON lines sink."""
+def report(media: DataFrame, sample_rows: int) -> DataFrame:
+    """The audit as ``section, line`` JSON rows, ready for a JSON lines sink; only the sample has a size."""
     def section(name: str, rows: DataFrame) -> DataFrame:
         return rows.select(F.lit(name).alias("section"), F.to_json(F.struct(*rows.columns)).alias("line"))
 
@@ -61,4 +63,4 @@ def report(media: DataFrame) -> DataFrame:
             .unionByName(section("top_tags", raw_tag_counts(media)))
             .unionByName(section("undated_anomalies", dated_with_hint(media)))
             .unionByName(section("zero_date_without_hint", zero_date_without_hint(media)))
-            .unionByName(section("sample", sample(media))))
+            .unionByName(section("sample", sample(media, sample_rows))))

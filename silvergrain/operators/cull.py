@@ -9,15 +9,8 @@ from silvergrain.operators.ordering import top_rows
 
 HOLDING = ("_trash", "_stash", "_cull")
 
-# Holding folders by category. Site-specific categories are
-# passed as a folder name.
-STASH_FOLDERS = {
-    "general": "_stash", "game-art": "_stash/game-art", "screenshots": "_stash/screenshots",
-    "documents": "_stash/documents", "zentangle": "_stash/zentangle",
-    "personal-artwork": "_stash/personal-artwork", "museum": "_stash/museum", "Movies16mm": "_stash/movies-16mm",
-    "CarShow": "_stash/carshow", "models": "_stash/models", "architecture": "_stash/architecture",
-    "masonic": "_stash/masonic", "undated": "_stash/undated",
-}
+#: Holding folder of a plain soft move; other folders are passed by name.
+STASH = "_stash"
 
 
 def formula_order() -> list[Column]:
@@ -27,9 +20,8 @@ def formula_order() -> list[Column]:
 
 
 def winners(scored: DataFrame, group: list[str], keep: int) -> DataFrame:
-    """Best ``keep`` photos of each group by formula."""
-    distinct = scored.dropDuplicates([*group, "sha1"])
-    return top_rows(distinct, group, max(1, keep), *formula_order())
+    """Best ``keep`` photos of each group by formula; a photo has one row per group."""
+    return top_rows(scored, group, max(1, keep), *formula_order())
 
 
 def keepers(members: DataFrame, scored: DataFrame) -> DataFrame:

@@ -147,13 +147,14 @@ def membership(rows: DataFrame) -> DataFrame:
 def scope_signatures(members: DataFrame) -> DataFrame:
     """Order-free digest of each scope's photo set, for change detection.
 
-    Ids are folded with exact sums of 60-bit slices of each id rather than
-    collected, so a scope of any size is one partial aggregate per task.
+    All forty digits of each id are folded with exact sums of slices of up to
+    60 bits rather than collected, so a scope of any size is one partial
+    aggregate per task.
     """
-    part = lambda at: F.conv(F.substring("sha1", at, 12), 16, 10).cast("decimal(38,0)")
+    part = lambda at: F.conv(F.substring("sha1", at, 15), 16, 10).cast("decimal(38,0)")
     return members.groupBy("scope_type", "scope_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(part(1)).alias("s1"), F.sum(part(13)).alias("s2"),
-        F.sum(part(25)).alias("s3")).select(
+        F.count(F.lit(1)).alias("n"), F.sum(part(1)).alias("s1"), F.sum(part(16)).alias("s2"),
+        F.sum(part(31)).alias("s3")).select(
         "scope_type", "scope_key", F.col("n").alias("photo_count"),
         F.md5(F.concat_ws("|", F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"),
                           F.col("s3").cast("string")).cast("binary")).alias("signature"))
@@ -169,11 +170,3 @@ def selection_signature(selected: DataFrame, version: str) -> DataFrame:
             .select("scope_type", "scope_key", F.array_join("ids", ",").alias("sha1_list"),
                     F.md5(F.concat(F.array_join("ids", "|"), F.lit("|" + version)).cast("binary"))
                     .alias("composite_hash")))
-
-
-def gallery_title(ts):
-    return F.date_format(F.timestamp_seconds(ts), "MMMM d, yyyy")
-
-
-def gallery_subtitle(size):
-    return text.plural(size, "photo")

@@ -24,14 +24,13 @@ def dot(left: Column, right: Column) -> Column:
 def bank_row(bank: DataFrame) -> DataFrame:
     """One row holding the whole bank as an array ordered by ``label_pos``.
 
-    The bank is a fixed vocabulary; a bank above ``MAX_BANK_LABELS`` fails
-    instead of growing the broadcast without notice.
+    The bank is a fixed vocabulary. It is measured before it is gathered: one
+    above ``MAX_BANK_LABELS`` fails instead of growing the broadcast.
     """
+    if bank.limit(MAX_BANK_LABELS + 1).count() > MAX_BANK_LABELS:
+        raise ValueError(f"a label bank holds at most {MAX_BANK_LABELS} labels")
     item = F.struct("label_pos", "label", "vector")
-    packed = bank.agg(F.array_sort(F.collect_list(item)).alias("bank"))
-    checked = F.when(F.size("bank") <= MAX_BANK_LABELS, F.col("bank")).otherwise(
-        F.raise_error(F.lit("label bank is larger than its bound")))
-    return packed.select(checked.alias("bank"))
+    return bank.agg(F.array_sort(F.collect_list(item)).alias("bank"))
 
 
 def label_probabilities(images: DataFrame, bank: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Signal tables: work lists, keyed writes, child sets, ledgers and joined records."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +13,7 @@ from silvergrain.operators.ordering import top_rows
 RETRY_PATTERNS = ("clip_model_load_failed", "clip_inference_failed", "CLIP unavailable", "transformers_init_failed",
                   "open_clip_init_failed", "clip_backend_unavailable")
 
+# Names a summary column may have in an export, best first.
 SUMMARY_COLUMNS = ("summary", "summary_text", "ai_summary", "caption", "description", "text")
 
 
@@ -19,9 +21,12 @@ SUMMARY_COLUMNS = ("summary", "summary_text", "ai_summary", "caption", "descript
 
 def optional_table(spark: SparkSession, path: str, schema: StructType | str, key: str = "sha1") -> DataFrame:
     """A signal table, or an empty one with its schema when nothing was written yet."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    rows = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
     return keyed(rows, key)
 
 

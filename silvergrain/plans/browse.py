@@ -189,9 +189,9 @@ WITH m AS (
   UNION ALL SELECT sha1, 'folder', array_to_string(p[1:d], '/') FROM (
     SELECT sha1, p, unnest(range(1, len(p))) AS d FROM (SELECT sha1, string_split(web_path, '/') AS p FROM o_browse)))
 SELECT scope_type, scope_key, count(*) AS photo_count,
-  md5(concat_ws('|', count(*)::VARCHAR, sum(('0x' || substr(sha1, 1, 12))::BIGINT)::HUGEINT::VARCHAR,
-    sum(('0x' || substr(sha1, 13, 12))::BIGINT)::HUGEINT::VARCHAR,
-    sum(('0x' || substr(sha1, 25, 12))::BIGINT)::HUGEINT::VARCHAR)) AS signature
+  md5(concat_ws('|', count(*)::VARCHAR, sum(('0x' || substr(sha1, 1, 15))::BIGINT)::HUGEINT::VARCHAR,
+    sum(('0x' || substr(sha1, 16, 15))::BIGINT)::HUGEINT::VARCHAR,
+    sum(('0x' || substr(sha1, 31, 10))::BIGINT)::HUGEINT::VARCHAR)) AS signature
 FROM m GROUP BY 1, 2""")
 def scope_signatures(a) -> DataFrame:
     return scopes.scope_signatures(scopes.membership(a.active))
@@ -200,7 +200,7 @@ def scope_signatures(a) -> DataFrame:
 # --- selections and grid orders -------------------------------------------------
 
 def _request(a) -> DataFrame:
-    """An ordered id request: every third photo, positions by id."""
+    """An ordered id request: the photos whose id starts with one of five digits, positions by id."""
     ids = a.media.where("substring(sha1, 1, 1) IN ('0', '3', '6', '9', 'c')").select("sha1")
     return ordering.with_positions(ids, [], F.col("sha1"))
 

@@ -171,7 +171,7 @@ SELECT sha1, CASE WHEN target IS NULL THEN rel_fqn ELSE replace(CASE WHEN nth =
 
 def _moved(a) -> tuple[DataFrame, DataFrame]:
     request = _request(a)
-    return request, cull.soft_move(a.media, request, cull.STASH_FOLDERS["general"])
+    return request, cull.soft_move(a.media, request, cull.STASH)
 
 
 @query("soft_move", "SNK9", oracle="SELECT * FROM o_moved")

@@ -75,6 +75,8 @@ def config_lists(a) -> DataFrame:
 HINT = "(contains(lower(coalesce(rel_fqn, '')), 'undated') OR contains(lower(coalesce(path_tags, '')), 'undated'))"
 ZERO = "final_dt = '0000-00-00 00:00:00'"
 AUDIT = ", ".join(audit.AUDIT_COLUMNS)
+#: Size of the plain sample, an argument of the report.
+SAMPLE_ROWS = 5000
 
 view("o_totals", f"""
 SELECT count(*) AS total_rows, count(*) FILTER (is_deleted = 0) AS active_rows, count(*) FILTER (is_deleted <> 0) AS deleted_rows,
@@ -93,7 +95,7 @@ def dt_source_counts(a) -> DataFrame:
     return audit.source_counts(a.media)
 
 
-view("o_tag_counts", "SELECT tag, count(*) AS n FROM o_raw_tags GROUP BY 1 ORDER BY n DESC, tag LIMIT 250")
+view("o_tag_counts", "SELECT tag, count(*) AS n FROM o_raw_tags GROUP BY 1")
 
 
 @query("raw_tag_counts", "SUM3", oracle="SELECT * FROM o_tag_counts")
@@ -102,10 +104,10 @@ def raw_tag_counts(a) -> DataFrame:
 
 
 view("o_anomalies", f"""
-SELECT {AUDIT} FROM media WHERE is_deleted = 0 AND {HINT} AND NOT {ZERO} ORDER BY final_dt DESC, rel_fqn, sha1 LIMIT 5000""")
+SELECT {AUDIT} FROM media WHERE is_deleted = 0 AND {HINT} AND NOT {ZERO}""")
 view("o_zero_no_hint", f"""
-SELECT {AUDIT} FROM media WHERE is_deleted = 0 AND NOT {HINT} AND {ZERO} ORDER BY rel_fqn, sha1 LIMIT 5000""")
-view("o_sample", f"SELECT {AUDIT} FROM media ORDER BY final_dt DESC, rel_fqn, sha1 LIMIT 5000")
+SELECT {AUDIT} FROM media WHERE is_deleted = 0 AND NOT {HINT} AND {ZERO}""")
+view("o_sample", f"SELECT {AUDIT} FROM media ORDER BY final_dt DESC, rel_fqn, sha1 LIMIT {SAMPLE_ROWS}")
 
 
 @query("undated_anomalies", "FIL8", oracle="SELECT * FROM o_anomalies")
@@ -120,7 +122,7 @@ def zero_date_no_hint(a) -> DataFrame:
 
 @query("archive_sample", "FIL10", oracle="SELECT * FROM o_sample")
 def archive_sample(a) -> DataFrame:
-    return audit.sample(a.media)
+    return audit.sample(a.media, SAMPLE_ROWS)
 
 
 def _json_line(section: str, source: str) -> str:
@@ -139,7 +141,7 @@ _AUDIT_JSON = ("'{' || concat_ws(',', " + ", ".join(
     + [f"SELECT '{s}', {_AUDIT_JSON} FROM {v}" for s, v in
        [("undated_anomalies", "o_anomalies"), ("zero_date_without_hint", "o_zero_no_hint"), ("sample", "o_sample")]]))
 def debug_report(a) -> DataFrame:
-    return audit.report(a.media)
+    return audit.report(a.media, SAMPLE_ROWS)
 
 
 # --- work lists ------------------------------------------------------------------
@@ -166,9 +168,9 @@ def todo_warnings(a) -> DataFrame:
 
 @query("todo_no_retry", "JON4", oracle="""
 SELECT m.sha1, m.rel_fqn FROM o_active m LEFT JOIN ai_summaries s ON s.sha1 = m.sha1 AND s.model_version = 'caption_v1'
-WHERE s.sha1 IS NULL ORDER BY m.sha1 LIMIT 400""")
+WHERE s.sha1 IS NULL""")
 def todo_no_retry(a) -> DataFrame:
-    return sidecars.todo_by_warnings(a.active, a.summaries, "caption_v1", retry=False, limit=400)
+    return sidecars.todo_by_warnings(a.active, a.summaries, "caption_v1", retry=False)
 
 
 @query("todo_patterns", "JON5", oracle="""

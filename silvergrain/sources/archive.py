@@ -23,16 +23,9 @@ class Archive:
         self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        """A base table; its footer is read once per archive.
-
-        A table that arrives in fewer splits than there are cores is spread
-        over them. Large tables have many splits and are read as they lie.
-        """
+        """A base table, as its files lie; its footer is read once per archive."""
         if name not in self._base:
-            rows = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            cores = self.spark.sparkContext.defaultParallelism
-            few = rows.rdd.getNumPartitions() < cores
-            self._base[name] = rows.repartition(cores) if few else rows
+            self._base[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return self._base[name]
 
     def derived(self, name: str) -> DataFrame:

@@ -9,11 +9,12 @@ has can't be part of an agreement, so only tuples that occur twice are paired.
 Two sets with similarity s share no table with probability of about
 2 * (1 - s^2)^14: 2e-5 at the limit of 0.75, 2e-6 at 0.8.
 
-Inside a table, candidates are not paired off. Every node is first checked
-against one leader, on the full sets; links join components. Tables whose nodes
-lie in different components get another leader, and what then still lies apart
-is checked pair by pair. A pair inside one component can't change the result, so
-nothing that could is left out.
+Inside a table, candidates are not paired off. Nodes are first checked
+against their tables' leaders, the smallest nodes, on the full sets; links join components. What
+then still lies apart in some table is searched exactly: two sets that are
+similar enough share one of the shingles that stand first in them, when all are
+ordered from rare to common. So a passage that thousands share pairs none of
+them. Pairs inside one component can't change the result and are left out.
 
 Missing or wordless text has an empty set and is linked with nothing. Rows that
 repeat a doc_id with one text are one document; a row without doc_id is linked
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvergrain.llm.common import by_batch, record, texts
@@ -35,8 +36,10 @@ from silvergrain.session import cut_lineage
 SHINGLE = 5
 #: Tuples in each of the two collections, and hashes in a tuple.
 TUPLES, WIDTH = 14, 2
-#: Rounds in which each table's nodes are compared with one leader.
-LEADER_ROUNDS = 3
+#: Tables in which a node must meet a leader to be checked with it at first; similar sets meet in dozens.
+MEETINGS = 4
+#: Links need 100 * intersection >= LEAST * union.
+LEAST = 75
 #: Up to so many ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Shingles whose hashes are computed together.
@@ -135,16 +138,15 @@ def _tables(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``x, y`` with 100 * intersection >= 75 * union, on full sets."""
+    """The pairs ``x, y`` whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("of_x"))
     right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("of_y"))
     common, total = F.size(F.array_intersect("of_x", "of_y")), F.size("of_x") + F.size("of_y")
-    return (pairs.join(left, "x").join(right, "y").where(100 * common >= 75 * (total - common)).select("x", "y"))
+    return pairs.join(left, "x").join(right, "y").where(100 * common >= LEAST * (total - common)).select("x", "y")
 
 
-def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("node"))
+def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds each node's component; one without links is its own."""
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -152,20 +154,53 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
 
-def _leader_pairs(rows: DataFrame, round_no: int) -> DataFrame:
-    """Each node of a mixed table with the table's leader, if their components differ."""
-    order = F.xxhash64(F.lit(round_no), "node") if round_no else F.col("node")
-    rank = F.struct(order.alias("order"), F.col("node"), F.col("label"))
-    leaders = rows.groupBy("bucket").agg(F.min(rank).alias("first")).select(
-        "bucket", F.col("first.node").alias("leader"), F.col("first.label").alias("of_leader"))
-    return rows.join(leaders, "bucket").where("label <> of_leader").select(*_ordered("node", "leader")).distinct()
-
-
-def _apart_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of a table's nodes whose components differ."""
-    other = rows.select("bucket", F.col("node").alias("other"), F.col("label").alias("of_other"))
-    return (rows.join(other, "bucket").where("node < other AND label <> of_other")
-            .select(*_ordered("node", "other")).distinct())
+def _leader_pairs(tables: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Nodes with the smallest node of their tables, where they meet often and their sizes allow a link."""
+    leaders = tables.groupBy("bucket").agg(F.min("node").alias("leader"))
+    pairs = (tables.join(leaders, "bucket").where("node <> leader").groupBy(*_ordered("node", "leader"))
+             .agg(F.count(F.lit(1)).alias("tables")).where(F.col("tables") >= MEETINGS))
+    of_x = lengths.select(F.col("node").alias("x"), F.col("n_shingles").alias("n_x"))
+    of_y = lengths.select(F.col("node").alias("y"), F.col("n_shingles").alias("n_y"))
+    return (pairs.join(of_x, "x").join(of_y, "y")
+            .where(f"100 * least(n_x, n_y) >= {LEAST} * greatest(n_x, n_y)").select("x", "y"))
+
+
+def _apart_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs in different components among ``node, label``: an exact prefix filter.
+
+    Of n shingles, a similar set must hold one of the first n - ceil(0.75 n) + 1,
+    in any order common to all, and from the first common one on there must be
+    enough left in both. The order is by the number of sets that hold a shingle.
+    A shingle whose sets all lie in one component is dropped; where most
+    of its sets lie in one, only the others look for partners.
+    """
+    rows = cut_lineage(nodes.join(sets, "node").select(
+        "node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("torn"))
+    shared = rows.join(common.where("df > 1"), "shingle")
+    own = Window.partitionBy("node")  # one document's shingles
+    placed = (shared.withColumn("rare", F.col("n") - F.count(F.lit(1)).over(own))
+              .withColumn("rank", F.col("rare") + F.row_number().over(own.orderBy("df", "shingle"))))
+    first = cut_lineage(placed.where(f"torn AND rank <= n - ceil({LEAST} * n / 100) + 1").select("shingle", "node", "label", "n", "rank"))
+    main = (first.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("shingle")
+            .agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1"))
+    seeking = first.join(main, "shingle").where("label <> main")
+    other = first.select("shingle", F.col("node").alias("other"), F.col("label").alias("of_other"), F.col("n").alias("n_other"),
+                         F.col("rank").alias("rank_other"))
+    near = (f"label <> of_other AND 100 * least(n, n_other) >= {LEAST} * greatest(n, n_other)"
+            f" AND {100 + LEAST} * (1 + least(n - rank, n_other - rank_other)) >= {LEAST} * (n + n_other)")
+    return seeking.join(other, "shingle").where(near).select(*_ordered("node", "other")).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links between nodes."""
+    ends = (links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("l_x")), "x", "left")
+            .join(labels.select(F.col("node").alias("y"), F.col("label").alias("l_y")), "y", "left")
+            .select(F.coalesce("l_x", "x").alias("u"), F.coalesce("l_y", "y").alias("v")))
+    found = components(ends)
+    moved = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut_lineage(old.union(found.join(labels.select("node"), "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,46 +212,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                                      F.first("b").alias("b"), F.first("n_shingles").alias("n_shingles")))
     tables = _tables(nodes)
     wanted = cut_lineage(tables.select("node").distinct())
-    sizes = nodes.select("node", "set_key", "n_shingles").join(wanted, "node", "left_semi")
+    keys = nodes.select("node", "set_key").join(wanted, "node", "left_semi")
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.withColumnRenamed("node", "doc_id")
     chosen = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = (_sets(chosen).join(sizes.select("node", "set_key"), ["node", "set_key"], "left_semi")
-            .dropDuplicates(["node"]).select("node", "shingles"))
-    sets = cut_lineage(sets)
-    lengths = nodes.select("node", "n_shingles")
-    labels, tested = None, None
-    mixed = tables
-    for round_no in range(LEADER_ROUNDS + 1):
-        labelled = cut_lineage(_with_labels(mixed, labels))
-        torn = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
-        labelled = cut_lineage(labelled.join(torn.select("bucket"), "bucket", "left_semi"))
-        if labelled.isEmpty():
-            break
-        mixed = labelled.select("node", "bucket")
-        pairs = _leader_pairs(labelled, round_no) if round_no < LEADER_ROUNDS else _apart_pairs(labelled)
-        of_x = lengths.select(F.col("node").alias("x"), F.col("n_shingles").alias("n_x"))
-        of_y = lengths.select(F.col("node").alias("y"), F.col("n_shingles").alias("n_y"))
-        alike = (pairs.join(of_x, "x").join(of_y, "y")
-                 .where("100 * least(n_x, n_y) >= 75 * greatest(n_x, n_y)").select("x", "y"))
-        if tested is not None:
-            alike = alike.join(tested, ["x", "y"], "left_anti")
-        alike = cut_lineage(alike)
-        if alike.isEmpty():
-            continue
-        tested = alike if tested is None else tested.union(alike)
-        links = _confirmed(alike, sets)
-        if labels is not None:  # links between components
-            links = (links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("l_x")), "x", "left")
-                     .join(labels.select(F.col("node").alias("y"), F.col("label").alias("l_y")), "y", "left")
-                     .select(F.coalesce("l_x", "x").alias("x"), F.coalesce("l_y", "y").alias("y")))
-        found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        if labels is None:
-            labels = found
-        else:  # components that met take their common label; nodes that were alone come in
-            moved = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = cut_lineage(old.union(found.join(labels.select("node"), "node", "left_anti")))
+    sets = cut_lineage(_sets(chosen).join(keys, ["node", "set_key"], "left_semi")
+                       .dropDuplicates(["node"]).select("node", "shingles"))
+    tested = cut_lineage(_leader_pairs(tables, nodes.select("node", "n_shingles")))
+    labels = components(_confirmed(tested, sets).select(F.col("x").alias("u"), F.col("y").alias("v")))
+    labelled = cut_lineage(_with_labels(tables, labels))
+    torn = labelled.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("torn")).where("torn")
+    apart = cut_lineage(labelled.join(torn, "bucket", "left_semi").select("node", "label").distinct())
+    pairs = cut_lineage(_apart_pairs(apart, sets).join(tested, ["x", "y"], "left_anti"))
+    labels = _joined(labels, _confirmed(pairs, sets))
     of_set = _with_labels(nodes.select("node", "set_key"), labels).select("set_key", "label")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("label")), F.col("doc_id"))
     return (signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")

@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from silvergrain.functions import geo, text
 from silvergrain.functions.score import zero
 from silvergrain.operators import sessions
-from silvergrain.operators.ordering import top_rows
+from silvergrain.operators.ordering import top_rows, with_positions
+from silvergrain.session import cut_lineage
 
 LEVELS = ("root", "country", "region", "city", "place")
 
@@ -74,7 +74,7 @@ PATH = ["country_label", "region_label", "city_label"]
 def leaf_nodes(records: DataFrame) -> DataFrame:
     """Photos aggregated per (city, coordinate): the only pass over all records.
 
-    A leaf is keyed by its city and coordinate; its label is the one of its
+    A leaf is keyed by its city and coordinate, which its id spells; its label is the one of its
     first record by id.
     """
     return records.groupBy(*PATH, "coord_key").agg(
@@ -86,7 +86,7 @@ def leaf_nodes(records: DataFrame) -> DataFrame:
 def merged_leaves(leaves: DataFrame) -> DataFrame:
     """Leaves of one city with the same normalised label become one, named by the largest."""
     named = leaves.withColumns({"norm": text.normal_token(F.col("label")),
-                                "node_id": F.concat(F.lit("place::"), F.col("coord_key"))})
+                                "node_id": F.concat_ws("::", F.lit("place"), *PATH, "coord_key")})
     top = F.max(F.struct("photo_count", "node_id", "coord_key", "label"))
     return named.groupBy(*PATH, "norm").agg(
         top.alias("top"), F.sum("photo_count").alias("photo_count"), F.sum("lat_sum").alias("lat_sum"),
@@ -98,9 +98,10 @@ def merged_leaves(leaves: DataFrame) -> DataFrame:
 def place_tree(records: DataFrame) -> DataFrame:
     """Node table: id, level, label, parent, count, mean position, cover, child count and order.
 
-    Ancestors roll up from the leaves, not from photos.
+    Ancestors roll up from the leaves, not from photos. The leaves are written
+    once, and so are the nodes, which are counted and ordered from there.
     """
-    leaves = merged_leaves(leaf_nodes(records))
+    leaves = cut_lineage(merged_leaves(leaf_nodes(records)))
     upper = leaves.rollup(*PATH).agg(
         F.sum("photo_count").alias("photo_count"), F.sum("lat_sum").alias("lat_sum"),
         F.sum("lon_sum").alias("lon_sum"), F.max("best").alias("best"), F.grouping_id().alias("gid"))
@@ -123,11 +124,12 @@ def place_tree(records: DataFrame) -> DataFrame:
     nodes = upper.select(by_level(ids).alias("node_id"), by_level(levels).alias("level"),
                          by_level(labels).alias("label"), by_level(parents).alias("parent_id"), *stats)
     tips = leaves.select("node_id", F.lit("place").alias("level"), "label", ids[0].alias("parent_id"), *stats)
-    tree = nodes.unionByName(tips).where("photo_count > 0")
-    children = tree.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("child_count"))
-    order = Window.partitionBy("parent_id").orderBy(F.desc("photo_count"), F.lower("label"), F.col("node_id"))
-    return (tree.join(children.where("node_id IS NOT NULL"), "node_id", "left")
-            .withColumn("child_order", F.row_number().over(order).cast("long"))
+    tree = nodes.unionByName(tips).where("photo_count > 0").withColumns({
+        "of": F.coalesce("parent_id", F.lit("")), "sort_label": F.lower("label")})
+    # A node may have any number of children (all photos without an address share a city), so positions come from slices.
+    placed = cut_lineage(with_positions(tree, ["of"], F.desc("photo_count"), F.col("sort_label"), F.col("node_id")))
+    children = placed.groupBy(F.col("of").alias("node_id")).agg(F.count(F.lit(1)).alias("child_count"))
+    return (placed.join(children, "node_id", "left").withColumn("child_order", F.col("pos") + 1)
             .select("node_id", "level", "label", "parent_id", "photo_count",
                     (F.col("lat_sum") / F.col("photo_count")).alias("lat"),
                     (F.col("lon_sum") / F.col("photo_count")).alias("lon"),
@@ -135,10 +137,10 @@ def place_tree(records: DataFrame) -> DataFrame:
                     "child_order"))
 
 
-def tree_totals(records: DataFrame, tree: DataFrame) -> DataFrame:
-    located = records.agg(F.count(F.lit(1)).alias("geotagged_count"))
-    leaves = tree.agg(F.count_if(F.col("level") == "place").alias("leaf_count"))
-    return located.crossJoin(leaves)
+def tree_totals(tree: DataFrame) -> DataFrame:
+    leaf = F.col("level") == "place"
+    return tree.agg(F.coalesce(F.sum(F.when(leaf, F.col("photo_count"))), F.lit(0)).alias("geotagged_count"),
+                    F.count_if(leaf).alias("leaf_count"))
 
 
 def node_path(tree: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def node_members(records: DataFrame, include_places: bool = True) -> DataFrame:
 
     A photo's leaf is the merged one, found through the leaf table.
     """
-    leaves = leaf_nodes(records)
+    leaves = cut_lineage(leaf_nodes(records))
     merged = merged_leaves(leaves).select(*PATH, "norm", "node_id")
     leaf_of = (leaves.withColumn("norm", text.normal_token(F.col("label")))
                .select(*PATH, "coord_key", "norm").join(merged, [*PATH, "norm"]).drop("norm"))

@@ -67,8 +67,8 @@ def _breakdown(scored: DataFrame, name: str, *extra: str) -> DataFrame:
         F.round("sem", 6).alias("semantic_score"), F.round("face", 6).alias("face_score"), *extra, "note")
 
 
-def hero_scores(star: DataFrame) -> DataFrame:
-    """Batch hero score with its breakdown and notes."""
+def hero_scores(star: DataFrame, *extra: str) -> DataFrame:
+    """Batch hero score with its breakdown and notes, and further columns of the star."""
     rows = _signals(star).withColumn(
         "face", face_score(F.col("face_count"), F.col("prominent_face_count"), F.col("largest_face_area_ratio")))
     pet = text.contains_any(F.col("summary_text"), text.HERO_PET_WORDS)
@@ -85,7 +85,7 @@ def hero_scores(star: DataFrame) -> DataFrame:
     note = joined_notes((people, "people"), (animals, "animals"), (animals, "animal_prominence"),
                         (pet, "dog_summary_bonus"), (land, "landscape"), (food, "food"),
                         (tech < 0.25, "low_tech_penalty"), (doc, "document_penalty"), (shot, "screenshot_penalty"))
-    return _breakdown(rows.withColumns({"raw": score, "note": note}), "hero_score")
+    return _breakdown(rows.withColumns({"raw": score, "note": note}), "hero_score", *extra)
 
 
 def cull_scores(star: DataFrame) -> DataFrame:
@@ -109,32 +109,20 @@ def cull_scores(star: DataFrame) -> DataFrame:
 
 # --- detail-view scores ----------------------------------------------------
 
-def _first_faces(faces: DataFrame, limit: int, values: dict[str, Column], *order: Column) -> DataFrame:
-    """One row per photo with ``<name>_1 .. <name>_limit`` of its first faces.
-
-    The group limit keeps at most ``limit`` faces per photo before the shuffle.
-    """
-    ranked = top_rows(faces, ["sha1"], limit, *order)
-    return ranked.groupBy("sha1").agg(*[
-        F.max(F.when(F.col("rank") == i, value)).alias(f"{name}_{i}")
-        for name, value in values.items() for i in range(1, limit + 1)])
+def _faces_in_order(order: Column, **values: Column) -> Column:
+    """The faces of one photo as an array, smallest ``order`` first, then by index; nulls last."""
+    key = F.coalesce(order.cast("double"), F.lit(float("inf")))
+    return F.array_sort(F.collect_list(F.struct(key.alias("_order"), F.col("face_index"),
+                                                *[v.alias(n) for n, v in values.items()])))
 
 
 def face_geometry(faces: DataFrame) -> DataFrame:
     """Two largest boxes per photo, and how many boxes have an area."""
     area = zero(F.col("area_ratio"))
-    counts = faces.groupBy("sha1").agg(F.count_if(area > 0).alias("positive_count"))
-    top = _first_faces(faces, 2, {"area": area}, area.desc(), F.asc("face_index"))
-    return counts.join(top, "sha1").select("sha1", "positive_count", F.col("area_1").alias("box_largest"),
-                                           F.coalesce("area_2", F.lit(0.0)).alias("box_second"))
-
-
-def asymmetry_hint(expression: DataFrame) -> DataFrame:
-    """Mean asymmetry of the first two faces that have one, by face index."""
-    known = expression.where(F.col("asymmetry_score").isNotNull())
-    first = _first_faces(known, 2, {"asym": F.col("asymmetry_score")}, F.asc("face_index"))
-    mean = (F.col("asym_1") + F.coalesce("asym_2", F.lit(0.0))) / F.when(F.col("asym_2").isNull(), 1).otherwise(2)
-    return first.select("sha1", mean.alias("asymmetry"))
+    found = faces.groupBy("sha1").agg(F.count_if(area > 0).alias("positive_count"),
+                                      _faces_in_order(-area, area=area).alias("boxes"))
+    return found.select("sha1", "positive_count", F.get("boxes", F.lit(0))["area"].alias("box_largest"),
+                        F.coalesce(F.get("boxes", F.lit(1))["area"], F.lit(0.0)).alias("box_second"))
 
 
 def face_subjectness(count: Column, largest: Column, second: Column) -> Column:
@@ -177,10 +165,9 @@ def expression_signal(best: Column, top2: Column, prominent: Column, moment: Col
                             (even, 0.05)) + asym)
 
 
-def people_signals(star: DataFrame, faces: DataFrame, expression: DataFrame, expr_summary: DataFrame) -> DataFrame:
+def people_signals(star: DataFrame, faces: DataFrame, expression: DataFrame) -> DataFrame:
     """Star rows plus face score, subjectness, people weight and expression signal."""
-    rows = (star.join(face_geometry(faces), "sha1", "left").join(asymmetry_hint(expression), "sha1", "left")
-            .join(expr_summary, "sha1", "left"))
+    rows = star.join(face_geometry(faces), "sha1", "left").join(expression_profile(expression), "sha1", "left")
     n, p = zero_int(F.col("face_count")), zero_int(F.col("prominent_face_count"))
     listed = zero(F.col("largest_face_area_ratio"))
     largest = F.when(zero_int(F.col("positive_count")) > 0, F.col("box_largest")).otherwise(listed)
@@ -317,27 +304,42 @@ def expression_metrics(faces: DataFrame) -> DataFrame:
     })
 
 
-def expression_summary(faces: DataFrame) -> DataFrame:
-    """Per-photo expression summary; faces ranked by expression times area."""
-    counts = faces.groupBy("sha1").agg(
+def expression_profile(faces: DataFrame) -> DataFrame:
+    """Expression summary of each photo and the mean asymmetry of its first two faces that have one.
+
+    One pass over the faces: those of a photo are few and fit a row. For the
+    summary they are ranked by expression times area.
+    """
+    weight = F.col("expression_score") * F.greatest("area_ratio", F.lit(0.000001))
+    grouped = faces.groupBy("sha1").agg(
         F.count(F.lit(1)).cast("int").alias("face_count_scored"),
         F.count_if(F.col("smile_score") >= 0.60).cast("int").alias("smiling_face_count"),
         F.count_if(F.col("eyes_open_score") >= 0.55).cast("int").alias("eyes_open_face_count"),
-        F.count_if(F.col("expression_score") >= 0.65).cast("int").alias("good_expression_face_count"))
-    weight = F.col("expression_score") * F.greatest("area_ratio", F.lit(0.000001))
-    top = _first_faces(faces, 3, {"e": F.col("expression_score"), "a": F.col("area_ratio")}, weight.desc(),
-                       F.asc("face_index"))
+        F.count_if(F.col("expression_score") >= 0.65).cast("int").alias("good_expression_face_count"),
+        _faces_in_order(-weight, e=F.col("expression_score"), a=F.col("area_ratio")).alias("top"),
+        _faces_in_order(F.col("face_index"), asym=F.col("asymmetry_score")).alias("listed"))
+
+    def top(i: int, name: str) -> Column:
+        return F.get("top", F.lit(i - 1))[name]
 
     def moment(i: int, share: float) -> Column:
-        part = F.col(f"e_{i}") * share * cap1(F.greatest(F.lit(0.10), F.col(f"a_{i}") / 0.05))
+        part = top(i, "e") * share * cap1(F.greatest(F.lit(0.10), top(i, "a") / 0.05))
         return F.coalesce(part, F.lit(0.0))
 
-    pair = (F.col("e_1") + F.coalesce("e_2", F.lit(0.0))) / F.least(F.lit(2), F.col("face_count_scored"))
-    return counts.join(top, "sha1").select(
+    known = F.filter(F.transform("listed", lambda f: f["asym"]), lambda x: x.isNotNull())
+    first, second = F.get(known, F.lit(0)), F.get(known, F.lit(1))
+    pair = (top(1, "e") + F.coalesce(top(2, "e"), F.lit(0.0))) / F.least(F.lit(2), F.col("face_count_scored"))
+    return grouped.select(
         "sha1", "face_count_scored", "smiling_face_count", "eyes_open_face_count", "good_expression_face_count",
-        F.col("e_1").alias("best_face_expression_score"), pair.alias("avg_top2_face_expression_score"),
-        (F.col("e_1") * F.col("a_1")).alias("prominent_face_expression_score"),
-        (moment(1, 1.00) + moment(2, 0.70) + moment(3, 0.45)).alias("people_moment_score"))
+        top(1, "e").alias("best_face_expression_score"), pair.alias("avg_top2_face_expression_score"),
+        (top(1, "e") * top(1, "a")).alias("prominent_face_expression_score"),
+        (moment(1, 1.00) + moment(2, 0.70) + moment(3, 0.45)).alias("people_moment_score"),
+        ((first + F.coalesce(second, F.lit(0.0))) / F.when(second.isNull(), 1).otherwise(2)).alias("asymmetry"))
+
+
+def expression_summary(faces: DataFrame) -> DataFrame:
+    """Per-photo expression summary; faces ranked by expression times area."""
+    return expression_profile(faces.withColumn("asymmetry_score", F.lit(None).cast("double"))).drop("asymmetry")
 
 
 def face_summary(boxes: DataFrame, prominent_at: float = 0.05) -> DataFrame:

@@ -67,24 +67,27 @@ def timeline_tags(dated: DataFrame) -> DataFrame:
     return rank_tags(counted, ["level", "scope"])
 
 
-def day_cells(dated: DataFrame) -> DataFrame:
-    """One row per day with photos: count, best photo, top tags, label."""
+def day_cells(dated: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row per day with photos: count, best photo, top tags, label; only the photo needs scores."""
     best = F.max(F.struct("hero_score", "final_dt", "sha1"))["sha1"]
-    days = dated.groupBy("date_key").agg(F.count(F.lit(1)).alias("photo_count"), best.alias("thumb_sha1"))
+    days = scored.groupBy("date_key").agg(F.count(F.lit(1)).alias("photo_count"), best.alias("thumb_sha1"))
     tags = (scope_tags(dated, ["date_key"], ascending=True).groupBy("date_key")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda s: s["tag"]).alias("t"))
             .select("date_key", F.array_join("t", ",").alias("top_tags"), F.element_at("t", 1).alias("location_label")))
     return days.join(tags, "date_key", "left")
 
 
-def month_calendar(dated: DataFrame) -> DataFrame:
-    """Every day of every month that has photos, Sunday-first weeks, joined to its day cell."""
+def month_calendar(dated: DataFrame, scored: DataFrame) -> DataFrame:
+    """Every day of every month that has photos, Sunday-first weeks, joined to its day cell.
+
+    ``scored`` holds the same photos with their hero score.
+    """
     first = F.to_date(F.concat_ws("-", "year", "month", F.lit("01")))
     months = dated.select("year", "month").distinct().withColumn("first", first)
     grid = (months.withColumn("date", F.explode(F.sequence("first", F.last_day("first"), F.expr("INTERVAL 1 DAY"))))
             .withColumn("date_key", F.date_format("date", "yyyy-MM-dd")))
     lead = F.dayofweek("first") - 1
-    cells = day_cells(dated)
+    cells = day_cells(dated, scored)
     return (grid.join(cells, "date_key", "left").select(
         "year", "month", "date_key", F.dayofmonth("date").alias("day"),
         F.floor((F.dayofmonth("date") - 1 + lead) / 7).cast("int").alias("week"),

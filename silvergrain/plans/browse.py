@@ -175,7 +175,7 @@ SELECT g.year, g.month, strftime(date, '%Y-%m-%d') AS date_key, dayofmonth(date)
   CASE WHEN photo_count > 0 THEN strftime(date, '%B %-d, %Y') END AS date_label
 FROM g LEFT JOIN d ON d.date_key = strftime(date, '%Y-%m-%d') LEFT JOIN t ON t.date_key = d.date_key""")
 def month_calendar(a) -> DataFrame:
-    return scopes.month_calendar(library.dated(a.scored))
+    return scopes.month_calendar(library.dated(a.active), library.dated(a.scored))
 
 
 @query("scope_signatures", "PRJ27", oracle="""

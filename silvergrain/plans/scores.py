@@ -79,8 +79,7 @@ def expression_metrics(a) -> DataFrame:
 
 
 def people_signals(a) -> DataFrame:
-    return ranking_scores.people_signals(a.star, a.faces, a.expression,
-                                         ranking_scores.expression_summary(a.expression))
+    return ranking_scores.people_signals(a.star, a.faces, a.expression)
 
 
 view("o_geometry", """

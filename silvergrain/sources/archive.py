@@ -102,16 +102,13 @@ class Archive:
             library.active_media(self.media), self.technical, self.face_summary,
             self.aesthetic, self.semantic, self.summaries)
 
-    @cached_property
-    def hero(self) -> DataFrame:
-        """``sha1, hero_score`` for every active photo."""
-        return ranking_scores.hero_scores(self.star).select("sha1", "hero_score")
-
     @cached_property
     def scored(self) -> DataFrame:
-        """Active browse rows with their hero score (0 when never scored)."""
-        return self.active.join(self.hero, "sha1", "left").withColumn(
-            "hero_score", F.coalesce("hero_score", F.lit(0.0)))
+        """Active browse rows with their hero score: the browse columns ride through the star join."""
+        star = ranking_scores.signal_star(self.active, self.technical, self.face_summary, self.aesthetic, self.semantic,
+                                          self.summaries)
+        columns = self.active.columns
+        return ranking_scores.hero_scores(star, *[c for c in columns if c != "sha1"]).select(*columns, "hero_score")
 
     @cached_property
     def ranked(self) -> DataFrame:

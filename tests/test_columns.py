@@ -91,7 +91,7 @@ def test_sibling_places_merge(spark):
                                "sha1 string, country_label string, region_label string, city_label string, coord_key string, "
                                "place_label string, use_lat double, use_lon double, hero_score double, final_dt string")
     tree = {r["node_id"]: r for r in places.place_tree(df).collect()}
-    assert tree["place::k2"]["photo_count"] == 3 and "place::k1" not in tree and tree["root"]["photo_count"] == 4
+    assert tree["place::C::R::T::k2"]["photo_count"] == 3 and "place::C::R::T::k1" not in tree and tree["root"]["photo_count"] == 4
     for r in tree.values():
         kids = [c["photo_count"] for c in tree.values() if c["parent_id"] == r["node_id"]]
         assert not kids or sum(kids) == r["photo_count"]

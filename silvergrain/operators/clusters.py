@@ -1,10 +1,13 @@
 """Cluster centres for place buckets (2-D) and capture times (1-D).
 
 Only centres, at most sixteen per group, come out of this module; assigning
-rows to their nearest centre is a column expression for the caller. Groups up
-to ``GROUP_LIMIT`` pre-aggregated rows are solved in one grouped pass. Larger
-groups are solved by the same rules as rounds of Spark aggregations over range
-slices, so no group, however large, is collected.
+rows to their nearest centre is a column expression for the caller.
+
+Places are whole millionths of a degree, times whole seconds, and all sums are
+exact integers; a mean is one division of two of them. So the result doesn't
+depend on how the work is cut up: groups up to ``GROUP_LIMIT`` pre-aggregated
+rows are solved in one grouped pass, larger ones as rounds of Spark aggregations
+over range slices, and both give the same centres to the last bit.
 """
 from __future__ import annotations
 
@@ -23,8 +26,19 @@ GROUP_LIMIT = 200000
 PLACE_ROUNDS = 12
 TIME_ROUNDS = 10
 TIME_MOVE = 1.0
-FLAT = 1e-12
-POINT = "struct<lat:double,lon:double>"
+POINT = "struct<lat:bigint,lon:bigint>"
+
+
+# --- whole units ----------------------------------------------------------------------
+
+def micro(degrees: Column) -> Column:
+    """Degrees as whole millionths."""
+    return F.floor(degrees * 1_000_000 + 0.5)
+
+
+def whole_mean(total: Column, count: Column) -> Column:
+    """The mean of integers as an integer."""
+    return F.floor(total / count + 0.5)
 
 
 # --- nearest centre as a column -----------------------------------------------------
@@ -47,24 +61,22 @@ def nearest_time(ts: Column, centres: Column) -> Column:
 def place_centres(points: np.ndarray, weights: np.ndarray, first: int, k: int) -> np.ndarray:
     """Deterministic weighted 2-D clustering of an ordered point list."""
     chosen = [int(first)]
-    gap = np.full(len(points), np.inf)
+    gap = np.full(len(points), np.iinfo(np.int64).max)
     while len(chosen) < min(k, len(points)):
         gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
-        reach = np.cumsum(gap)
-        if reach[-1] <= FLAT:
+        fits = int(gap.max()) * len(gap) < 1 << 62  # else sums need Python's integers
+        reach = np.cumsum(gap if fits else gap.astype(object))
+        if not reach[-1]:
             break
-        nxt = int(np.searchsorted(reach, reach[-1] / 2.0))
-        if gap[nxt] == 0:
-            nxt = int(np.flatnonzero(gap > 0)[0])
-        chosen.append(nxt)
+        chosen.append(int(np.searchsorted(reach, (reach[-1] + 1) // 2)))
     centres = points[chosen].copy()
     for _ in range(PLACE_ROUNDS):
         own = ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-        total = np.bincount(own, weights, len(centres))
-        moved = centres.copy()
-        for axis in (0, 1):
-            sums = np.bincount(own, points[:, axis] * weights, len(centres))
-            moved[total > 0, axis] = sums[total > 0] / total[total > 0]
+        total, sums = np.zeros(len(centres), np.int64), np.zeros((len(centres), 2), np.int64)
+        np.add.at(total, own, weights)
+        np.add.at(sums, own, points * weights[:, None])
+        moved, some = centres.copy(), total > 0
+        moved[some] = np.floor(sums[some] / total[some, None] + 0.5).astype(np.int64)
         if np.array_equal(moved, centres):
             break
         centres = moved
@@ -85,8 +97,9 @@ def time_centres(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     centres = np.sort(np.array(chosen))
     for _ in range(TIME_ROUNDS):
         own = np.abs(values[:, None] - centres[None, :]).argmin(axis=1)
-        weight = np.bincount(own, counts, len(centres))
-        sums = np.bincount(own, values.astype(float) * counts, len(centres))
+        weight, sums = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        np.add.at(weight, own, counts)
+        np.add.at(sums, own, values * counts)
         moved = np.where(weight > 0, sums / np.maximum(weight, 1), centres)
         still = np.all(np.abs(moved - centres) < TIME_MOVE)
         centres = moved
@@ -124,12 +137,12 @@ def _large_place_centres(large: DataFrame, keys: list[str], k: str) -> DataFrame
     best = F.min_by(point, F.struct((-F.col("hero_score")).alias("h"), (-F.col("weight")).alias("w"), "seen"))
     state = cut_lineage(sliced.groupBy(*keys).agg(F.array(best).cast(f"array<{POINT}>").alias("centres"),
                                                   F.max(k).alias("k")))
-    gap = F.array_min(F.transform("centres", lambda c: squared(F.col("lat"), F.col("lon"), c)))
+    gap = F.array_min(F.transform("centres", lambda c: squared(F.col("lat"), F.col("lon"), c))).cast("decimal(38,0)")
     most = state.agg(F.max("k")).first()[0]  # one number, at most sixteen
     for _ in range(int(most) - 1):
         open_rows = sliced.drop(k).join(state.where(F.size("centres") < F.col("k")), keys).withColumn("gap", gap)
-        goals = (open_rows.groupBy(*keys).agg(F.sum("gap").alias("total")).where(F.col("total") > FLAT)
-                 .select(*keys, (F.col("total") / 2).alias("goal")))
+        goals = (open_rows.groupBy(*keys).agg(F.sum("gap").alias("total")).where("total > 0")
+                 .select(*keys, F.ceil(F.col("total") / 2).alias("goal")))
         picked = _first_reaching(open_rows, keys, F.col("gap"), goals, point, "seen")
         state = cut_lineage(state.join(picked, keys, "left").select(
             *keys, "k", F.when(F.col("picked").isNull(), F.col("centres")).otherwise(
@@ -142,8 +155,8 @@ def _settled(sliced: DataFrame, keys: list[str], state: DataFrame, weight: Colum
     for _ in range(rounds):
         owned = sliced.join(state, keys).withColumn("own", nearest_place(F.col("lat"), F.col("lon"), F.col("centres")))
         means = owned.groupBy(*keys, "own").agg(
-            (F.sum(F.col("lat") * weight) / F.sum(weight)).alias("lat"),
-            (F.sum(F.col("lon") * weight) / F.sum(weight)).alias("lon"))
+            whole_mean(F.sum(F.col("lat") * weight), F.sum(weight)).alias("lat"),
+            whole_mean(F.sum(F.col("lon") * weight), F.sum(weight)).alias("lon"))
         moved = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
             "own", F.struct("lat", "lon")))).alias("moved"))
         fresh = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(F.col("moved"), i), c))
@@ -200,7 +213,7 @@ def _key_schema(rows: DataFrame, keys: list[str]) -> str:
 def region_centres(buckets: DataFrame, keys: list[str], k: str = "k", limit: int = GROUP_LIMIT) -> DataFrame:
     """``keys, centres``: up to ``k`` place centres of each group of buckets.
 
-    ``buckets`` needs the keys, ``lat, lon, weight, hero_score``, the encounter
+    ``buckets`` needs the keys, ``lat, lon`` (whole millionths of a degree), ``weight, hero_score``, the encounter
     order ``seen_at, seen_id`` (unique in the group) and the column ``k``.
     """
     ship_package(buckets.sparkSession)
@@ -210,9 +223,9 @@ def region_centres(buckets: DataFrame, keys: list[str], k: str = "k", limit: int
         pdf = pdf.sort_values(["seen_at", "seen_id"])
         lead = pdf.assign(at=np.arange(len(pdf))).sort_values(["hero_score", "weight", "at"],
                                                              ascending=[False, False, True])["at"].iloc[0]
-        found = place_centres(pdf[["lat", "lon"]].to_numpy(), pdf["weight"].to_numpy(float), lead, int(pdf[k].iloc[0]))
+        found = place_centres(pdf[["lat", "lon"]].to_numpy(), pdf["weight"].to_numpy(), lead, int(pdf[k].iloc[0]))
         row = {key: pdf[key].iloc[0] for key in keys}
-        row["centres"] = [{"lat": float(p[0]), "lon": float(p[1])} for p in found]
+        row["centres"] = [{"lat": int(p[0]), "lon": int(p[1])} for p in found]
         return pd.DataFrame([row])
 
     schema = f"{_key_schema(buckets, keys)}, centres array<{POINT}>"

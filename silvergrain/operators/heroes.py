@@ -22,7 +22,9 @@ def _buckets(members: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFra
     met = (members.where("has_gps").groupBy(*keys, "lat3", "lon3")
            .agg(F.min(F.struct(stamp.alias("o"), "sha1")).alias("met")))
     grouped = reduced.where("has_gps").groupBy(*keys, "lat3", "lon3").agg(
-        F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.count(F.lit(1)).alias("weight"),
+        clusters.whole_mean(F.sum(clusters.micro(F.col("latitude"))), F.count(F.lit(1))).alias("lat"),
+        clusters.whole_mean(F.sum(clusters.micro(F.col("longitude"))), F.count(F.lit(1))).alias("lon"),
+        F.count(F.lit(1)).alias("weight"),
         F.max(F.struct(*BEST)).alias("best"))
     return grouped.join(met, [*keys, "lat3", "lon3"]).withColumns({
         "hero_score": F.col("best.hero_score"), "seen_at": F.col("met.o"), "seen_id": F.col("met.sha1")}).drop("met")

@@ -21,7 +21,8 @@ def day_members(a) -> DataFrame:
 view("o_buckets", """
 WITH met AS (SELECT scope_key, round(latitude, 3) AS lat3, round(longitude, 3) AS lon3, min((coalesce(-ts, 1099511627776), sha1)) AS met
              FROM o_year_scored WHERE has_gps GROUP BY 1, 2, 3),
-b AS (SELECT scope_key, lat3, lon3, avg(latitude) AS la, avg(longitude) AS lo, count(*) AS w,
+b AS (SELECT scope_key, lat3, lon3, floor(sum(floor(latitude * 1000000 + 0.5)::BIGINT)::DOUBLE / count(*) + 0.5)::BIGINT AS la,
+        floor(sum(floor(longitude * 1000000 + 0.5)::BIGINT)::DOUBLE / count(*) + 0.5)::BIGINT AS lo, count(*) AS w,
         max({'h': hero_score, 'd': final_dt, 's': sha1}) AS best FROM o_reduced WHERE has_gps GROUP BY 1, 2, 3),
 k AS (SELECT scope_key, 16 - max((NOT has_gps)::INT) AS k FROM o_reduced GROUP BY 1)
 SELECT b.*, k.k, count(*) OVER (PARTITION BY b.scope_key) AS places,
@@ -38,7 +39,7 @@ SELECT scope_key, k, list_append(cs, arg_min({{'la': la, 'lo': lo}}, seen)) FROM
   SELECT *, sum(gap) OVER (PARTITION BY scope_key ORDER BY seen) AS run, sum(gap) OVER (PARTITION BY scope_key) AS total FROM (
     SELECT s.scope_key, s.k, s.cs, b.la, b.lo, b.seen, list_min(list_transform(s.cs, lambda c: {_GAP2})) AS gap
     FROM o_seeds s JOIN o_buckets b ON b.scope_key = s.scope_key WHERE len(s.cs) < s.k))
-WHERE run >= total / 2 GROUP BY scope_key, k, cs""")
+WHERE 2 * run >= total GROUP BY scope_key, k, cs""")
 
 _OWN2 = (f"list_position(list_transform(s.cs, lambda c: {_GAP2}), list_min(list_transform(s.cs, lambda c: {_GAP2})))")
 
@@ -48,7 +49,8 @@ UNION ALL
 SELECT scope_key, r + 1, fresh, fresh = cs FROM (
   SELECT scope_key, r, cs, list_transform(range(1, len(cs) + 1), lambda i: coalesce(m[i], cs[i])) AS fresh FROM (
     SELECT scope_key, r, cs, map(list(own), list({{'la': la, 'lo': lo}})) AS m FROM (
-      SELECT scope_key, r, cs, own, sum(la * w) / sum(w) AS la, sum(lo * w) / sum(w) AS lo FROM (
+      SELECT scope_key, r, cs, own, floor(sum(la * w)::DOUBLE / sum(w)::DOUBLE + 0.5)::BIGINT AS la,
+        floor(sum(lo * w)::DOUBLE / sum(w)::DOUBLE + 0.5)::BIGINT AS lo FROM (
         SELECT s.scope_key, s.r, s.cs, b.la, b.lo, b.w, {_OWN2} AS own
         FROM o_settle s JOIN o_buckets b ON b.scope_key = s.scope_key WHERE NOT s.still AND s.r < 12)
       GROUP BY scope_key, r, cs, own) GROUP BY scope_key, r, cs))""")

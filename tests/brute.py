@@ -50,12 +50,12 @@ def place_regions(points, weights, scores, k):
     while len(centres) < k:
         gaps = [min(d2(p, c) for c in centres) for p in points]
         total = sum(gaps)
-        if total <= 1e-12:
+        if not total:
             break
-        run, at = 0.0, 0
+        run, at = 0, 0
         for i, g in enumerate(gaps):
             run += g
-            if run >= total / 2:
+            if 2 * run >= total:
                 at = i
                 break
         centres.append(points[at])
@@ -68,7 +68,7 @@ def place_regions(points, weights, scores, k):
         for i, c in enumerate(centres):
             mine = [j for j, o in enumerate(own) if o == i]
             w = sum(weights[j] for j in mine)
-            moved.append(c if not mine else tuple(sum(points[j][a] * weights[j] for j in mine) / w for a in (0, 1)))
+            moved.append(c if not mine else tuple(math.floor(sum(points[j][a] * weights[j] for j in mine) / w + 0.5) for a in (0, 1)))
         if moved == centres:
             break
         centres = moved

@@ -25,12 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.llm.common import by_batch, id_bucket, record, texts
-from silvergrain.operators.ordering import top_rows
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_docs`` rows of each label (by hash of the id) of up to ``train_chars`` characters are brought to the driver."""
+    """Rows of up to ``train_chars`` characters, ``train_docs`` of each label in expectation (by hash of the id), train on the driver."""
     train_docs: int = 2_000
     train_chars: int = 20_000
     block: int = 512
@@ -112,9 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     known = (labels.where(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id")
              .agg((F.avg("quality") >= 0.5).cast("int").alias("good")))
     all_of = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    chosen = top_rows(known, ["good"], settings.train_docs, F.xxhash64("doc_id"), F.col("doc_id"))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = {kind: min(1.0, settings.train_docs / n) for kind, n in all_of.items()}
+    chosen = known.where(spot < F.when(F.col("good") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
     rows = (texts(docs).where(F.length("text") <= settings.train_chars)
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").collect())  # at most train_docs of each label
+            .join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").collect())  # about train_docs of each label
     rows.sort()
     parts = {kind: [r["text"] for r in rows if r["good"] == kind] for kind in (0, 1)}
     bad_rows, good_rows = max(all_of.get(0, 0), 1e-6), max(all_of.get(1, 0), 1e-6)

@@ -40,8 +40,8 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 class Settings:
     """``sample`` vectors fit the lists, at least ``per_list`` for each; an eighth, up to ``bounding``, gives bounds."""
     neighbours: int = 20
-    sample: int = 65_536
-    bounding: int = 8_192
+    sample: int = 32_768
+    bounding: int = 4_096
     per_list: int = 32
     trials: int = 1_024
     recall: float = 0.965

@@ -27,6 +27,8 @@ BREAK, NEAR, BRIDGE = 0, 1, 2
 OLD, SINGLE = 11, 12
 STATES = 13
 MAX_SPAN = 10
+#: Rows that a task resolves at once.
+SLICE_ROWS = 25_000
 
 
 def time_edges(sliced: DataFrame, gap: int, metres: float, bridge_gap: int) -> DataFrame:
@@ -45,39 +47,65 @@ def time_edges(sliced: DataFrame, gap: int, metres: float, bridge_gap: int) -> D
                        F.coalesce("carried.ts", F.lit(0)).alias("ts_before"))
 
 
-def run_starts(ts: np.ndarray, edge: np.ndarray, state: int, ts_before: int) -> tuple[np.ndarray, int]:
-    """Index of the row each row's run starts at (-1: before the slice), and the state after the slice.
+def _next_starts(ts: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For a run that starts at each row, the row at which the next run starts (the length: none).
 
-    Only bridge edges need the run built so far; all else is one vector pass.
+    The next run starts at the first break, at a bridge right after a single
+    photo, or at the first bridge once the run is older than ``MAX_SPAN``.
     """
-    held, begun = (1, ts_before) if state == SINGLE else (2, ts_before - (state if state < OLD else 1 << 40))
-    opens = np.where(edge == BREAK, np.arange(len(ts)), -1)
-    certain = np.maximum.accumulate(opens)
-    failed = -1
-    for i in np.flatnonzero(edge == BRIDGE):
-        start = max(int(certain[i]), failed)
-        size, since = (held + i, begun) if start < 0 else (i - start, ts[start])
-        before = ts[i - 1] if i else ts_before
-        if size < 2 or before - since > MAX_SPAN:
-            failed = int(i)
-            opens[i] = failed
-    starts = np.maximum.accumulate(opens)
-    start = int(starts[-1])
-    size, since = (held + len(ts), begun) if start < 0 else (len(ts) - start, ts[start])
-    return starts, SINGLE if size == 1 else int(min(ts[-1] - since, OLD))
+    n = len(ts)
+    at = np.arange(n)
+    upcoming = lambda kind: np.minimum.accumulate(np.append(np.where(edge == kind, at, n), n)[::-1])[::-1]
+    bridge, broken = upcoming(BRIDGE), upcoming(BREAK)
+    old = np.searchsorted(ts, ts + MAX_SPAN, "right") + 1  # the first row whose predecessor is too late
+    late = bridge[np.minimum(np.maximum(old, at + 2), n)]
+    single = np.where(bridge[np.minimum(at + 1, n)] == at + 1, at + 1, n)
+    return np.minimum(np.minimum(late, single), broken[at + 1])
+
+
+def _first_start(ts: np.ndarray, edge: np.ndarray, state: int, ts_before: int) -> int:
+    """The first row that starts a run, when a run in ``state`` comes in from the slice before."""
+    begun = ts_before if state == SINGLE else ts_before - (state if state < OLD else 1 << 40)
+    before = np.append(ts_before, ts[:-1])
+    opens = (edge == BREAK) | ((edge == BRIDGE) & (before - begun > MAX_SPAN))
+    if state == SINGLE and edge[0] == BRIDGE:
+        opens[0] = True
+    return int(opens.argmax()) if opens.any() else len(ts)
+
+
+def _state_after(ts: np.ndarray, start: int, state: int, ts_before: int) -> int:
+    """The state that a slice hands on; ``start`` is its last start of a run (-1: none)."""
+    if start < 0:
+        since = ts_before - (0 if state == SINGLE else state if state < OLD else 1 << 40)
+        return int(min(ts[-1] - since, OLD))  # the run that came in has two photos by now
+    return SINGLE if start == len(ts) - 1 else int(min(ts[-1] - ts[start], OLD))
+
+
+def run_starts(ts: np.ndarray, edge: np.ndarray, state: int, ts_before: int) -> tuple[np.ndarray, int]:
+    """Index of the row each row's run starts at (-1: before the slice), and the state after the slice."""
+    following, marks, start = _next_starts(ts, edge).tolist(), [], _first_start(ts, edge, state, ts_before)
+    while start < len(ts):
+        marks.append(start)
+        start = following[start]
+    starts = np.full(len(ts), -1)
+    starts[marks] = marks
+    return np.maximum.accumulate(starts), _state_after(ts, marks[-1] if marks else -1, state, ts_before)
 
 
 def _state_map(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What each incoming state makes of a slice. One pass finds the last run that follows from any start."""
     pdf = pdf.sort_values("rn")
     ts, edge, ids = pdf["ts"].to_numpy(), pdf["edge"].to_numpy(), pdf["sha1"].to_numpy()
-    before = int(pdf["ts_before"].iloc[0])
-    settled = edge[0] == BREAK
+    before, n = int(pdf["ts_before"].iloc[0]), len(pdf)
+    following = _next_starts(ts, edge).tolist()
+    last = list(range(n)) + [-1]
+    for at in range(n - 1, -1, -1):
+        if following[at] < n:
+            last[at] = last[following[at]]
     out = []
     for state in range(STATES):
-        if not settled or state == 0:
-            starts, after = run_starts(ts, edge, state, before)
-            start = ids[starts[-1]] if starts[-1] >= 0 else None
-        out.append((int(pdf["slice"].iloc[0]), state, after, start))
+        start = last[_first_start(ts, edge, state, before)]
+        out.append((int(pdf["slice"].iloc[0]), state, _state_after(ts, start, state, before), ids[start] if start >= 0 else None))
     return pd.DataFrame(out, columns=["slice", "state", "after", "start_sha1"])
 
 
@@ -103,15 +131,19 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def burst_members(rows: DataFrame, gap: int = 15, metres: float = 15.0, bridge_gap: int = 5,
-                  min_size: int = 2) -> DataFrame:
+                  min_size: int = 2, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``cluster_id, sha1, ts, size``: members of all bursts of at least ``min_size`` photos.
 
+    There are as many slices as make about ``slice_rows`` rows each, so a task
+    holds no more of them however many photos there are.
+
     ``rows`` needs ``sha1, ts, latitude, longitude, has_gps``. A cluster is
     named by the id of its first photo.
     """
     ship_package(rows.sparkSession)
-    located = rows.where("has_gps AND ts IS NOT NULL").select("sha1", "ts", "latitude", "longitude")
-    edges = time_edges(ordered_slices(located, "ts", "sha1"), gap, metres, bridge_gap)
+    located = cut_lineage(rows.where("has_gps AND ts IS NOT NULL").select("sha1", "ts", "latitude", "longitude"))
+    slices = max(1, -(-located.count() // slice_rows))
+    edges = cut_lineage(time_edges(ordered_slices(located, "ts", "sha1", slices=slices), gap, metres, bridge_gap))
     breaks = edges.groupBy("slice").agg(F.max(F.when(F.col("edge") == BREAK, F.col("rn"))).alias("last_break"))
     tails = (edges.join(F.broadcast(breaks), "slice").where("last_break IS NULL OR rn >= last_break")
              .select("slice", "sha1", "ts", "rn", "edge", "ts_before"))

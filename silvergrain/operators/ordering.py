@@ -14,9 +14,13 @@ from pyspark.sql.window import Window
 from silvergrain.session import cut_lineage
 
 
-def ordered_slices(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Adds ``slice``: slices are contiguous and increasing in ``order``."""
-    ranged = rows.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order])
+def ordered_slices(rows: DataFrame, *order: Column | str, slices: int | None = None) -> DataFrame:
+    """Adds ``slice``: slices are contiguous and increasing in ``order``.
+
+    Their number is Spark's choice by the size of the data, or ``slices``.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = rows.repartitionByRange(slices, *columns) if slices else rows.repartitionByRange(*columns)
     return cut_lineage(ranged.withColumn("slice", F.spark_partition_id()))
 
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +15,10 @@ PHOTO = "sha1 string, ts long, latitude double, longitude double, has_gps boolea
 NEAR, FAR = 0.00005, 0.01
 
 
-def found(spark, photos):
+def found(spark, photos, slice_rows=60):
     rows = spark.createDataFrame([(s, t, la, lo, True) for s, t, la, lo in photos], PHOTO)
     groups: dict[str, set] = {}
-    for r in bursts.burst_members(rows).collect():
+    for r in bursts.burst_members(rows, slice_rows=slice_rows).collect():
         groups.setdefault(r["cluster_id"], set()).add(r["sha1"])
         assert r["size"] >= 2
     return {frozenset(g) for g in groups.values()}
@@ -104,3 +107,42 @@ def test_moves_settle_clashes(spark):
     assert paths == {"a": "_stash\\d\\x__aaaaaaaa.jpg", "b": "_stash\\d\\x__bbbbbbbb.jpg", "c": "_stash/d/x.jpg",
                      "d": "_stash\\y__dddddddd.jpg", "e": "_stash\\y.jpg", "f": "_trash/z.jpg"}
     assert tuple(cull.move_counts(ask, moved).first()) == (6, 4, 2)
+
+
+def walked(ts, edge, state, ts_before):
+    """Row by row: the run each row belongs to, and the state handed on."""
+    size, since = (1, ts_before) if state == bursts.SINGLE else (2, ts_before - (state if state < bursts.OLD else 1 << 40))
+    start, before, out = -1, ts_before, []
+    for i, (t, e) in enumerate(zip(ts, edge)):
+        if e == bursts.BREAK or (e == bursts.BRIDGE and (size < 2 or before - since > bursts.MAX_SPAN)):
+            start, size, since = i, 1, t
+        else:
+            size += 1
+        before = t
+        out.append(start)
+    return out, bursts.SINGLE if size == 1 else min(before - since, bursts.OLD)
+
+
+def test_slices_equal_a_walk_from_every_state():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, ts = rng.randint(1, 40), [100]
+        for _ in range(n):
+            ts.append(ts[-1] + rng.choice([0, 0, 1, 2, 4, 5, 9]))
+        edge = np.array([rng.choice([0, 1, 1, 2, 2, 2]) for _ in range(n)])
+        for state in range(bursts.STATES):
+            starts, after = bursts.run_starts(np.array(ts[1:]), edge, state, ts[0])
+            assert (starts.tolist(), after) == walked(ts[1:], edge, state, ts[0])
+        frame = pd.DataFrame({"slice": 0, "sha1": [f"p{i}" for i in range(n)], "ts": ts[1:], "rn": range(n), "edge": edge,
+                              "ts_before": ts[0]})
+        for row, state in zip(bursts._state_map(frame).itertuples(), range(bursts.STATES)):
+            starts, after = walked(ts[1:], edge, state, ts[0])
+            assert (row.after, row.start_sha1) == (after, f"p{starts[-1]}" if starts[-1] >= 0 else None)
+
+
+def test_a_million_bridges_take_seconds():
+    n = 1_000_000
+    ts, edge = np.arange(n) * 3, np.full(n, bursts.BRIDGE)
+    begun = time.perf_counter()
+    starts, _ = bursts.run_starts(ts, edge, bursts.SINGLE, -3)
+    assert (starts == np.arange(n)).all() and time.perf_counter() - begun < 10

@@ -30,16 +30,21 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from silvergrain.llm.common import by_batch, id_bucket, record, texts
-from silvergrain.llm.word_bpe import Memo
 from silvergrain.session import ship_package
 
 NONE = "und"
 RUNS = regex.compile(r"\p{L}{1,100}")
 #: Marks the start of a word in the vocabulary.
 START = "▁"
-#: A fixed gain per letter keeps sums of products near 1; it cancels between languages.
+#: A fixed gain per letter keeps sums of products near 1 while training; it cancels.
 GAIN = 8.0
-WORD_ENTRIES = 100_000
+#: Letters of texts that are scored together, and chunks whose scores a worker keeps.
+BATCH_CHARS, CHUNK_ENTRIES = 1_000_000, 250_000
+#: Fixed odd numbers of the substring hash, and marks of its lookups.
+FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BEGINS, NOTHING = -2, -3
+#: One row per language may be broadcast up to so many rows; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -111,76 +116,127 @@ def learn(words: list[str], counts: np.ndarray, vocabulary: dict[str, int], sett
     return (expected + settings.smooth) / (expected.sum() + settings.smooth * n)
 
 
+class PieceTable:
+    """Pieces and their beginnings by hash, for lookups of many substrings at once."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        found = {}
+        for piece, number in vocabulary.items():
+            value = np.uint64(0)
+            for k, letter in enumerate(piece):
+                value = step(value, np.uint64(ord(letter)))
+                if k < len(piece) - 1:
+                    found.setdefault(int(value), BEGINS)
+            found[int(value)] = number
+        self.hashes = np.array(sorted(found), np.uint64)
+        self.numbers = np.array([found[int(h)] for h in self.hashes], np.int32)
+
+    def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
+        """A piece's number, BEGINS for the beginning of one, NOTHING else."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], NOTHING)
+
+
+def step(value, letter):
+    """The hash of a string, extended by a letter; 64 bits, so that chance matches don't matter."""
+    with np.errstate(over="ignore"):
+        return (value * FACTOR) ^ ((letter + np.uint64(1)) * SPREAD)
+
+
+@lru_cache(maxsize=2)
+def piece_table(vocabulary: str) -> PieceTable:
+    return PieceTable(pieces(vocabulary))
+
+
+def forward_sums(words: list[str], table: PieceTable, probability: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations, one row per word and one column per language.
+
+    ``words`` have one length. ``probability`` has a row for each piece and a
+    last one for a letter without piece. Sums that become small are scaled up.
+    """
+    n, kinds = len(words[0]) + 1, probability.shape[1]
+    letters = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), "<u4").reshape(len(words), n).astype(np.uint64)
+    sums, scale = np.zeros((n + 1, len(words), kinds)), np.zeros(len(words))
+    sums[0] = 1.0
+    for start in range(n):
+        low = sums[start].max(1) < 1e-100
+        if low.any():
+            sums[start:, low] *= 1e100
+            scale[low] -= 100 * math.log(10)
+        open_rows, value = np.arange(len(words)), np.zeros(len(words), np.uint64)
+        for end in range(start + 1, n + 1):
+            value = step(value, letters[open_rows, end - 1])
+            number = table.numbers_of(value)
+            if end == start + 1:  # a letter by itself can always be passed
+                sums[end, open_rows] += sums[start, open_rows] * probability[np.where(number >= 0, number, -1)]
+            else:
+                piece = number >= 0
+                rows = open_rows[piece]
+                sums[end, rows] += sums[start, rows] * probability[number[piece]]
+            alive = number != NOTHING
+            if not alive.any():
+                break
+            open_rows, value = open_rows[alive], value[alive]
+    return np.log(np.maximum(sums[n], 1e-300)) + scale[:, None]
+
+
 class Model:
-    """Log-space scores of words under each language."""
+    """Piece probabilities of each language, and a bounded memo of scored chunks of text."""
 
     def __init__(self, languages: list[str], probability: np.ndarray, settings: Settings):
         self.languages, self.probability, self.settings = languages, probability, settings
-        self._memo = None
+        self._rows, self._vectors = {}, None
 
     def __getstate__(self):
-        return self.__dict__ | {"_memo": None}
-
-    def _ready(self):
-        if self._memo is None:
-            self._vocabulary = pieces(self.settings.vocabulary)
-            self._longest = max(map(len, self._vocabulary))
-            table = self.probability.T
-            self._values = [tuple(row) for row in table.tolist()]
-            #: Beginnings of pieces, so that the search for pieces ends early.
-            self._begins = {p[:k] for p in self._vocabulary for k in range(1, len(p) + 1)}
-            self._memo = Memo(self.chunk_vector, WORD_ENTRIES)
-        return self._memo
-
-    def word_vector(self, word: str) -> list[float]:
-        """Forward sums, one per language, as logarithms."""
-        marked, vocabulary, values, begins = START + word, self._vocabulary, self._values, self._begins
-        n, kinds = len(marked), range(len(self.languages))
-        forward = [[0.0] * len(kinds) for _ in range(n + 1)]
-        forward[0] = [1.0] * len(kinds)
-        for start in range(n):
-            here, gain = forward[start], 1.0
-            for end in range(start + 1, n + 1):
-                gain *= GAIN
-                part = marked[start:end]
-                if part in begins:
-                    piece = vocabulary.get(part)
-                    if piece is None:
-                        if end > start + 1:
-                            continue
-                        piece = -1
-                elif end == start + 1:
-                    piece = -1
-                else:
-                    break
-                row, there = values[piece], forward[end]
-                for k in kinds:
-                    there[k] += here[k] * row[k] * gain
-        return [math.log(max(v, 1e-300)) for v in forward[n]]
-
-    def chunk_vector(self, chunk: str) -> tuple[float, ...]:
-        """Sums over the letter runs of a chunk, and their number of letters."""
-        total, letters = [0.0] * len(self.languages), 0
-        for run in RUNS.findall(chunk.lower()):
-            letters += len(run)
-            total = [a + b for a, b in zip(total, self.word_vector(run))]
-        return (*total, float(letters))
+        return self.__dict__ | {"_rows": {}, "_vectors": None}
+
+    def word_vectors(self, words: list[str]) -> np.ndarray:
+        """Forward sums of each word; words of one length are scored together."""
+        table, out = piece_table(self.settings.vocabulary), np.zeros((len(words), len(self.languages)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            for part in np.array_split(own, -(-len(own) // 20_000)):
+                out[part] = forward_sums([words[i] for i in part], table, self.probability.T)
+        return out
+
+    def _learn_chunks(self, chunks: set[str]) -> None:
+        """Adds the vectors of new chunks: sums over their letter runs, and the number of letters."""
+        if self._vectors is None or len(self._rows) > CHUNK_ENTRIES:
+            self._rows, self._vectors = {}, np.zeros((0, len(self.languages) + 1))
+        new = [c for c in chunks if c not in self._rows]
+        runs = [[c.lower()] if c.isalpha() and len(c) <= 50 else RUNS.findall(c.lower()) for c in new]
+        flat = [r for own in runs for r in own]
+        place = {r: i for i, r in enumerate(dict.fromkeys(flat))}
+        vectors = np.column_stack([self.word_vectors(list(place)), np.fromiter(map(len, place), float, len(place))])
+        added = np.zeros((len(new), len(self.languages) + 1))
+        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, runs), np.int64, len(runs)))
+        np.add.at(added, owner, vectors[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))])
+        self._rows.update(zip(new, range(len(self._vectors), len(self._vectors) + len(new))))
+        self._vectors = np.concatenate([self._vectors, added])
 
     def predict(self, found: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Predictions and posteriors of whole texts."""
         names, scores = [NONE] * len(found), np.zeros(len(found))
         if not self.languages:
             return names, scores
-        memo = self._ready()
-        for i, text in enumerate(found):
-            chunks = text.split() if text else []
-            if not chunks:
-                continue
-            total = np.array(list(map(memo.__getitem__, chunks))).sum(0)
-            if total[-1] > 0:
-                logs = total[:-1] - total[:-1].max()
-                best = int(logs.argmax())
-                names[i], scores[i] = self.languages[best], 1 / np.exp(logs).sum()
+        at = 0
+        while at < len(found):  # texts of about BATCH_CHARS together
+            size, end = 0, at
+            while end < len(found) and (end == at or size + len(found[end] or "") <= BATCH_CHARS):
+                size += len(found[end] or "")
+                end += 1
+            split = [(t or "").split() for t in found[at:end]]
+            self._learn_chunks(set().union(*split))
+            for i, chunks in enumerate(split, at):
+                if not chunks:
+                    continue
+                total = self._vectors[np.fromiter(map(self._rows.__getitem__, chunks), np.int64, len(chunks))].sum(0)
+                if total[-1] > 0:
+                    logs = total[:-1] - total[:-1].max()
+                    best = int(logs.argmax())
+                    names[i], scores[i] = self.languages[best], 1 / np.exp(logs).sum()
+            at = end
         return names, scores
 
 
@@ -194,8 +250,9 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     known = docs.where(~held_out() & F.col("lang").isNotNull())
     share = known.groupBy("lang").agg((F.lit(float(settings.train_docs)) / F.count(F.lit(1))).alias("_share"))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = (known.where(F.length("text") <= settings.train_chars)
-              .select("doc_id", "lang", "text").join(share, "lang").where(spot < F.col("_share")))
+    small = share.count() <= BROADCAST_LANGUAGES
+    sample = (known.where(F.length("text") <= settings.train_chars).select("doc_id", "lang", "text")
+              .join(F.broadcast(share) if small else share, "lang").where(spot < F.col("_share")))
     words = (sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''")
              .withColumn("word", F.substring("word", 1, 100)).groupBy("lang", "word").count())
     schema = "lang string, piece int, probability double"

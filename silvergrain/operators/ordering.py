@@ -50,3 +50,17 @@ def top_rows(rows: DataFrame, group: list[str], limit: int, *order: Column, name
     """
     ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col(name) <= limit)
+
+
+def running_max(sliced: DataFrame, group: list[str], order: list[str], name: str, value: Column) -> DataFrame:
+    """Adds the largest ``value`` among the earlier rows of the group, over rows of :func:`ordered_slices`.
+
+    It is the largest inside the slice or in the group's earlier slices, of
+    which there is one small row per slice and group.
+    """
+    inside = Window.partitionBy("slice", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    most = (sliced.groupBy("slice", *group).agg(F.max(value).alias("most"))
+            .select("slice", *group, F.max("most").over(earlier).alias("carried")))
+    local = sliced.withColumn("local", F.max(value).over(inside))
+    return local.join(most, ["slice", *group]).withColumn(name, F.greatest("local", "carried")).drop("local", "carried")

@@ -19,15 +19,15 @@ SUMMARY_COLUMNS = ("summary", "summary_text", "ai_summary", "caption", "descript
 
 # --- reading -------------------------------------------------------------------
 
-def optional_table(spark: SparkSession, path: str, schema: StructType | str, key: str = "sha1") -> DataFrame:
-    """A signal table, or an empty one with its schema when nothing was written yet."""
+def optional_table(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None) -> DataFrame:
+    """A signal table, or an empty one with its schema when nothing was written yet; rows without ``key`` are left out."""
     try:
         rows = spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], schema)
-    return keyed(rows, key)
+    return keyed(rows, key) if key else rows
 
 
 def keyed(rows: DataFrame, key: str = "sha1") -> DataFrame:

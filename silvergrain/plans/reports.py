@@ -305,6 +305,6 @@ def summary_export(a) -> DataFrame:
 @query("optional_sidecar", "SRC3", oracle="""
 SELECT m.sha1, 0 AS present FROM o_active m""")
 def optional_sidecar(a) -> DataFrame:
-    missing = sidecars.optional_table(a.spark, f"{a.root}/no_such_table.parquet", "sha1 string, score double")
+    missing = sidecars.optional_table(a.spark, f"{a.root}/no_such_table.parquet", "sha1 string, score double", "sha1")
     return a.active.select("sha1").join(missing, "sha1", "left").select(
         "sha1", F.col("score").isNotNull().cast("int").alias("present"))

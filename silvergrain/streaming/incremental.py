@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from silvergrain.operators import ingest
+from silvergrain.operators.ordering import ordered_slices, running_max
 from silvergrain.operators.sidecars import optional_table
+from silvergrain.session import cut_lineage
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -31,7 +33,7 @@ def _per_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, in
 def earlier_batches(spark: SparkSession, table: str, schema: StructType, batch: int) -> DataFrame:
     """Rows that earlier batches wrote; a retry of ``batch`` does not see its own first try."""
     full = StructType(list(schema.fields)).add("batch", "long")
-    return optional_table(spark, table, full, schema.fieldNames()[0]).where(F.col("batch") < batch)
+    return optional_table(spark, table, full).where(F.col("batch") < batch)
 
 
 def ingest_stream(files: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -58,16 +60,53 @@ def distinct_events(events: DataFrame, key: str, event_time: str, delay: str = "
     return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def burst_stream(photos: DataFrame, keys: list[str], delay: str = "1 minute", gap: str = "15 seconds") -> DataFrame:
-    """Streaming time clusters per key: size, span and best photo of each session.
+SESSION = ("size", "first_taken", "last_taken", "best")
 
-    ``photos`` needs the keys, ``taken`` (timestamp), ``hero_score, final_dt, sha1``.
-    A session closes once the watermark has passed its gap.
+
+def merged_sessions(sessions: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Sessions of a key that lie at most ``gap`` seconds apart become one; sizes add up, the best photo wins.
+
+    Ordered by their first second, a session opens a new one when it starts
+    later than the latest end before it. A key of any size is cut into slices.
     """
-    return (photos.withWatermark("taken", delay).groupBy(*keys, F.session_window("taken", gap).alias("session"))
-            .agg(F.count(F.lit(1)).alias("size"), F.min("taken").alias("first_taken"), F.max("taken").alias("last_taken"),
-                 F.max(F.struct("hero_score", "final_dt", "sha1")).alias("best"))
-            .select(*keys, "size", "first_taken", "last_taken", F.col("best.sha1").alias("best_sha1")))
+    order = ["first_taken", "last_taken", "best"]
+    sliced = ordered_slices(sessions.select(*keys, *SESSION), *keys, *order)
+    reached = running_max(sliced, keys, order, "reached", F.col("last_taken"))
+    opened = cut_lineage(reached.withColumn("opens", F.when(
+        F.col("reached").isNull() | (F.col("first_taken") - F.col("reached") > gap), F.col("first_taken"))).drop("reached"))
+    named = running_max(opened, keys, order, "open_before", F.col("opens"))
+    return (named.groupBy(*keys, F.coalesce("opens", "open_before").alias("start"))
+            .agg(F.sum("size").alias("size"), F.min("first_taken").alias("first_taken"),
+                 F.max("last_taken").alias("last_taken"), F.max("best").alias("best")).drop("start"))
+
+
+def burst_stream(photos: DataFrame, keys: list[str], table: str, checkpoint: str, gap: int = 15) -> StreamingQuery:
+    """Keeps time clusters per key in ``table`` while photos arrive in any order.
+
+    ``photos`` needs the keys, ``ts`` (seconds), ``hero_score, final_dt, sha1``.
+    Photo files do not come in the order they were taken, so no photo is ever
+    too late: a batch merges its photos with the stored sessions of its keys and
+    writes these keys anew. Read with :func:`current_sessions`.
+    """
+    columns = [f for f in photos.schema.fields if f.name in keys]
+    best = StructType([f for name in ("hero_score", "final_dt", "sha1") for f in photos.schema.fields if f.name == name])
+    schema = StructType(columns).add("size", "long").add("first_taken", "long").add("last_taken", "long").add("best", best)
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        single = rows.groupBy(*keys, "ts").agg(  # photos of one second first, so that a hot second is one row
+            F.count(F.lit(1)).alias("size"), F.max(F.struct("hero_score", "final_dt", "sha1")).alias("best"))
+        fresh = single.select(*keys, "size", F.col("ts").alias("first_taken"), F.col("ts").alias("last_taken"), "best")
+        known = current_sessions(earlier_batches(rows.sparkSession, table, schema, batch), keys)
+        touched = known.join(fresh.select(*keys).distinct(), keys, "left_semi")
+        merged_sessions(fresh.unionByName(touched), keys, gap).write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+    return _per_batch(photos, checkpoint, merge)
+
+
+def current_sessions(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The sessions of each key as its latest batch left them."""
+    latest = stored.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return stored.join(latest, [*keys, "batch"]).select(*keys, *SESSION)
 
 
 def append_to(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -150,18 +150,52 @@ def test_ingest_batch_can_run_twice(spark, tmp_path):
     assert [r["file_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1]
 
 
+def stream_in(spark, tmp_path, batches):
+    """Runs one batch after the other; the sessions as (key, size, first, last, best)."""
+    base = str(tmp_path)
+    for rows in batches:
+        df = spark.createDataFrame(rows, "k string, ts long, hero_score double, final_dt string, sha1 string")
+        df.write.mode("append").parquet(f"{base}/in")
+        stream = incremental.file_stream(spark, f"{base}/in", df.schema)
+        incremental.burst_stream(stream, ["k"], f"{base}/t", f"{base}/c").awaitTermination()
+    got = incremental.current_sessions(spark.read.parquet(f"{base}/t"), ["k"]).collect()
+    return {(r["k"], r["size"], r["first_taken"], r["last_taken"], r["best"]["sha1"]) for r in got}
+
+
 @pytest.mark.parametrize("gap,count", [(15, 1), (16, 2)])
 def test_stream_session_border(spark, tmp_path, gap, count):
-    def put(seconds):
-        df = spark.createDataFrame([("k", s, 0.5, "", f"p{s}") for s in seconds],
-                                   "k string, s long, hero_score double, final_dt string, sha1 string")
-        df.withColumn("taken", F.timestamp_seconds("s")).drop("s").write.mode("append").parquet(str(tmp_path / "in"))
-    put([1000, 1000 + gap])
-    for _ in range(2):
-        stream = incremental.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-        incremental.append_to(incremental.burst_stream(stream, ["k"]), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-        put([10_000_000])
-    assert spark.read.parquet(str(tmp_path / "t")).count() == count
+    rows = [("k", 1000, 0.5, "", "a"), ("k", 1000 + gap, 0.6, "", "b")]
+    assert len(stream_in(spark, tmp_path, [rows])) == count
+
+
+def test_photos_in_reverse_order_one_to_a_batch(spark, tmp_path):
+    """Late photos join, extend and bridge stored sessions; none is dropped."""
+    times = [100, 110, 140, 125, 125, 300, 285, 5]
+    rows = [("k", t, t / 1000, "", f"p{i}") for i, t in enumerate(times)] + [("z", 7, 0.1, "", "q")]
+    got = stream_in(spark, tmp_path, [[r] for r in sorted(rows, key=lambda r: -r[1])])
+    assert got == {("k", 1, 5, 5, "p7"), ("k", 5, 100, 140, "p2"), ("k", 2, 285, 300, "p5"), ("z", 1, 7, 7, "q")}
+
+
+def test_sessions_merge_over_many_slices(many_slices):
+    rng = random.Random(4)
+    spans = []
+    for i in range(400):
+        first = rng.randrange(0, 30_000)
+        spans.append((rng.choice("ab"), rng.randrange(1, 4), first, first + rng.choice([0, 3, 40]), (0.5, "", f"s{i}")))
+    df = many_slices.createDataFrame(spans, "k string, size long, first_taken long, last_taken long, "
+                                            "best struct<hero_score:double,final_dt:string,sha1:string>")
+    got = {(r["k"], r["size"], r["first_taken"], r["last_taken"]) for r in incremental.merged_sessions(df, ["k"], 15).collect()}
+    want = set()
+    for key in "ab":
+        open_one = None
+        for k, size, first, last, _ in sorted((s for s in spans if s[0] == key), key=lambda s: s[2]):
+            if open_one and first - open_one[3] <= 15:
+                open_one = (k, open_one[1] + size, open_one[2], max(open_one[3], last))
+            else:
+                want |= {open_one} if open_one else set()
+                open_one = (k, size, first, last)
+        want.add(open_one)
+    assert got == want
 
 
 def test_distinct_events_drop_repeats(spark, tmp_path):

@@ -88,6 +88,25 @@ def hero_scores(star: DataFrame, *extra: str) -> DataFrame:
     return _breakdown(rows.withColumns({"raw": score, "note": note}), "hero_score", *extra)
 
 
+BREAKDOWN = ("technical_score", "aesthetic_score", "subject_prominence_score", "semantic_score", "face_score")
+
+
+def score_sidecar(scored: DataFrame, score: str, readable: Column, model: str, version: str, scored_at: str) -> DataFrame:
+    """Rows of a batch score table: ``sha1``, the score, ``breakdown_json``, model, time and warnings.
+
+    A photo that can't be read gets a row as well: score 0, an empty breakdown
+    and a warning, so that the retry work lists find it.
+    """
+    parts = [F.format_string(f'"{c}": %.6f', F.col(c)) for c in BREAKDOWN]
+    breakdown = F.concat(F.lit("{"), F.concat_ws(", ", *parts, F.format_string('"note": "%s"', "note")), F.lit("}"))
+    fine = F.coalesce(readable, F.lit(False))
+    return scored.select(
+        "sha1", F.when(fine, F.col(score)).otherwise(F.lit(0.0)).alias(score),
+        F.when(fine, breakdown).otherwise("{}").alias("breakdown_json"), F.lit(model).alias("model_name"),
+        F.lit(version).alias("model_version"), F.lit(scored_at).alias("scored_at"),
+        F.when(fine, "").otherwise("compute_failed:no image size").alias("warnings"))
+
+
 def cull_scores(star: DataFrame) -> DataFrame:
     """Batch cull score with its breakdown and notes."""
     rows = _signals(star).withColumn(

@@ -163,6 +163,16 @@ def scope_signatures(members: DataFrame) -> DataFrame:
                           F.col("s3").cast("string")).cast("binary")).alias("signature"))
 
 
+def changed_scopes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``scope_type, scope_key, status`` from two sets of :func:`scope_signatures`: new, changed, kept or gone."""
+    keys = ["scope_type", "scope_key"]
+    joined = (stored.select(*keys, F.col("signature").alias("before"))
+              .join(fresh.select(*keys, F.col("signature").alias("now")), keys, "full"))
+    status = (F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "gone")
+              .when(F.col("before") == F.col("now"), "kept").otherwise("changed"))
+    return joined.select(*keys, status.alias("status"))
+
+
 def selection_signature(selected: DataFrame, version: str) -> DataFrame:
     """Digest of an ordered selection (``scope_type, scope_key, pos, sha1``) and its version.
 

@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from silvergrain.functions.score import zero_int
 from silvergrain.operators.ordering import top_rows
@@ -98,6 +99,36 @@ def run_ledger(scored: DataFrame, model: str) -> DataFrame:
                       F.count_if(failed).alias("images_failed")).withColumn("model_name", F.lit(model))
 
 
+def ledger_rows(scored: DataFrame, model: str, notes: str = "") -> DataFrame:
+    """One row per model version found in a signal table: span of its scores, and what was scored and failed."""
+    failed = F.coalesce(F.col("warnings"), F.lit("")).contains("failed")
+    return scored.groupBy("model_version").agg(
+        F.min("scored_at").alias("started_at"), F.max("scored_at").alias("completed_at"),
+        F.count(F.lit(1)).alias("images_attempted"), F.count_if(~failed).alias("images_scored"),
+        F.count_if(failed).alias("images_failed")).select(
+        "started_at", "completed_at", F.lit(model).alias("model_name"), "model_version", "images_attempted",
+        "images_scored", "images_failed", F.lit(notes).alias("notes"))
+
+
+def appended_runs(ledger: DataFrame | None, runs: DataFrame) -> DataFrame:
+    """The ledger with further runs, numbered on from its last one; a batch of runs has one row per model version."""
+    last = ledger.agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] if ledger is not None else 0
+    numbered = runs.withColumn("run_id", (F.row_number().over(Window.orderBy("model_version")) + last).cast("long"))
+    numbered = numbered.select("run_id", *runs.columns)
+    return numbered if ledger is None else ledger.unionByName(numbered)
+
+
+def failure_rows(unreadable: DataFrame, template: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Rows for photos whose input could not be read, in the columns of a signal table.
+
+    Scores are 0, texts empty, flags 0; ``values`` names what differs, the
+    warning among it, which retry work lists pick up.
+    """
+    blank = {"string": F.lit(""), "double": F.lit(0.0), "int": F.lit(0)}
+    return unreadable.select("sha1", *[values.get(c, blank.get(t, F.lit(None))).cast(t).alias(c)
+                                       for c, t in template.dtypes if c != "sha1"])
+
+
 # --- exports ---------------------------------------------------------------------
 
 def summary_export(summaries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from silvergrain.operators import bursts, cull, ranking_scores, sessions
 from silvergrain.plans.browse import _request
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
+from silvergrain.plans.reports import committed
 from silvergrain.plans.scores import people_signals
 
 
@@ -176,7 +177,9 @@ def _moved(a) -> tuple[DataFrame, DataFrame]:
 
 @query("soft_move", "SNK9", oracle="SELECT * FROM o_moved")
 def soft_move(a) -> DataFrame:
-    return _moved(a)[1].select("sha1", "rel_fqn", "is_deleted", "outcome")
+    request = _request(a)
+    moved = committed(a, a.media, lambda media: cull.soft_move(media, request, cull.STASH))
+    return moved.select("sha1", "rel_fqn", "is_deleted", "outcome")
 
 
 @query("soft_move_counts", "SNK9", oracle="""
@@ -189,4 +192,4 @@ def soft_move_counts(a) -> DataFrame:
 @query("empty_trash", "SNK10", oracle=r"""
 SELECT sha1, rel_fqn FROM media WHERE NOT (starts_with(rel_fqn, '_trash/') OR starts_with(rel_fqn, '_trash' || chr(92)))""")
 def empty_trash(a) -> DataFrame:
-    return cull.without_trash(a.media).select("sha1", "rel_fqn")
+    return committed(a, a.media, cull.without_trash).select("sha1", "rel_fqn")

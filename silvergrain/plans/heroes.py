@@ -9,6 +9,8 @@ from silvergrain.plans.bursts import year_members
 from silvergrain.plans.oracle import VIEWS, view
 from silvergrain.plans.places import records
 from silvergrain.plans.registry import query
+from silvergrain.session import cut_lineage, shared_folder
+from silvergrain.sources.tables import VersionedTable
 
 SCOPE = ["scope_type", "scope_key"]
 
@@ -140,6 +142,30 @@ def card_signatures(a) -> DataFrame:
     return scopes.selection_signature(heroes.hero_selection(day_members(a), SCOPE), "v1")
 
 
+@query("changed_cards", "TOP9", "PRJ27", oracle="""
+WITH n AS (SELECT date_key AS scope_key, count(*) AS now, count(*) FILTER (NOT contains('01', sha1[40])) AS before
+           FROM o_scored WHERE undated = 0 GROUP BY 1),
+h AS (SELECT scope_key, md5(string_agg(sha1, '|' ORDER BY pos) || '|v1') AS composite_hash FROM o_day_card GROUP BY 1)
+SELECT 'day' AS scope_type, scope_key, CASE WHEN before = 0 THEN 'new' WHEN before = now THEN 'kept' ELSE 'changed' END AS status,
+  composite_hash FROM n JOIN h USING (scope_key)""")
+def changed_cards(a) -> DataFrame:
+    """Cards of an archive that has grown: only scopes whose photos changed are selected anew, the others are read back."""
+    def signed(members: DataFrame, cards: DataFrame) -> DataFrame:
+        return scopes.scope_signatures(members).join(scopes.selection_signature(cards, "v1"), SCOPE, "left")
+
+    members = day_members(a)
+    earlier = members.where("substring(sha1, 40, 1) NOT IN ('0', '1')")
+    store = VersionedTable(a.spark, shared_folder(a.spark, "cards"))
+    store.commit(signed(earlier, heroes.hero_selection(earlier, SCOPE)))
+    state = cut_lineage(scopes.changed_scopes(store.current(), scopes.scope_signatures(members)))
+    todo = state.where("status IN ('new', 'changed')").select(*SCOPE)
+    again = members.join(todo, SCOPE, "left_semi")
+    fresh = signed(again, heroes.hero_selection(again, SCOPE))
+    kept = store.current().join(state.where("status = 'kept'").select(*SCOPE), SCOPE, "left_semi")
+    store.commit(kept.unionByName(fresh))
+    return store.current().join(state, SCOPE).select(*SCOPE, "status", "composite_hash")
+
+
 view("o_moments", """
 SELECT node_id, ts, count(*) AS n, max({'h': hero_score, 'd': final_dt, 's': sha1}) AS best FROM o_node_rows
 WHERE level <> 'root' AND ts IS NOT NULL GROUP BY 1, 2""")

@@ -1,12 +1,16 @@
 """Label frequencies, audits, work lists and table maintenance."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.operators import audit, frequency, ranking_scores, sidecars
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
+from silvergrain.session import shared_folder
+from silvergrain.sources.tables import VersionedTable
 
 _FLAG_ARMS = " UNION ALL ".join(
     f"SELECT '{f}' AS flag, '{f.replace('contains_', '').replace('is_', '').replace('_like', '').title()}' AS title,"
@@ -231,6 +235,14 @@ def people_override(a) -> DataFrame:
 
 # --- table maintenance -----------------------------------------------------------------
 
+def committed(a, first: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Commits a table, then its next version, and reads that back."""
+    table = VersionedTable(a.spark, shared_folder(a.spark, "table"))
+    table.commit(first)
+    table.commit(change(table.current()))
+    return table.current()
+
+
 def _fresh_scores(a) -> DataFrame:
     """A later scoring run: every photo of the old model version, now rescored."""
     return (a.technical.where("model_version = 'technical_v0'")
@@ -256,7 +268,7 @@ SELECT sha1, round(technical_score, 6) AS technical_score, model_version FROM (
 def upsert(a) -> DataFrame:
     new = _fresh_scores(a)
     # A photo that appears twice in the run keeps its placeholder row.
-    out = sidecars.upsert(a.technical, new, "sha1", order=F.asc("width"))
+    out = committed(a, a.technical, lambda old: sidecars.upsert(old, new, "sha1", order=F.asc("width")))
     return out.select("sha1", F.round("technical_score", 6).alias("technical_score"), "model_version")
 
 
@@ -265,7 +277,7 @@ SELECT sha1, model_version FROM image_scores UNION ALL
 SELECT DISTINCT sha1, model_version FROM o_fresh WHERE sha1 NOT IN (SELECT sha1 FROM image_scores)""")
 def insert_ignore(a) -> DataFrame:
     new = sidecars.upsert(_fresh_scores(a).limit(0), _fresh_scores(a), "sha1", order=F.asc("width"))
-    return sidecars.insert_ignore(a.technical, new, "sha1").select("sha1", "model_version")
+    return committed(a, a.technical, lambda old: sidecars.insert_ignore(old, new, "sha1")).select("sha1", "model_version")
 
 
 @query("replace_children", "SNK4", oracle="""
@@ -278,7 +290,7 @@ def replace_children(a) -> DataFrame:
     fresh = (a.faces.join(parents, "sha1", "left_semi").where("face_index < 2")
              .select("sha1", "face_index", (F.col("area_ratio") / 2).alias("area_ratio"), F.lit("new").alias("origin")))
     old = a.faces.select("sha1", "face_index", "area_ratio", F.lit("old").alias("origin"))
-    return sidecars.replace_children(old, parents, fresh)
+    return committed(a, old, lambda rows: sidecars.replace_children(rows, parents, fresh))
 
 
 @query("schema_upgrade", "SNK5", oracle="""
@@ -288,6 +300,24 @@ def schema_upgrade(a) -> DataFrame:
         "candidate_hash": F.lit(""), "selection_version": F.lit("v1"), "model_version": F.lit("never used")})
 
 
+@query("run_history", "SNK6", oracle="""
+WITH r AS (SELECT 'technical' AS model_name, model_version, min(scored_at) AS started_at, max(scored_at) AS completed_at,
+    count(*) AS images_attempted, count(*) AS images_scored, 0 AS images_failed, 1 AS turn FROM image_scores GROUP BY 2
+  UNION ALL SELECT 'semantic', model_version, min(scored_at), max(scored_at), count(*),
+    count(*) FILTER (NOT contains(warnings, 'failed')), count(*) FILTER (contains(warnings, 'failed')), 2
+  FROM semantic_scores GROUP BY 2)
+SELECT row_number() OVER (ORDER BY turn, model_version) AS run_id, started_at, completed_at, model_name, model_version,
+  images_attempted, images_scored, images_failed, 'rebuilt from stored scores' AS notes FROM r""")
+def run_history(a) -> DataFrame:
+    """The scoring runs of two signal tables, each appended to one ledger."""
+    ledger = VersionedTable(a.spark, shared_folder(a.spark, "ledger"))
+    technical = a.technical.withColumn("warnings", F.lit(""))
+    for rows, model in ((technical, "technical"), (a.semantic, "semantic")):
+        runs = sidecars.ledger_rows(rows, model, "rebuilt from stored scores")
+        ledger.commit(sidecars.appended_runs(ledger.current() if ledger.log().count() else None, runs))
+    return ledger.current()
+
+
 @query("run_ledger", "SNK6", oracle="""
 SELECT count(*) AS images_attempted, count(*) FILTER (NOT contains(warnings, 'failed')) AS images_scored,
   count(*) FILTER (contains(warnings, 'failed')) AS images_failed, 'semantic' AS model_name FROM semantic_scores""")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.functions import text
-from silvergrain.operators import library, ranking_scores, semantics
+from silvergrain.operators import library, ranking_scores, semantics, sidecars
 from silvergrain.plans.oracle import view
 from silvergrain.plans.oracle_views import CULL_PET, HERO_PET
 from silvergrain.plans.registry import query
@@ -16,6 +16,51 @@ def hero_scores(a) -> DataFrame:
     return ranking_scores.hero_scores(a.star)
 
 
+view("o_hero_sidecar", """
+SELECT h.sha1, CASE WHEN m.width IS NULL THEN 0 ELSE hero_score END AS hero_score,
+  CASE WHEN m.width IS NULL THEN '{}' ELSE printf('{"technical_score": %.6f, "aesthetic_score": %.6f, "subject_prominence_score": %.6f, '
+    || '"semantic_score": %.6f, "face_score": %.6f, "note": "%s"}', technical_score, aesthetic_score, subject_prominence_score,
+    semantic_score, face_score, note) END AS breakdown_json,
+  'hero_derived' AS model_name, 'hero_v1' AS model_version, '2026-01-01T00:00:00Z' AS scored_at,
+  CASE WHEN m.width IS NULL THEN 'compute_failed:no image size' ELSE '' END AS warnings
+FROM o_hero h JOIN o_active m USING (sha1)""")
+
+
+def _hero_sidecar(a) -> DataFrame:
+    scored = ranking_scores.hero_scores(a.star, "width")
+    return ranking_scores.score_sidecar(scored, "hero_score", F.col("width").isNotNull(), "hero_derived", "hero_v1",
+                                        "2026-01-01T00:00:00Z")
+
+
+@query("hero_sidecar", "SCO11", "SCO20", oracle="SELECT * FROM o_hero_sidecar")
+def hero_sidecar(a) -> DataFrame:
+    return _hero_sidecar(a)
+
+
+@query("score_failures", "SCO20", "JON4", "JON5", oracle="""
+WITH failed AS (SELECT sha1 FROM o_active WHERE width IS NULL)
+SELECT m.sha1, 'hero' AS score, 0::DOUBLE AS value, '{}' AS details, 'compute_failed:no image size' AS warnings
+FROM o_active m JOIN failed USING (sha1)
+UNION ALL SELECT m.sha1, 'semantic', 0, '[]', 'open_failed' FROM o_active m JOIN failed USING (sha1)""")
+def score_failures(a) -> DataFrame:
+    """Failure rows of two score tables, as the retry work lists of these tables find them again."""
+    unreadable = a.active.where("width IS NULL").select("sha1")
+    version = "semantic_v1"
+    rows = sidecars.failure_rows(unreadable, a.semantic, {
+        "scene_type": F.lit("unknown"), "top_labels_json": F.lit("[]"), "ai_tags_json": F.lit("[]"),
+        "model_version": F.lit(version), "warnings": F.lit("open_failed")})
+    semantic = sidecars.upsert(a.semantic, rows, "sha1")
+    retried = sidecars.todo_by_warnings(a.active, semantic, version).select("sha1")
+    hero = _hero_sidecar(a)
+    again = sidecars.todo_by_warnings(a.active, hero, "hero_v1").select("sha1")
+    return (hero.where("warnings <> ''").join(again, "sha1", "left_semi")
+            .select("sha1", F.lit("hero").alias("score"), F.col("hero_score").alias("value"),
+                    F.col("breakdown_json").alias("details"), "warnings")
+            .unionByName(semantic.join(unreadable, "sha1", "left_semi").join(retried, "sha1", "left_semi")
+                         .select("sha1", F.lit("semantic").alias("score"), F.col("semantic_score").alias("value"),
+                                 F.col("top_labels_json").alias("details"), "warnings")))
+
+
 @query("cull_scores", "SCO12", "PRJ21", oracle=f"""
 SELECT sha1, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
     (tech * 0.34 + aes * 0.20 + prom * 0.26 + face * 0.14 + sem * 0.06

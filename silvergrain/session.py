@@ -1,13 +1,20 @@
 """Session helpers: local session for tests, and durable lineage cuts."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of lineage cuts that have not been released.
+_CUTS: list[str] = []
+
+
 def local_session(cores: str = "*", app: str = "silvergrain") -> SparkSession:
     """A single-JVM session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -54,6 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="silvergrain-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 
@@ -67,9 +75,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, "cut")
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_cuts() -> None:
+    """Deletes the tables written by :func:`cut_lineage` so far; call it when their results have been written."""
+    while _CUTS:
+        drop_folder(_CUTS.pop())
+
+
+def drop_folder(path: str) -> None:
+    """Deletes a folder of this library's own, in any store that Arrow reaches."""
+    store, inner = fs.FileSystem.from_uri(path)
+    if store.get_file_info(inner).type == fs.FileType.Directory:
+        store.delete_dir(inner)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder, for written tables."""
     base = ensure_checkpoint_dir(spark)

@@ -45,3 +45,18 @@ def crc_of_ids(ids: np.ndarray) -> int:
 def id_bucket(buckets: int, column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text modulo ``buckets``: fixed folds for held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
+
+
+_HOLDER: list = [None]
+
+
+def hold(owner) -> None:
+    """Lets ``owner`` keep its memo in this worker; the one before it gives its own up (``release``).
+
+    Workers live on from stage to stage, so without this the memos of all
+    operators of a pipeline would add up.
+    """
+    before = _HOLDER[0]
+    if before is not owner and before is not None:
+        before.release()
+    _HOLDER[0] = owner

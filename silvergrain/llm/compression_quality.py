@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.llm.common import by_batch, id_bucket, record, texts
+from silvergrain.llm.common import by_batch, hold, id_bucket, record, texts
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_pair": None}
 
+    def release(self) -> None:
+        self._pair = None
+
     def _compressors(self):
         if self._pair is None:
             level, self._pair = self.settings.level, []
@@ -139,6 +142,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches):
         model = sent.value
+        hold(model)
         for batch in batches:
             found = model.score(np.array([model.difference(t.as_py()) for t in batch.column(1)], float))
             yield record(doc_id=batch.column(0), score=found,
@@ -154,6 +158,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches):
         model = sent.value
+        hold(model)
         for batch in batches:
             found = model.score(np.array([model.difference(t.as_py() or "") for t in batch.column(at)], float))
             yield batch.filter(pa.array(found >= model.settings.threshold))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from silvergrain.llm.common import by_batch, id_bucket, record, texts
+from silvergrain.llm.common import by_batch, hold, id_bucket, record, texts
 from silvergrain.session import ship_package
 
 NONE = "und"
@@ -190,6 +190,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_rows": {}, "_vectors": None}
 
+    def release(self) -> None:
+        self._rows, self._vectors = {}, None
+
     def word_vectors(self, words: list[str]) -> np.ndarray:
         """Forward sums of each word; words of one length are scored together."""
         table, out = piece_table(self.settings.vocabulary), np.zeros((len(words), len(self.languages)))
@@ -274,6 +277,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages times vocabulary
 
     def predict(batches):
+        hold(sent.value)
         for batch in batches:
             names, scores = sent.value.predict(batch.column(1).to_pylist())
             yield record(doc_id=batch.column(0), lang_pred=(names, pa.string()), score=scores)
@@ -287,6 +291,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     at, least = docs.columns.index("text"), model.settings.accept
 
     def keep(batches):
+        hold(sent.value)
         for batch in batches:
             names, scores = sent.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != NONE and s >= least for n, s in zip(names, scores)], pa.bool_()))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvergrain.llm.common import by_batch, record, texts
+from silvergrain.llm.common import by_batch, hold, record, texts
 from silvergrain.llm.components import components
 from silvergrain.session import cut_lineage
 
@@ -96,6 +96,7 @@ def tuple_keys(smallest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def sign(batches):
+        hold(None)
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -114,6 +115,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def cut(batches):
+        hold(None)
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             yield record(node=batch.column(0), set_key=([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),

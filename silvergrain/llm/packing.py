@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvergrain.llm.common import by_batch, record, texts
+from silvergrain.llm.common import by_batch, hold, record, texts
 from silvergrain.llm.word_bpe import word_bpe
 from silvergrain.session import cut_lineage
 
@@ -130,6 +130,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFr
     def encode(batches):
         part, encoder, seen = TaskContext.get().partitionId(), word_bpe(tokenizer), {}
         rows = []
+        hold(encoder)
 
         def out():
             columns = list(zip(*rows))

@@ -16,6 +16,7 @@ table gives an empty result. Further columns are left out.
 """
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
-from silvergrain.llm.common import by_batch, record, texts
+from silvergrain.llm.common import by_batch, hold, record, texts
 from silvergrain.llm.word_bpe import CHUNK_ENTRIES, PIECE_ENTRIES, Memo, WordBpe, as_letters, chunks_of
 
 
@@ -34,15 +35,15 @@ class PrefixCounts:
 
     def __init__(self, path: str):
         self.words = WordBpe(path)
-        model = self.words.spec["model"]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         self.suffix = model["end_of_word_suffix"]
-        self.vocab = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: The same merges without the mark of a word's end, for tokens inside a word.
-        self.inner = BPE(vocab=self.vocab, merges=merges)
+        self.inner = BPE(vocab=model["vocab"], merges=merges)
         #: For each beginning of a token: 1 if it is a token inside words, 2 if it is one at their end.
         self.table: dict[str, int] = {}
-        for token in self.vocab:
+        for token in model["vocab"]:
             bare, kind = (token[:-len(self.suffix)], 2) if token.endswith(self.suffix) else (token, 1)
             for end in range(1, len(bare)):
                 self.table.setdefault(bare[:end], 0)
@@ -52,6 +53,11 @@ class PrefixCounts:
         self.piece_counts = Memo(self.count_piece_prefixes, PIECE_ENTRIES)
         self.chunk_totals = Memo(self.count_chunk, CHUNK_ENTRIES)
 
+    def release(self) -> None:
+        self.words.release()
+        for memo in (self.agree_inside, self.agree_ended, self.piece_counts, self.chunk_totals):
+            memo.forget()
+
     def _agree_inside(self, pair: tuple[str, str]) -> bool:
         """Whether two tokens stay as they are when both stand inside a word."""
         return [t.value for t in self.inner.tokenize(pair[0] + pair[1])] == list(pair)
@@ -164,6 +170,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, tokenizer: str = "word_bpe_
     """
     def count(batches):
         counter = prefix_counter(tokenizer)
+        hold(counter)
         for batch in batches:
             n_bytes, n_tokens, cut = [], [], []
             for text in batch.column(1):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silvergrain.llm.common import by_batch, crc_of_ids, record, texts
+from silvergrain.llm.common import by_batch, crc_of_ids, hold, record, texts
 from silvergrain.llm.word_bpe import word_bpe
 
 NO_ID = np.iinfo(np.int64).min
@@ -48,6 +48,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         part, encoder = TaskContext.get().partitionId(), word_bpe(tokenizer)
         name, out, store = f"{part:06d}-{uuid.uuid4().hex}", None, None
         ids, lengths = [], []
+        hold(encoder)
         for batch in batches:
             if out is None:
                 store, path = fs.FileSystem.from_uri(folder)

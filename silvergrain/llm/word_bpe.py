@@ -47,17 +47,21 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
-        split = next((p for p in self.spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), None)
-        if self.spec["model"].get("end_of_word_suffix") is None or split is None or split["behavior"] != "Removed":
+            spec = json.load(file)
+        split = next((p for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), None)
+        if spec["model"].get("end_of_word_suffix") is None or split is None or split["behavior"] != "Removed":
             raise ValueError("only tokenizers that drop white space between words are supported")
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.special = [t["content"] for t in self.spec["added_tokens"]]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile(split["pattern"]["Regex"])
         self.chunks = Memo(self.encode_chunk, CHUNK_ENTRIES)
         self.pieces = Memo(self.encode_piece, PIECE_ENTRIES)
 
+    def release(self) -> None:
+        self.chunks.forget()
+        self.pieces.forget()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, chunks_of(text)))
 
@@ -96,6 +100,10 @@ class Memo(dict):
         super().__init__()
         self.fn, self.entries, self.old = fn, entries, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

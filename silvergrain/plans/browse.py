@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.functions import geo, text, time
-from silvergrain.operators import library, ordering, scopes
+from silvergrain.operators import library, ordering, places, scopes
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
 
@@ -80,6 +80,36 @@ def file_date_sources(a) -> DataFrame:
         F.when(F.col("is_deleted") == 1, "Yes").otherwise("No").alias("deleted_text"))
 
 
+_DIGIT = "substr(sha1, 1, 1)"
+
+
+@query("lenient_dates", "PRJ29", oracle=f"""
+SELECT sha1, CASE WHEN {_DIGIT} IN ('f', '0') THEN NULL
+  ELSE strftime(try_strptime(final_dt, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') END AS parsed FROM media""")
+def lenient_dates(a) -> DataFrame:
+    """The same dates in several layouts, chosen by the first digit of the id; two digits have none that parses."""
+    digit, date = F.substring("sha1", 1, 1), F.col("final_dt")
+    iso, camera = F.replace(date, F.lit(" "), F.lit("T")), F.concat(F.translate(F.substring(date, 1, 10), "-", ":"), F.substring(date, 11, 9))
+    written = (F.when(digit.isin("1", "2", "3"), camera).when(digit.isin("4", "5"), iso)
+               .when(digit.isin("6", "7"), F.concat(iso, F.lit("Z"))).when(digit.isin("8", "9"), F.concat(F.lit("  "), date, F.lit(" ")))
+               .when(digit == "f", "12 May").when(digit == "0", "").otherwise(date))
+    found = F.when(~time.is_undated(date), time.lenient_timestamp(written))
+    return a.media.select("sha1", time.stamp_text(found).alias("parsed"))
+
+
+@query("timeline_day_rows", "FIL2", oracle="""
+SELECT sha1, 'month' AS scope FROM o_browse WHERE undated = 0 AND decade = '1990s' AND year = '1995' AND month = '07'
+UNION ALL SELECT sha1, 'day' FROM o_browse WHERE undated = 0 AND month = '03' AND day = '09'
+UNION ALL SELECT sha1, 'place' FROM o_place_records WHERE substr(final_dt, 1, 4) = '2001'""")
+def timeline_day_rows(a) -> DataFrame:
+    """Month and day scopes, and the located photos of a year."""
+    month = library.in_timeline_scope(a.active, decade="1990s", year="1995", month="07").select("sha1", F.lit("month").alias("scope"))
+    day = library.in_timeline_scope(a.active, month="03", day="09").select("sha1", F.lit("day").alias("scope"))
+    records = places.place_records(a.ranked, a.photo_geo, a.geo_cache)
+    place = library.in_timeline_scope(records, year="2001").select("sha1", F.lit("place").alias("scope"))
+    return month.unionByName(day).unionByName(place)
+
+
 view("o_months", """
 SELECT decade, year, month, max(month_name) AS month_name, count(*) AS n FROM o_browse WHERE undated = 0
 GROUP BY 1, 2, 3""")

@@ -167,26 +167,29 @@ def photo_links(a) -> DataFrame:
 def _response(d: str) -> str:
     """JSON text of a geocoder response per cached coordinate, in either SQL dialect."""
     quote = '\'"\''
-    parts = [("country", "country"), ("city_district", "city"), ("town", "town"), ("neighbourhood", "suburb"),
-             ("ISO_3166-2", "state"), ("natural", "place_name"), ("road", "road")]
+    parts = [("country", "country"), ("country_code", "lower(substr(country, 1, 2))"), ("state", "state"), ("ISO_3166-2", "city"),
+             ("county", "county"), ("city_district", "city"), ("town", "town"), ("village", "substr(town, 1, 3)"),
+             ("hamlet", "substr(county, 1, 4)"), ("neighbourhood", "suburb"), ("postcode", "substr(formatted, 6, 2)"),
+             ("road", "road"), ("house_number", "substr(formatted, 1, 1)"), ("natural", "place_name")]
     items = " || ', ' || ".join(f"'\"{key}\": ' || {quote} || {col} || {quote}" for key, col in parts)
     body = (f"'{{\"results\": [{{\"confidence\": ' || CAST(length(formatted) AS STRING) || ', \"formatted\": ' || {quote}"
             f" || formatted || {quote} || ', \"type\": \"road\", \"components\": {{' || {items} || '}}}}]}}'")
     return f"CASE WHEN status = 'error' THEN '{{\"results\": []}}' ELSE {body} END"
 
 
-@query("geocode_parse", "PRJ24", oracle="""
-SELECT coord_key, CASE WHEN status = 'ok' THEN length(formatted) END AS confidence,
-  CASE WHEN status = 'ok' THEN formatted ELSE '' END AS formatted, CASE WHEN status = 'ok' THEN 'road' ELSE '' END AS result_type,
-  CASE WHEN status = 'ok' THEN country ELSE '' END AS country, CASE WHEN status = 'ok' THEN state ELSE '' END AS state_code,
-  CASE WHEN status = 'ok' THEN city ELSE '' END AS city, CASE WHEN status = 'ok' THEN town ELSE '' END AS town,
-  CASE WHEN status = 'ok' THEN suburb ELSE '' END AS suburb, CASE WHEN status = 'ok' THEN road ELSE '' END AS road,
-  CASE WHEN status = 'ok' THEN place_name ELSE '' END AS place_name, (status = 'ok')::INT AS results_count FROM geo_cache""")
+_PARSED = {"formatted": "formatted", "result_type": "'road'", "country": "country", "country_code": "lower(substr(country, 1, 2))",
+           "state": "state", "state_code": "city", "county": "county", "city": "city", "town": "town",
+           "village": "substr(town, 1, 3)", "hamlet": "substr(county, 1, 4)", "suburb": "suburb",
+           "postcode": "substr(formatted, 6, 2)", "road": "road", "house_number": "substr(formatted, 1, 1)",
+           "place_name": "place_name"}
+
+
+@query("geocode_parse", "PRJ24", oracle="SELECT coord_key, CASE WHEN status = 'ok' THEN length(formatted) END AS confidence, "
+       + ", ".join(f"CASE WHEN status = 'ok' THEN {sql} ELSE '' END AS {name}" for name, sql in _PARSED.items())
+       + ", (status = 'ok')::INT AS results_count FROM geo_cache")
 def geocode_parse(a) -> DataFrame:
     raw = a.geo_cache.selectExpr("coord_key", f"{_response('spark')} AS raw_json")
-    return places.parsed_addresses(raw).select("coord_key", "confidence", "formatted", "result_type", "country",
-                                               "state_code", "city", "town", "suburb", "road", "place_name",
-                                               "results_count")
+    return places.parsed_addresses(raw).select("coord_key", "confidence", *_PARSED, "results_count")
 
 
 def _tile_sql(lon: str, lat: str, z: str) -> tuple[str, str]:

@@ -333,8 +333,17 @@ def summary_export(a) -> DataFrame:
 
 
 @query("optional_sidecar", "SRC3", oracle="""
-SELECT m.sha1, 0 AS present FROM o_active m""")
+SELECT m.sha1, 0 AS in_missing, (t.technical_score IS NOT NULL)::INT AS in_present, count(*) OVER () AS rows_joined
+FROM o_active m LEFT JOIN image_scores t USING (sha1)""")
 def optional_sidecar(a) -> DataFrame:
-    missing = sidecars.optional_table(a.spark, f"{a.root}/no_such_table.parquet", "sha1 string, score double", "sha1")
-    return a.active.select("sha1").join(missing, "sha1", "left").select(
-        "sha1", F.col("score").isNotNull().cast("int").alias("present"))
+    """One table that was never written, and one that was, with blank and missing keys in it."""
+    schema = "sha1 string, score double"
+    missing = sidecars.optional_table(a.spark, f"{a.root}/no_such_table.parquet", schema, "sha1")
+    path = shared_folder(a.spark, "sidecar")
+    written = a.technical.select("sha1", F.col("technical_score").alias("score"))
+    blank = written.select(F.when(F.col("score") > 0.5, "").alias("sha1"), "score")
+    written.unionByName(blank).write.parquet(path)
+    present = sidecars.optional_table(a.spark, path, schema, "sha1").withColumnRenamed("score", "found")
+    rows = a.active.select("sha1").join(missing, "sha1", "left").join(present, "sha1", "left").select(
+        "sha1", F.col("score").isNotNull().cast("int").alias("in_missing"), F.col("found").isNotNull().cast("int").alias("in_present"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("rows_joined"))))  # one row

@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this folder."""
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,10 +25,36 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Rows that a function gets at once; wide results of a batch stay small.
+BATCH_ROWS = 1_000
+
+
 def by_batch(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the workers."""
+    """``mapInArrow`` with this package at hand on the workers, in small batches.
+
+    Workers live on after a task, so it gives back what Arrow and the C library keep.
+    """
     ship_package(rows.sparkSession)
-    return rows.mapInArrow(fn, schema)
+
+    def small(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+
+    def tidy(batches):
+        try:
+            yield from fn(small(batches))
+        finally:
+            give_back()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def record(**columns) -> pa.RecordBatch:

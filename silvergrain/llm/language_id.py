@@ -39,7 +39,7 @@ START = "▁"
 #: A fixed gain per letter keeps sums of products near 1 while training; it cancels.
 GAIN = 8.0
 #: Letters of texts that are scored together, and chunks whose scores a worker keeps.
-BATCH_CHARS, CHUNK_ENTRIES = 1_000_000, 250_000
+BATCH_CHARS, CHUNK_ENTRIES = 1_000_000, 120_000
 #: Fixed odd numbers of the substring hash, and marks of its lookups.
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BEGINS, NOTHING = -2, -3

@@ -30,8 +30,9 @@ def _label(value: Column, fallback: str) -> Column:
 def place_records(photos: DataFrame, photo_geo: DataFrame, geo_cache: DataFrame) -> DataFrame:
     """One record per located photo with its four place labels.
 
-    Photos without a geocoded row fall back to their own coordinates. The
-    coordinate dimension joins on its key; Spark broadcasts it only while its
+    Photos without a geocoded row fall back to their own coordinates. A home
+    address may hold a third of all photos; its side of the join is left to
+    AQE's split of skewed partitions. The coordinate dimension joins on its key; Spark broadcasts it only while its
     measured size stays under the broadcast threshold.
     """
     address = ["country", "state", "county", "city", "town", "village", "hamlet", "suburb", "place_name", "formatted",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from silvergrain.functions import text
 from silvergrain.functions.score import (cap1, clamp01, joined_notes, logistic, smoothstep, weighted, zero,
                                          zero_int)
-from silvergrain.operators.ordering import top_rows
 
 
 def signal_star(active: DataFrame, technical: DataFrame, faces: DataFrame, aesthetic: DataFrame,

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from silvergrain.functions import text
 from silvergrain.operators.ordering import top_rows
 
 TIMELINE = ["decade", "year", "month"]

@@ -43,7 +43,8 @@ n AS (SELECT *, lower(trim(regexp_replace(label, '\s+', ' ', 'g'))) AS norm FROM
 c AS (SELECT country_label, region_label, city_label, norm, coord_key, label, count(*) AS n FROM n GROUP BY ALL),
 t AS (SELECT country_label, region_label, city_label, norm, arg_max(coord_key, (n, coord_key)) AS top_key,
              arg_max(label, (n, coord_key)) AS top_label FROM c GROUP BY ALL)
-SELECT n.*, concat('place::', country_label, '::', region_label, '::', city_label, '::', top_key) AS leaf_id, top_label FROM n JOIN t USING (country_label, region_label, city_label, norm)""")
+SELECT n.*, concat('place::', country_label, '::', region_label, '::', city_label, '::', top_key) AS leaf_id, top_label
+FROM n JOIN t USING (country_label, region_label, city_label, norm)""")
 
 view("o_node_rows", """
 SELECT 'root' AS node_id, 'root' AS level, 'World' AS label, NULL::VARCHAR AS parent_id, * FROM o_leaves

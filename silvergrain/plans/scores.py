@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.functions import text
-from silvergrain.operators import library, ranking_scores, semantics, sidecars
+from silvergrain.operators import ranking_scores, semantics, sidecars
 from silvergrain.plans.oracle import view
 from silvergrain.plans.oracle_views import CULL_PET, HERO_PET
 from silvergrain.plans.registry import query

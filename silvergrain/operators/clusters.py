@@ -180,18 +180,19 @@ def _large_time_centres(large: DataFrame, keys: list[str], k: int) -> DataFrame:
                .agg(F.max(F.struct(gap.alias("gap"), (-F.col("ts")).alias("early"))).alias("far")))
         more = F.when(F.col("far.gap") > 0, F.array_append("centres", (-F.col("far.early")).cast("double")))
         state = cut_lineage(state.join(far, keys).select(*keys, F.coalesce(more, F.col("centres")).alias("centres")))
-    state = state.withColumn("centres", F.array_sort("centres"))
-    for _ in range(TIME_ROUNDS):
-        owned = sliced.join(state, keys).withColumn("own", nearest_time(F.col("ts"), F.col("centres")))
+    state = state.select(*keys, F.array_sort("centres").alias("centres"), F.lit(False).alias("still"))
+    for _ in range(TIME_ROUNDS):  # a group whose centres are still takes no further part
+        owned = sliced.join(state.where(~F.col("still")), keys).withColumn("own", nearest_time(F.col("ts"),
+                                                                                              F.col("centres")))
         means = owned.groupBy(*keys, "own").agg((F.sum(F.col("ts") * F.col("n")) / F.sum("n")).alias("mean"))
         moved = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("own", "mean"))).alias("moved"))
         fresh = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(F.col("moved"), i), c))
         shift = F.array_max(F.zip_with("old", "centres", lambda x, y: F.abs(x - y)))
-        step = cut_lineage(state.join(moved, keys).select(*keys, F.col("centres").alias("old"), fresh.alias("centres")))
-        state = step.drop("old")
-        if step.where(shift >= TIME_MOVE).isEmpty():
+        step = state.join(moved, keys, "left").select(*keys, F.col("centres").alias("old"), fresh.alias("centres"))
+        state = cut_lineage(step.select(*keys, "centres", (shift < TIME_MOVE).alias("still")))
+        if state.where(~F.col("still")).isEmpty():
             break
-    return state
+    return state.select(*keys, "centres")
 
 
 def _by_size(rows: DataFrame, keys: list[str], small: Callable[[DataFrame], DataFrame],

@@ -51,6 +51,19 @@ def test_time_centres_both_ways(many_slices, limit):
         assert sorted(set(got[g])) == want
 
 
+def test_time_centres_stop_group_by_group(many_slices):
+    """Of two large groups, one is still after three rounds by a shift below a second, the other after eight."""
+    rows = []
+    for g, seed, top in (("early", 17, 120), ("late", 29, 300)):
+        rng = random.Random(seed)
+        rows += [(g, v, rng.randrange(1, 9)) for v in range(top)]
+    df = many_slices.createDataFrame(rows, "g string, ts long, n long")
+    one, many = ({r["g"]: r["centres"] for r in clusters.moment_centres(df, ["g"], 3, limit=n).collect()} for n in (10**9, 0))
+    assert one == many
+    for g in one:
+        assert sorted(one[g]) == sorted(brute.moment_centres([v for h, v, n in rows if h == g for _ in range(n)], 3))
+
+
 def members(spark, spec):
     """``(lat, hero)`` or ``(None, hero)`` photos of one scope, an hour apart."""
     rows = []

@@ -25,6 +25,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def stretch(chars: int) -> Column:
+    """The text; of a longer one, ``chars`` characters from a place that a hash of the id sets."""
+    beyond = F.greatest(F.length("text") - chars, F.lit(0))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), beyond + 1) + 1
+    return F.when(beyond > 0, F.substr("text", start.cast("int"), F.lit(chars))).otherwise(F.col("text"))
+
+
 #: Rows that a function gets at once; wide results of a batch stay small.
 BATCH_ROWS = 1_000
 

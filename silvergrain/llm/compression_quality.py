@@ -8,7 +8,7 @@ logistic curve, fitted on labelled documents that neither dictionary has seen,
 makes it a probability.
 
 Only labelled rows outside the held-out fold train, and of these a bounded
-sample (``Settings``). A label that is given more than once counts by its mean.
+sample (``Settings``), of long texts a stretch whose place is set by a hash. A label that is given more than once counts by its mean.
 Missing text is empty; an empty text gets the curve's value at no difference.
 With labels of one kind only, or none, all scores are the share of good labels
 (0.5 without labels). Repeated rows are scored row by row. An empty table gives
@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.llm.common import by_batch, hold, id_bucket, record, texts
+from silvergrain.llm.common import by_batch, hold, id_bucket, record, stretch, texts
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Rows of up to ``train_chars`` characters, ``train_docs`` of each label in expectation (by hash of the id), train on the driver."""
+    """``train_docs`` rows of each label in expectation (by hash of the id) train on the driver, each with up to ``train_chars`` characters."""
     train_docs: int = 2_000
     train_chars: int = 20_000
     block: int = 512
@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = {kind: min(1.0, settings.train_docs / n) for kind, n in all_of.items()}
     chosen = known.where(spot < F.when(F.col("good") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
-    rows = (texts(docs).where(F.length("text") <= settings.train_chars)
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").collect())  # about train_docs of each label
+    rows = (texts(docs).join(F.broadcast(chosen), "doc_id")
+            .select("doc_id", "good", stretch(settings.train_chars).alias("text")).collect())  # about train_docs of each label
     rows.sort()
     parts = {kind: [r["text"] for r in rows if r["good"] == kind] for kind in (0, 1)}
     bad_rows, good_rows = max(all_of.get(0, 0), 1e-6), max(all_of.get(1, 0), 1e-6)

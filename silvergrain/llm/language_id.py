@@ -9,7 +9,7 @@ prediction is the language with the largest posterior under equal priors, and th
 posterior is the score.
 
 Words are maximal runs of letters in lower case; runs of over 100 letters are cut
-there. A letter that no piece covers has a small fixed probability. Text without
+into parts of 100, of which all count. A letter that no piece covers has a small fixed probability. Text without
 a letter, or missing text, is ``und`` with score 0, and so is everything if no
 language could be learned. Repeated rows are predicted row by row; an empty table
 gives an empty result. Further columns are left out of predictions.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from silvergrain.llm.common import by_batch, hold, id_bucket, record, texts
+from silvergrain.llm.common import by_batch, hold, id_bucket, record, stretch, texts
 from silvergrain.session import ship_package
 
 NONE = "und"
@@ -49,7 +49,7 @@ BROADCAST_LANGUAGES = 10_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_docs`` documents of each language (by hash of the id, in expectation) of up to ``train_chars`` characters train."""
+    """``train_docs`` documents of each language (by hash of the id, in expectation) train, each with up to ``train_chars`` characters."""
     vocabulary: str = "piece_bpe_32k.model"
     train_docs: int = 300
     train_chars: int = 20_000
@@ -90,16 +90,16 @@ def learn(words: list[str], counts: np.ndarray, vocabulary: dict[str, int], sett
     """Piece probabilities of one language by expectation maximisation; the last one is that of an unknown letter."""
     longest = max(map(len, vocabulary))
     n = len(vocabulary) + 1
-    lattices = [edges(w, vocabulary, longest) for w in words]
+    lattices = [np.array(edges(w, vocabulary, longest), np.int32) for w in words]  # a tenth of the lists' size
     # the first round's probabilities: pieces by their occurrences, longer ones no rarer than short ones
     expected = np.zeros(n)
     for lattice, count in zip(lattices, counts):
-        for _, _, piece in lattice:
-            expected[piece] += count
+        np.add.at(expected, lattice[:, 2], count)
     for _ in range(settings.rounds):
         probability = ((expected + settings.smooth) / (expected.sum() + settings.smooth * n)).tolist()
         gained = np.zeros(n)
-        for word, lattice, count in zip(words, lattices, counts):
+        for word, packed, count in zip(words, lattices, counts):
+            lattice = packed.tolist()
             size = len(word) + 1
             forward, backward = [0.0] * (size + 1), [0.0] * (size + 1)
             forward[0] = backward[size] = 1.0
@@ -247,17 +247,17 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Fits on a bounded sample of rows outside the held-out fold that name their language.
 
     The sample is chosen by ids before any text is read: a hash of the id below
-    a language's share. Word counts and maximisation run as Spark groups, one
+    a language's share; of a long text, a stretch whose place is a hash as well. Word counts and maximisation run as Spark groups, one
     language to a task, each bounded by the sample.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull())
     share = known.groupBy("lang").agg((F.lit(float(settings.train_docs)) / F.count(F.lit(1))).alias("_share"))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     small = share.count() <= BROADCAST_LANGUAGES
-    sample = (known.where(F.length("text") <= settings.train_chars).select("doc_id", "lang", "text")
+    sample = (known.select("doc_id", "lang", "text")
               .join(F.broadcast(share) if small else share, "lang").where(spot < F.col("_share")))
-    words = (sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''")
-             .withColumn("word", F.substring("word", 1, 100)).groupBy("lang", "word").count())
+    runs = F.regexp_extract_all(F.lower(stretch(settings.train_chars)), F.lit(f"({RUNS.pattern})"))
+    words = sample.select("lang", F.explode(runs).alias("word")).groupBy("lang", "word").count()
     schema = "lang string, piece int, probability double"
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:

@@ -169,3 +169,25 @@ def test_long_words_keep_finite_scores():
     names, scores = model.predict(["z" * 5000 + " 日" * 50, None, "123"])
     assert np.isfinite(language_id.forward_sums(["z" * 100], language_id.piece_table("piece_bpe_32k.model"), model.probability.T)).all()
     assert names == ["x", "und", "und"] and scores.tolist() == [1.0, 0.0, 0.0]
+
+
+def test_language_of_long_documents_only_is_learned(spark):
+    rows = [(i, " ".join([PROSE[0]] * (1 + 400 * (i % 2))) if i % 2 else PROSE[1], ("fr", "en")[i % 2], "s") for i in range(24)]
+    assert min(len(t) for _, t, lang, _ in rows if lang == "en") > language_id.Settings().train_chars
+    model = language_id.train(documents(spark, rows))
+    assert model.languages == ["en", "fr"] and model.predict(["the dog runs into the forest"])[0] == ["en"]
+
+
+def test_language_learns_all_parts_of_a_long_run(spark):
+    rows = [(i, "ab" * 50 + ("mo", "ki")[i % 2] * 100, ("x", "y")[i % 2], "s") for i in range(24)]
+    model = language_id.train(documents(spark, rows))
+    assert model.predict(["mo" * 20, "ki" * 20])[0] == ["x", "y"]
+
+
+def test_quality_learns_from_long_documents(spark):
+    rows = [(i, " ".join([PROSE[0]] * 400) + f" {i}" if i % 2 else f"buy now {i} " * 40, "en", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = compression_quality.train(documents(spark, rows), labels)
+    assert model.bad and model.good
+    good, bad = model.score(np.array([model.difference(t) for t in (PROSE[0] * 5, "buy now " * 40)]))
+    assert good > bad

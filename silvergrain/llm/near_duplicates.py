@@ -17,8 +17,10 @@ ordered from rare to common. So a passage that thousands share pairs none of
 them. Pairs inside one component can't change the result and are left out.
 
 Missing or wordless text has an empty set and is linked with nothing. Rows that
-repeat a doc_id with one text are one document; a row without doc_id is linked
-with nothing and kept. An empty table gives an empty result. Further columns are
+repeat a doc_id with one set are one document; rows that give a doc_id different
+sets are different documents, each linked and kept by its own set. Components
+are called by their smallest doc_id, so only such rows may give two components
+one name. A row without doc_id is linked with nothing and kept. An empty table gives an empty result. Further columns are
 left out.
 """
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from silvergrain.llm.common import by_batch, hold, record, texts
 from silvergrain.llm.components import components
@@ -118,10 +121,24 @@ def _sets(docs: DataFrame) -> DataFrame:
         hold(None)
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
-            yield record(node=batch.column(0), set_key=([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+            yield record(doc_id=batch.column(0), set_key=([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
                          shingles=([s.astype(np.int64) for s in sets], pa.list_(pa.int64())))
 
-    return by_batch(docs, cut, "node long, set_key binary, shingles array<long>")
+    return by_batch(docs, cut, "doc_id long, set_key binary, shingles array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with the key of their set in ``_set_key``, empty for an empty set."""
+    at = docs.columns.index("text")
+
+    def key(batches):
+        hold(None)
+        for batch in batches:
+            sets = [shingles(t.as_py() or "") for t in batch.column(at)]
+            keys = pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_set_key"])
+
+    return by_batch(docs, key, StructType([*docs.schema.fields, StructField("_set_key", BinaryType())]))
 
 
 def _shared(nodes: DataFrame, side: str) -> DataFrame:
@@ -205,20 +222,22 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(old.union(found.join(labels.select("node"), "node", "left_anti")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, set_key, component_id, kept`` for every document."""
     rows = texts(docs)
     signed = cut_lineage(_signatures(rows))
     known = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = cut_lineage(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("a").alias("a"),
-                                                     F.first("b").alias("b"), F.first("n_shingles").alias("n_shingles")))
+    nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"),
+                                         F.first("b").alias("b"), F.first("n_shingles").alias("n_shingles"))
+    # a number of its own for each set, as a doc_id may stand for several; fixed by being written
+    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
     tables = _tables(nodes)
     wanted = cut_lineage(tables.select("node").distinct())
-    keys = nodes.select("node", "set_key").join(wanted, "node", "left_semi")
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.withColumnRenamed("node", "doc_id")
+    keys = nodes.select("node", "doc_id", "set_key").join(wanted, "node", "left_semi")
+    ids = cut_lineage(keys.select("doc_id").distinct())
+    few = ids.count() <= BROADCAST_IDS
     chosen = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = cut_lineage(_sets(chosen).join(keys, ["node", "set_key"], "left_semi")
+    sets = cut_lineage(_sets(chosen).join(keys, ["doc_id", "set_key"])
                        .dropDuplicates(["node"]).select("node", "shingles"))
     tested = cut_lineage(_leader_pairs(tables, nodes.select("node", "n_shingles")))
     labels = components(_confirmed(tested, sets).select(F.col("x").alias("u"), F.col("y").alias("v")))
@@ -227,21 +246,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = cut_lineage(labelled.join(torn, "bucket", "left_semi").select("node", "label").distinct())
     pairs = cut_lineage(_apart_pairs(apart, sets).join(tested, ["x", "y"], "left_anti"))
     labels = _joined(labels, _confirmed(pairs, sets))
-    of_set = _with_labels(nodes.select("node", "set_key"), labels).select("set_key", "label")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("label")), F.col("doc_id"))
+    one = F.struct("doc_id", "set_key")
+    firsts = nodes.select("node", one.alias("one")).join(labels, "node").groupBy("label").agg(F.min("one").alias("first"))
+    of_node = labels.join(firsts, "label").select("node", "first")
+    of_set = (nodes.select("node", "set_key", one.alias("one")).join(of_node, "node", "left")
+              .select("set_key", F.coalesce("first", "one").alias("first")))
+    linked = F.col("doc_id").isNotNull() & F.col("first").isNotNull()
     return (signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
-            .withColumn("component_id", component)
-            .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+            .select("doc_id", "n_shingles", "set_key",
+                    F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    (~linked | ((F.col("doc_id") == F.col("first.doc_id"))
+                                & (F.col("set_key") == F.col("first.set_key")))).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every document."""
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents themselves, one of each group; of rows with one doc_id one stays."""
-    kept = cut_lineage(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id")
-                       .agg(F.count(F.lit(1)).alias("_rows")))
+    """The documents themselves, one of each group; of rows with one doc_id and set one stays."""
+    judged = cut_lineage(_judged(docs).where("doc_id IS NOT NULL")
+                         .groupBy("doc_id", F.coalesce("set_key", F.lit(b"")).alias("_set_key"))
+                         .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")))
+    kept = cut_lineage(judged.groupBy("doc_id").agg(F.max("_kept").alias("_kept"), F.sum("_rows").alias("_rows"))
+                       .where("_kept"))
     few = kept.count() <= BROADCAST_IDS
     once = kept.where("_rows = 1").select("doc_id")
     more = kept.where("_rows > 1").select("doc_id")
     single = docs.join(F.broadcast(once) if few else once, "doc_id", "left_semi")
-    several = docs.join(F.broadcast(more) if few else more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    several = (_keyed(docs.join(F.broadcast(more) if few else more, "doc_id", "left_semi"))
+               .join(judged.where("_kept").select("doc_id", "_set_key"), ["doc_id", "_set_key"], "left_semi")
+               .dropDuplicates(["doc_id", "_set_key"]).drop("_set_key"))
     return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))

@@ -162,6 +162,19 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_duplicates.deduplicated(empty(spark)).collect() == []
 
 
+def test_two_texts_of_one_doc_id_are_two_documents(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(5, a, None, None), (5, b, None, None), (7, a + " more", None, None), (8, b + " more", None, None),
+            (3, b + " other", None, None), (5, a, None, None), (5, None, None, None), (9, "alone", None, None)]
+    docs = documents(spark, rows)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == [(3, 57, 3, True), (5, 0, 5, True), (5, 56, 3, False), (5, 56, 5, True), (5, 56, 5, True), (7, 57, 5, False),
+                   (8, 57, 3, False), (9, 1, 9, True)]
+    kept = near_duplicates.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(3, b + " other"), (5, ""), (5, a), (9, "alone")]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (300, 200), (200, 300)]
     rnd = random.Random(0)

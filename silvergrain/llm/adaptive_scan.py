@@ -23,6 +23,7 @@ table, or one without queries, gives an empty result.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from silvergrain.llm.common import by_batch, record
 from silvergrain.session import cut_lineage, ship_package
 
+#: Components of vectors whose products are taken at once.
+SCORED_NUMBERS = 4_000_000
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -137,13 +140,17 @@ class Index:
         return bound, best, exact
 
     def scan(self, x: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, candidate) pairs within the bound, by column blocks with early abandonment."""
+        """(query, candidate) pairs within the bound."""
+        of_q, of_c = zip(*self.parts(x, queries, bound))
+        return np.concatenate(of_q), np.concatenate(of_c)
+
+    def parts(self, x: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of 128 queries at a time, by column blocks with early abandonment."""
         dims = len(self.rotation)
         points = (self.lifted(x) @ self.rotation).astype(np.float32)
         asked = (self.flat(queries) @ self.rotation).astype(np.float32)
         limit = (queries * queries).sum(1) + self.largest ** 2 - 2 * bound
         limit = np.where(np.isfinite(limit), limit, np.inf) * (1 + 1e-5) + 1e-9
-        pairs_q, pairs_c = [], []
         for start in range(0, len(asked), 128):
             part, most = asked[start:start + 128], limit[start:start + 128, None]
             partial, open_q, open_c = np.zeros((len(part), len(points)), np.float32), None, None
@@ -161,9 +168,29 @@ class Index:
                     sums = sums + ((a[open_q] - b[open_c]) ** 2).sum(1)
                     near = sums <= most[open_q, 0] * chance
                     open_q, open_c, sums = open_q[near], open_c[near], sums[near]
-            pairs_q.append(open_q + start)
-            pairs_c.append(open_c)
-        return np.concatenate(pairs_q), np.concatenate(pairs_c)
+            yield open_q + start, open_c
+
+    def best(self, x: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, candidates and scores: of each query the first k + 1 pairs within the bound, and what ties with the last.
+
+        One vector of very large norm can leave every pair within the bound, so pairs are scored in
+        bounded pieces and reduced after each part of the queries.
+        """
+        k, piece, found = self.settings.neighbours, max(1, SCORED_NUMBERS // x.shape[1]), []
+        for at_q, at_c in self.parts(x, queries, bound):
+            scores = np.zeros(len(at_q))
+            for at in range(0, len(at_q), piece):
+                own = slice(at, at + piece)
+                scores[own] = (x[at_c[own]] * queries[at_q[own]]).sum(1)
+            order = np.lexsort((-scores, at_q))
+            at_q, at_c, scores = at_q[order], at_c[order], scores[order]
+            first = np.searchsorted(at_q, at_q, "left")
+            top = np.arange(len(at_q)) - first <= k
+            tie = scores >= scores[np.minimum(first + k, len(scores) - 1)] if len(scores) else top
+            same = at_q[np.minimum(first + k, len(at_q) - 1)] == at_q if len(scores) else top
+            keep = np.flatnonzero(top | (tie & same))
+            found.append((at_q[keep], at_c[keep], scores[keep]))
+        return tuple(map(np.concatenate, zip(*found)))
 
 
 def _fit(distinct: DataFrame, settings: Settings) -> Index:
@@ -221,17 +248,9 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
         if not candidates.num_rows or not asking.num_rows:
             return schema.empty_table()
         x, y = matrix(candidates["embedding"]), matrix(asking["embedding"])
-        at_q, at_c = index.value.scan(x, y, asking["bound"].to_numpy())
-        scores = (x[at_c] * y[at_q]).sum(1)
-        best = np.lexsort((-scores, at_q))  # of a query only its first k + 1 here can matter
-        at_q, at_c, scores = at_q[best], at_c[best], scores[best]
-        first = np.searchsorted(at_q, at_q, "left")
-        top = np.arange(len(at_q)) - first <= k
-        tie = scores >= scores[np.minimum(first + k, len(scores) - 1)] if len(scores) else top
-        same = at_q[np.minimum(first + k, len(at_q) - 1)] == at_q if len(scores) else top
-        keep = np.flatnonzero(top | (tie & same))
-        ids = candidates["ids"].combine_chunks().take(pa.array(at_c[keep]))
-        return pa.table([pa.array(asking["q"].to_numpy()[at_q[keep]]), pa.array(scores[keep]), ids], schema=schema)
+        at_q, at_c, scores = index.value.best(x, y, asking["bound"].to_numpy())
+        ids = candidates["ids"].combine_chunks().take(pa.array(at_c))
+        return pa.table([pa.array(asking["q"].to_numpy()[at_q]), pa.array(scores), ids], schema=schema)
 
     kind = "embedding array<double>"
     stored = cut_lineage(by_batch(distinct.select("embedding", "ids"), assign, f"list int, ids array<long>, {kind}"))

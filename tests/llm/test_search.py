@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -95,6 +96,25 @@ def test_column_blocks_keep_what_lies_within_the_bound():
     assert len(at_q) <= len(want) * 1.05
 
 
+def test_an_outlier_leaves_the_scan_bounded():
+    """One vector 1,000 times as long as the rest keeps all pairs within the bound; they are never held at once."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    x[7] *= 1000
+    q = rng.normal(size=(1000, 64))
+    index = adaptive_scan.Index(x[:500], [[i] for i in range(500)], float(np.sqrt((x * x).sum(1)).max()), 2000, adaptive_scan.Settings())
+    bound, _, _ = index.first_results(q)
+    tracemalloc.start()
+    at_q, at_c, scores = index.best(x, q, bound)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # the 2,000,000 pairs take 1 GB for one side's vectors alone
+    k = index.settings.neighbours + 1
+    want = np.argsort(-(q @ x.T), axis=1)[:, :k]
+    assert [at_c[at_q == i].tolist() for i in range(len(q))] == want.tolist()
+    assert np.allclose(scores, (x[at_c] * q[at_q]).sum(1))
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if len(words) < 5:

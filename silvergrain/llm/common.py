@@ -36,7 +36,8 @@ def stretch(chars: int) -> Column:
 BATCH_ROWS = 1_000
 
 
-def by_batch(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_batch(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+             size: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with this package at hand on the workers, in small batches.
 
     Workers live on after a task, so it gives back what Arrow and the C library keep.
@@ -45,8 +46,8 @@ def by_batch(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def small(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                yield batch.slice(at, BATCH_ROWS)
+            for at in range(0, batch.num_rows, size):
+                yield batch.slice(at, size)
 
     def tidy(batches):
         try:

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from silvergrain.llm import (
     adaptive_scan,
     compression_quality,
+    hyperplane_tree,
     language_id,
     mixing,
     near_duplicates,
     packing,
     prefix_counts,
     repetition,
+    shared_passages,
     sharding,
+    spelling_variants,
     token_files,
 )
 from silvergrain.llm.common import table
@@ -88,3 +91,26 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hyperplane_tree.whole_components(table(spark, sf_dir, "embeddings"))
+    return hyperplane_tree.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_gnat_hard_negatives"] = hyperplane_tree.ORACLE
+
+
+@query
+def op12_deep_shallow_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages.digests(shared_passages.without_repeats(table(spark, sf_dir, "documents")))
+
+
+
+@query
+def op13_bloom_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.occurrences(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op13_bloom_spelling_variants"] = spelling_variants.ORACLE

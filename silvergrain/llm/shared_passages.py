@@ -245,12 +245,12 @@ class Trie:
         return order, intervals
 
 
-def sorted_suffixes(rows: list[bytes]) -> Iterator[tuple[list[int], list[tuple[int, int, int, int]]]]:
+def sorted_suffixes(rows: list[bytes], shallow: int = SHALLOW) -> Iterator[tuple[list[int], list[tuple[int, int, int, int]]]]:
     """Deep and shallow: groups that agree on the first bytes, in order, each with its own order and intervals.
 
-    The shallow depth lies within every row, so that rows with a longer common prefix share a group.
+    Only rows of one group are compared further, and no row may be shorter than ``shallow``.
     """
-    for group in quicksorted(rows, min(SHALLOW, min(map(len, rows)) // 8 * 8)):
+    for group in quicksorted(rows, shallow):
         if len(group) == 1:
             yield group, []
         else:
@@ -265,7 +265,7 @@ def repeated_offsets(contexts: list[bytes], low: list[int], high: list[int], len
     after = [c[h:] for c, h in zip(contexts, high)]
     before = [c[:h][::-1] for c, h in zip(contexts, high)]
     found, farthest = [], max(high)
-    for order, intervals in sorted_suffixes(after):
+    for order, intervals in sorted_suffixes(after, min(SHALLOW, (length - farthest) // 8 * 8)):
         if not intervals:
             continue
         ranked = sorted(order, key=before.__getitem__)

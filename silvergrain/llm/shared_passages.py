@@ -46,7 +46,8 @@ HASHED = 1 << 18
 ROWS = 1 << 15
 #: Bytes that the multikey quicksort looks at; a multiple of eight.
 SHALLOW = 64
-ANCHORS = "tid binary, a int, low int, high int, key long, cid long, times long"
+#: ``times`` neighbours have one and the same context; the last string of the last starts ``more`` behind that of the first.
+ANCHORS = "tid binary, a int, low short, high short, key long, cid long, times int, more int"
 STRETCHES = "tid binary, first int, last int"
 
 
@@ -94,19 +95,17 @@ def hashes_of(text, a: int, low: int, high: int, width: int, length: int) -> tup
     return key, xxhash.xxh3_64_intdigest(text[a - high:a - low + length], high << 16 | low)
 
 
-def found_rows(names: tuple[str, ...], rows: list) -> pa.RecordBatch:
-    """A batch of rows; hashes become signed."""
-    columns = dict(zip(names, zip(*rows)))
-    return record(**{name: (np.array(values, np.uint64).view(np.int64),) if name in ("key", "cid") else
-                     (list(values), {"tid": pa.binary(), "times": pa.int64()}.get(name, pa.int32()))
-                     for name, values in columns.items()})
+def found_rows(rows: list) -> pa.RecordBatch:
+    """A batch of ``ANCHORS``; hashes become signed."""
+    tid, a, low, high, key, cid, times, more = zip(*rows)
+    numbers = {"a": (a, pa.int32()), "low": (low, pa.int16()), "high": (high, pa.int16())}
+    hashed = {name: (np.array(h, np.uint64).view(np.int64),) for name, h in (("key", key), ("cid", cid))}
+    return record(tid=(tid, pa.binary()), **numbers, **hashed, times=(times, pa.int32()), more=(more, pa.int32()))
 
 
 def all_anchors(texts: DataFrame, settings: Settings) -> DataFrame:
-    """``ANCHORS`` with ``first`` and ``last``, the starts of the strings, for every stretch of every text."""
+    """``ANCHORS`` of every text."""
     width, length = settings.widths[0], settings.length
-    names = ("tid", "a", "low", "high", "key", "cid", "times", "first", "last")
-
     def find(batches):
         for batch in batches:
             rows = []
@@ -120,17 +119,17 @@ def all_anchors(texts: DataFrame, settings: Settings) -> DataFrame:
                         hashed = hashes_of(text, a, low, high, width, length)
                         if hashed == before:  # a text of one word gives the same context again and again
                             rows[-1][6] += 1
-                            rows[-1][8] = last
+                            rows[-1][7] = last - rows[-1][1] + rows[-1][2]
                         else:
-                            rows.append([tid, a, low, high, *hashed, 1, first, last])
+                            rows.append([tid, a, low, high, *hashed, 1, 0])
                         before = hashed
                     if len(rows) >= ROWS:
-                        yield found_rows(names, rows)
+                        yield found_rows(rows)
                         rows = []
             if rows:
-                yield found_rows(names, rows)
+                yield found_rows(rows)
 
-    return by_batch(texts, find, f"{ANCHORS}, first int, last int")
+    return by_batch(texts, find, ANCHORS)
 
 
 def once(texts: DataFrame) -> DataFrame:
@@ -141,8 +140,6 @@ def once(texts: DataFrame) -> DataFrame:
 def narrower(texts: DataFrame, hot: DataFrame, width: int, settings: Settings) -> DataFrame:
     """``ANCHORS`` of the anchors ``tid, a, low, high``, cut at the borders of classes of ``width`` offsets."""
     wanted = hot.groupBy("tid").agg(F.collect_list(F.struct("a", "low", "high")).alias("wanted"))
-    names = ("tid", "a", "low", "high", "key", "cid", "times")
-
     def cut(batches):
         for batch in batches:
             rows = []
@@ -151,12 +148,12 @@ def narrower(texts: DataFrame, hot: DataFrame, width: int, settings: Settings) -
                 for x in wanted:
                     for floor in range(x["low"] // width * width, x["high"] + 1, width):
                         part = x["a"], max(x["low"], floor), min(x["high"], floor + width - 1)
-                        rows.append([tid, *part, *hashes_of(text, *part, width, settings.length), 1])
+                        rows.append([tid, *part, *hashes_of(text, *part, width, settings.length), 1, 0])
                     if len(rows) >= ROWS:
-                        yield found_rows(names, rows)
+                        yield found_rows(rows)
                         rows = []
             if rows:
-                yield found_rows(names, rows)
+                yield found_rows(rows)
 
     return by_batch(once(texts).join(wanted, "tid"), cut, ANCHORS)
 
@@ -333,24 +330,21 @@ def sorted_groups(texts: DataFrame, open_rows: DataFrame, settings: Settings) ->
 
 
 def repeated(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``STRETCHES``: starts of the strings of ``tid, text`` that repeat. Equal texts have one tid, and stretches once each."""
+    """``STRETCHES``: starts of the strings of ``tid, text`` that repeat; those of equal texts may come several times."""
     found = []
     rows = cut_lineage(all_anchors(texts, settings))
     for width in (*settings.widths[1:], None):
-        keys = rows.groupBy("key").agg(F.sum("times").alias("all"), F.min("cid").alias("least"), F.max("cid").alias("most"))
-        keys = keys.where("all > 1").select("key", (F.col("least") < F.col("most")).alias("differ"))
+        keys = rows.groupBy("key").agg(F.sum("times").alias("all")).where("all > 1").select("key")
         shared = cut_lineage(rows.join(keys, "key"))
-        contexts = cut_lineage(shared.groupBy("key", "cid", "differ").agg(
+        contexts = cut_lineage(shared.groupBy("key", "cid").agg(
             F.sum("times").alias("n"), F.min(F.struct("tid", "a", "low", "high")).alias("one"))
-            .select("key", "cid", "differ", "n", "one.*"))
+            .select("key", "cid", "n", "one.*"))
         many = contexts.where("n > 1").select("key", "cid")
-        starts = ("first", "last") if "first" in shared.columns else ((F.col("a") - F.col("high")).alias("first"),
-                                                                      (F.col("a") - F.col("low")).alias("last"))
-        found.append(shared.join(many, ["key", "cid"]).select("tid", *starts).distinct())
-        several = contexts.where("differ")
-        sizes = several.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"))
+        last = F.col("a") - F.col("low") + F.col("more")
+        found.append(shared.join(many, ["key", "cid"]).select("tid", (F.col("a") - F.col("high")).alias("first"), last.alias("last")))
+        sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
         fits = F.col("contexts") <= settings.limit
-        sized = cut_lineage(several.join(sizes, "key"))
+        sized = cut_lineage(contexts.join(sizes, "key"))
         found.append(sorted_groups(texts, sized.where(fits), settings))
         hot = sized.where(~fits)
         if width is None or hot.isEmpty():

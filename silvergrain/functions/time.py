@@ -48,31 +48,24 @@ def lenient_timestamp(text: Column) -> Column:
     return F.coalesce(iso, F.try_to_timestamp(bare, F.lit("yyyy:MM:dd HH:mm:ss")))
 
 
+# Lengths of the digit runs of a date in a file name, in the order in which they are tried.
+FILE_NAME_RUNS = ((8, 6), (4, 2, 2, 2, 2, 2))
+
+
 def from_filename(name: Column) -> Column:
     """Date written in a file name: day and time as two runs of digits first, then as six.
 
-    The name is cut into runs of digits, single dashes or underscores, and the
-    rest. A date is a series of digit runs of the right lengths that starts in
-    this century, with one dash or underscore between neighbours.
+    One dash or underscore stands between the runs, no digit before or behind them, and the
+    year begins with 20. Of each layout the first place counts; where it is no date of the valid years,
+    the next layout is tried.
     """
-    parts = F.regexp_extract_all(name, F.lit(r"(\d+|[-_]|[^\d_-]+)"), F.lit(1))
-
-    def parsed(*lengths: int) -> Column:
-        def fits(at: Column) -> Column:
-            fine = F.get(parts, at).startswith("20")
-            for k, length in enumerate(lengths):
-                run = F.get(parts, at + 2 * k)
-                fine = fine & (F.length(run) == length) & run.rlike("^[0-9]")
-                if k:
-                    fine = fine & F.get(parts, at + (2 * k - 1)).isin("-", "_")
-            return fine
-
-        spots = F.filter(F.transform(parts, lambda _, i: i), fits)
-        at = F.get(spots, F.lit(0))
-        digits = F.concat(*[F.get(parts, at + 2 * k) for k in range(len(lengths))])
-        return in_valid_years(F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")))
-
-    return F.coalesce(parsed(8, 6), parsed(4, 2, 2, 2, 2, 2))
+    def parsed(runs: tuple[int, ...]) -> Column:
+        century = rf"20\d{{{runs[0] - 2}}}"
+        pattern = r"(?<!\d)" + "[-_]".join([century, *[rf"\d{{{n}}}" for n in runs[1:]]]) + r"(?!\d)"
+        digits = F.translate(F.regexp_extract(name, pattern, 0), "-_", "")
+        return in_valid_years(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")))
+
+    return F.coalesce(*[parsed(runs) for runs in FILE_NAME_RUNS])
 
 
 def xmp_timestamp(text: Column) -> Column:

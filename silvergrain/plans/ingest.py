@@ -53,13 +53,19 @@ def exif_dates(a) -> DataFrame:
                            shown("exif_digitized").alias("digitized"), shown("exif_plain").alias("plain"))
 
 
-_NAMES = "(?:xmp:CreateDate|photoshop:DateCreated|xmp:ModifyDate|exif:DateTimeOriginal)"
+_NAMES = "|".join(time.XMP_DATE_NAMES)
+# Attributes come before elements, each kind in the order of the packet; the first value that is a date counts.
 view("o_xmp", f"""
-WITH f AS (SELECT file_id, list_concat(regexp_extract_all(xmp, '{_NAMES}\\s*=\\s*"([^"]+)"', 1),
-             regexp_extract_all(xmp, '<{_NAMES}>([^<]+)</', 1)) AS found FROM ingest_files WHERE xmp IS NOT NULL),
-u AS (SELECT file_id, unnest(found) AS t, generate_subscripts(found, 1) AS i FROM f)
-SELECT file_id, arg_min(ts, i) AS xmp_ts FROM (SELECT file_id, i, {_camera('t')} AS ts FROM u) WHERE ts IS NOT NULL
-GROUP BY file_id""")
+WITH f AS (SELECT file_id, kind, hit, pos FROM ingest_files,
+    LATERAL (SELECT 0 AS kind, unnest(regexp_extract_all(xmp, '({_NAMES})\\s*=\\s*"[^"]+"')) AS hit,
+                    generate_subscripts(regexp_extract_all(xmp, '({_NAMES})\\s*=\\s*"[^"]+"'), 1) AS pos
+             UNION ALL
+             SELECT 1, unnest(regexp_extract_all(xmp, '<({_NAMES})>[^<]+</')),
+                    generate_subscripts(regexp_extract_all(xmp, '<({_NAMES})>[^<]+</'), 1))),
+v AS (SELECT file_id, kind, pos, CASE kind WHEN 0 THEN split_part(hit, '"', 2) ELSE split_part(split_part(hit, '>', 2), '<', 1) END AS t
+      FROM f)
+SELECT file_id, arg_min(ts, (kind, pos)) AS xmp_ts FROM (SELECT file_id, kind, pos, {_camera('t')} AS ts FROM v)
+WHERE ts IS NOT NULL GROUP BY file_id""")
 
 
 @query("xmp_dates", "PRJ13", oracle="""
@@ -69,11 +75,14 @@ def xmp_dates(a) -> DataFrame:
         "xmp_dt IS NOT NULL")
 
 
-view("o_name_dates", r"""
-SELECT file_id, coalesce(try_strptime(nullif(regexp_replace(regexp_extract(file_name,
-    '(?:^|\D)(20\d{6}[_-]\d{6})(?:\D|$)', 1), '\D', '', 'g'), ''), '%Y%m%d%H%M%S'),
-  try_strptime(nullif(regexp_replace(regexp_extract(file_name,
-    '(?:^|\D)(20\d{2}(?:[-_]\d{2}){5})(?:\D|$)', 1), '\D', '', 'g'), ''), '%Y%m%d%H%M%S')) AS name_ts FROM o_files""")
+def _name_date(*runs: int) -> str:
+    """The first place of a layout, its neighbours taken along: RE2 has no look-around."""
+    digits = "[-_]".join([f"20[0-9]{{{runs[0] - 2}}}", *[f"[0-9]{{{n}}}" for n in runs[1:]]])
+    found = f"regexp_extract(file_name, '(?:^|[^0-9])({digits})(?:[^0-9]|$)', 1)"
+    return _good(f"try_strptime(nullif(translate({found}, '-_', ''), ''), '%Y%m%d%H%M%S')")
+
+
+view("o_name_dates", f"SELECT file_id, coalesce({_name_date(8, 6)}, {_name_date(4, 2, 2, 2, 2, 2)}) AS name_ts FROM o_files")
 
 
 @query("filename_dates", "PRJ14", oracle="""

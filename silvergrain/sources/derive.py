@@ -251,7 +251,9 @@ def _ingest_tables(d) -> dict[str, Derived]:
             + " || '_' || " + two("n % 26") + " || " + two("n % 60") + " || " + two("n % 58")
             + " WHEN 1 THEN 'PXL-20' || " + two("n % 25") + " || '-' || " + two("n % 12 + 1") + " || '_' || "
             + two("n % 28 + 1") + " || '-' || " + two("n % 24") + " || '-' || " + two("n % 60") + " || '-' || "
-            + two("n % 59") + " WHEN 2 THEN 'DSC' || CAST(n AS STRING) ELSE 'photo_' || CAST(n % 900 AS STRING) END")
+            + two("n % 59") + " WHEN 2 THEN CASE n % 24 WHEN 2 THEN 'C' || CAST(n AS STRING) || '_20300105_101112'"
+            " WHEN 14 THEN 'D' || CAST(n AS STRING) || '_20191399_000000 2020-01-02_03-04-05'"
+            " ELSE 'DSC' || CAST(n AS STRING) END ELSE 'photo_' || CAST(n % 900 AS STRING) END")
     ext = pick("n % 8", [".jpg", ".JPG", ".jpeg", ".png", ".jpg", ".heic", ".jpg", ".txt"])
     folder = ("CASE WHEN n % 11 = 0 THEN '' WHEN n % 17 = 0 THEN '_private/x/' WHEN n % 13 = 0 THEN 'Undated stuff/' "
               "ELSE 'trip_' || CAST(n % 7 AS STRING) || '/day-' || CAST(n % 5 AS STRING) || '/' END")

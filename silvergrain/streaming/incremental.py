@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from silvergrain.operators import ingest
+from silvergrain.operators import bloom, ingest
 from silvergrain.operators.ordering import ordered_slices, running_max
+from silvergrain.operators.sessions import DAY
 from silvergrain.operators.sidecars import optional_table
-from silvergrain.session import cut_lineage
+from silvergrain.session import cut_lineage, drop_folder, ship_package
+from silvergrain.streaming.session_state import BEST, STATE_STORE, Sessions
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -25,8 +27,8 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
     return reader.parquet(folder)
 
 
-def _per_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+def _per_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    return (stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -36,25 +38,55 @@ def earlier_batches(spark: SparkSession, table: str, schema: StructType, batch:
     return optional_table(spark, table, full).where(F.col("batch") < batch)
 
 
-def ingest_stream(files: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(files: DataFrame, table: str, checkpoint: str, blocks: int = bloom.BLOCKS) -> StreamingQuery:
     """Admits new photos from a stream of file rows into ``table``.
 
     Inside a batch the first source of a content wins; content that an earlier
-    batch admitted is skipped by an anti join.
+    batch admitted is skipped. A Bloom filter of all admitted contents, of ``blocks``
+    blocks, stands in front: what it rules out is new without any look at earlier
+    rows, and only the rest meets their ids in an anti-join. Each batch writes the
+    filter with its own ids added, so the next one reads one filter, however many batches there were.
     """
     schema = StructType([f for f in files.schema.fields if f.name == "content_sha1"]
                         + [f for f in files.schema.fields if f.name != "content_sha1"])
 
     def admit(rows: DataFrame, batch: int) -> None:
-        known = earlier_batches(rows.sparkSession, table, schema, batch).select(F.col("content_sha1").alias("sha1"))
+        spark = rows.sparkSession
+        earlier = earlier_batches(spark, table, schema, batch).select("content_sha1")
+        known = known_filter(spark, table, batch, earlier, blocks)
         good = rows.where(ingest.file_kind(F.col("rel_path")) == "photo")
         good = good.where(ingest.admitted(good).isNull())
-        fresh = ingest.first_of_each(good, known)
+        nothing = spark.createDataFrame([], "sha1 string")
+        tested = cut_lineage(bloom.with_seen(ingest.first_of_each(good, nothing), "content_sha1", known, blocks))
+        fresh = tested.where(~F.col("seen"))
+        possible = tested.where("seen")
+        if not possible.isEmpty():
+            fresh = fresh.unionByName(possible.join(repeats(possible, earlier), "content_sha1", "left_anti"))
         fresh.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{table}/batch={batch}")
+        added = spark.read.schema(schema).parquet(f"{table}/batch={batch}")
+        grown = bloom.united(known.unionByName(bloom.filter_of(added, "content_sha1", blocks)))
+        grown.write.mode("overwrite").parquet(filter_path(table, batch, blocks))
+        drop_folder(filter_path(table, batch - 2, blocks))  # a retry needs the one before only
 
     return _per_batch(files, checkpoint, admit)
 
 
+def repeats(possible: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The contents of ``possible`` that earlier batches admitted; the larger side only passes by."""
+    return earlier.join(possible.select("content_sha1"), "content_sha1", "left_semi")
+
+
+def filter_path(table: str, batch: int, blocks: int) -> str:
+    """Readers of the table skip folders whose names begin with an underscore."""
+    return f"{table}/_known-{blocks}/batch={batch}"
+
+
+def known_filter(spark: SparkSession, table: str, batch: int, earlier: DataFrame, blocks: int) -> DataFrame:
+    """The filter that the batch before left; made anew from the table where there is none."""
+    stored = optional_table(spark, filter_path(table, batch - 1, blocks), bloom.SCHEMA)
+    return cut_lineage(bloom.filter_of(earlier, "content_sha1", blocks)) if stored.isEmpty() else stored
+
+
 def distinct_events(events: DataFrame, key: str, event_time: str, delay: str = "1 day") -> DataFrame:
     """In-stream dedupe with bounded state: repeats of a key within the watermark delay are dropped."""
     return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
@@ -81,32 +113,48 @@ def merged_sessions(sessions: DataFrame, keys: list[str], gap: int) -> DataFrame
 
 
 def burst_stream(photos: DataFrame, keys: list[str], table: str, checkpoint: str, gap: int = 15) -> StreamingQuery:
-    """Keeps time clusters per key in ``table`` while photos arrive in any order.
+    """Keeps time clusters per key while photos arrive in any order, and logs what changes in ``table``.
 
     ``photos`` needs the keys, ``ts`` (seconds), ``hero_score, final_dt, sha1``.
     Photo files do not come in the order they were taken, so no photo is ever
-    too late: a batch merges its photos with the stored sessions of its keys and
-    writes these keys anew. Read with :func:`current_sessions`.
+    too late. The sessions of a key and day are keyed state in the state store, so a batch reads
+    its own photos and the state of the days they touch, never what earlier batches
+    wrote. Its touched days go to the batch's partition; read with :func:`current_sessions`.
+    A day has at most 86,400 seconds, so the state of a key that holds a third of all photos is
+    spread over its days.
     """
-    columns = [f for f in photos.schema.fields if f.name in keys]
-    best = StructType([f for name in ("hero_score", "final_dt", "sha1") for f in photos.schema.fields if f.name == name])
-    schema = StructType(columns).add("size", "long").add("first_taken", "long").add("last_taken", "long").add("best", best)
-
-    def merge(rows: DataFrame, batch: int) -> None:
-        single = rows.groupBy(*keys, "ts").agg(  # photos of one second first, so that a hot second is one row
-            F.count(F.lit(1)).alias("size"), F.max(F.struct("hero_score", "final_dt", "sha1")).alias("best"))
-        fresh = single.select(*keys, "size", F.col("ts").alias("first_taken"), F.col("ts").alias("last_taken"), "best")
-        known = current_sessions(earlier_batches(rows.sparkSession, table, schema, batch), keys)
-        touched = known.join(fresh.select(*keys).distinct(), keys, "left_semi")
-        merged_sessions(fresh.unionByName(touched), keys, gap).write.mode("overwrite").parquet(f"{table}/batch={batch}")
-
-    return _per_batch(photos, checkpoint, merge)
-
-
-def current_sessions(stored: DataFrame, keys: list[str]) -> DataFrame:
-    """The sessions of each key as its latest batch left them."""
-    latest = stored.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return stored.join(latest, [*keys, "batch"]).select(*keys, *SESSION)
+    spark = photos.sparkSession
+    ship_package(spark)
+    of_key = [f for f in photos.schema.fields if f.name in keys]
+    best = [f for name in BEST for f in photos.schema.fields if f.name == name]
+    stored = StructType().add("size", "long").add("first_taken", "long").add("last_taken", "long")
+    for field in best:
+        stored.add(field.name, field.dataType)
+    schema = StructType(of_key).add("day", "long")
+    for field in stored.fields:
+        schema.add(field.name, field.dataType)
+    days = photos.where("ts IS NOT NULL").withColumn("day", F.floor(F.col("ts") / DAY).cast("long"))
+    sessions = days.select(*keys, "day", "ts", *BEST).groupBy(*keys, "day").transformWithStateInPandas(
+        Sessions([*keys, "day"], gap, stored), schema, "Update", "None")
+
+    def log(rows: DataFrame, batch: int) -> None:
+        rows.select(*keys, "day", "size", "first_taken", "last_taken", F.struct(*BEST).alias("best")
+                    ).write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        return _per_batch(sessions, checkpoint, log, "update")  # the query keeps the setting that it starts with
+    finally:
+        spark.conf.set(name, before)
+
+
+def current_sessions(stored: DataFrame, keys: list[str], gap: int = 15) -> DataFrame:
+    """The sessions of each key: those of each day as its latest batch left them, joined over midnight."""
+    of_day = [*keys, "day"]
+    latest = stored.groupBy(*of_day).agg(F.max("batch").alias("batch"))
+    return merged_sessions(stored.join(latest, [*of_day, "batch"]), keys, gap)
 
 
 def append_to(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -47,6 +47,8 @@ def test_caption(spark, raw, want):
 
 @pytest.mark.parametrize("name,want", [
     ("IMG_20190203_040506.jpg", "2019-02-03 04:05:06"), ("x2019-02-03_04-05-06.jpg", "2019-02-03 04:05:06"),
+    ("x_20191303_040506 2019-02-03_04-05-06.jpg", "2019-02-03 04:05:06"), ("20300105_101112-2019_02_03_04_05_06", "2019-02-03 04:05:06"),
+    ("20191303_040506 20190203_040506.jpg", None), ("2019020_3040506.jpg", None), ("", None), ("20190203_0405061.jpg", None),
     ("120190203_040506.jpg", None), ("IMG_20191303_040506.jpg", None), ("20270101_000000.jpg", None)])
 def test_file_name_dates(spark, name, want):
     assert one(spark, time.stamp_text(time.from_filename(F.col("t"))), t=name) == want

@@ -7,8 +7,11 @@ so membership depends on the run built so far: a sequential rule.
 At scale the order is cut into slices (see ``ordering``). A run's state at a
 slice border is one of 13 values: a single photo, or a longer run aged 0..10
 seconds, or an older one. Each slice is summarised as a map from incoming to
-outgoing state, the maps are chained over the slices (one small row each), and
-every slice is then resolved on its own. A run that spans many slices, even a
+outgoing state. Maps compose, and composition is associative: neighbouring
+slices are combined ``FAN`` at a time, level by level, until few are left, and
+from the top the incoming state of every group, and in the end of every slice,
+is handed down. So no task and no driver holds all slices. Every slice
+is then resolved on its own. A run that spans many slices, even a
 third of all photos in one second, never sits in one task.
 """
 from __future__ import annotations
@@ -20,25 +23,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from silvergrain.functions import geo
-from silvergrain.operators.ordering import ordered_slices
+from silvergrain.operators.ordering import before_each, ordered_slices
 from silvergrain.session import cut_lineage, ship_package
 
 BREAK, NEAR, BRIDGE = 0, 1, 2
 OLD, SINGLE = 11, 12
 STATES = 13
 MAX_SPAN = 10
-#: Rows that a task resolves at once.
+#: Rows that a task resolves at once; more where there would be over ``MOST_SLICES``, as the driver samples their borders.
 SLICE_ROWS = 25_000
+MOST_SLICES = 100_000
+#: Slices, and groups of them, that are combined at once.
+FAN = 256
+#: One row per slice is broadcast up to this number of slices.
+BROADCAST_SLICES = 20_000
 
 
-def time_edges(sliced: DataFrame, gap: int, metres: float, bridge_gap: int) -> DataFrame:
+def per_slice(rows: DataFrame, slices: int) -> DataFrame:
+    """A table with a row per slice, broadcast where that is known to be small."""
+    return F.broadcast(rows) if slices <= BROADCAST_SLICES else rows
+
+
+def time_edges(sliced: DataFrame, gap: int, metres: float, bridge_gap: int, slices: int = 1, fan: int = FAN) -> DataFrame:
     """Adds ``edge`` (how a row relates to the row before it), its rank, and the time before the slice."""
     inside = Window.partitionBy("slice").orderBy("ts", "sha1")
-    last = (sliced.groupBy("slice").agg(F.max(F.struct("ts", "sha1", "latitude", "longitude")).alias("last"))
-            .withColumn("carried", F.lag("last").over(Window.orderBy("slice"))).select("slice", "carried"))
+    ends = sliced.groupBy("slice").agg(F.max(F.struct("ts", "sha1", "latitude", "longitude")).alias("last"))
+    last = per_slice(before_each(ends, "slice", "last", "carried", slices, fan), slices)
     here = F.lag(F.struct("ts", "sha1", "latitude", "longitude")).over(inside)
     rows = (sliced.withColumn("here", here).withColumn("rn", F.row_number().over(inside))
-            .join(F.broadcast(last), "slice").withColumn("prev", F.coalesce("here", "carried")))
+            .join(last, "slice").withColumn("prev", F.coalesce("here", "carried")))
     lapse = F.col("ts") - F.col("prev.ts")
     apart = geo.distance_m(F.col("prev.latitude"), F.col("prev.longitude"), F.col("latitude"), F.col("longitude"))
     edge = (F.when(F.col("prev").isNull() | (lapse > gap), BREAK).when(apart <= metres, NEAR)
@@ -109,18 +122,53 @@ def _state_map(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["slice", "state", "after", "start_sha1"])
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the slice summaries in order: state and open run at the start of each slice."""
-    pdf = pdf.sort_values(["slice", "state"])
-    state, open_run, out = SINGLE, None, []
-    for number, part in pdf.groupby("slice", sort=True):
-        out.append((int(number), state, open_run))
-        row = part.iloc[state]
-        state = int(row["after"])
-        open_run = row["start_sha1"] if isinstance(row["start_sha1"], str) else open_run
+def _slice_map(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The map of one slice as one row: by incoming state, the outgoing one and the run opened last (None: none)."""
+    rows = _state_map(pdf)
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "after": [rows["after"].tolist()], "opened": [rows["start_sha1"].tolist()]})
+
+
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The map of neighbouring slices as one: where each incoming state ends, and the last run opened on its way."""
+    pdf = pdf.sort_values("slice")
+    after, opened = list(range(STATES)), [None] * STATES
+    for steps, starts in zip(pdf["after"], pdf["opened"]):
+        opened = [starts[s] if starts[s] is not None else o for s, o in zip(after, opened)]
+        after = [int(steps[s]) for s in after]
+    return pd.DataFrame({"slice": [int(pdf["above"].iloc[0])], "after": [after], "opened": [opened]})
+
+
+def _handed_down(pdf: pd.DataFrame) -> pd.DataFrame:
+    """State and open run before each of neighbouring slices, from those before the first."""
+    pdf = pdf.sort_values("slice")
+    state, run, out = int(pdf["state"].iloc[0]), pdf["open_run"].iloc[0], []
+    for number, steps, starts in zip(pdf["slice"], pdf["after"], pdf["opened"]):
+        out.append((int(number), state, run))
+        run = starts[state] if starts[state] is not None else run
+        state = int(steps[state])
     return pd.DataFrame(out, columns=["slice", "state", "open_run"])
 
 
+MAP = "slice int, after array<int>, opened array<string>"
+
+
+def incoming_states(maps: DataFrame, slices: int, fan: int = FAN) -> DataFrame:
+    """``slice, state, open_run`` before each slice: maps are combined upwards and states handed down, ``fan`` at a time."""
+    above = F.floor(F.col("slice") / fan).cast("int")
+    levels, groups = [cut_lineage(maps)], slices
+    while groups > fan:
+        grouped = levels[-1].withColumn("above", above).groupBy("above")
+        levels.append(cut_lineage(grouped.applyInPandas(_composed, MAP)))
+        groups = -(-groups // fan)
+    top = levels.pop().withColumns({"above": F.lit(0), "state": F.lit(SINGLE), "open_run": F.lit(None).cast("string")})
+    schema = "slice int, state int, open_run string"
+    states = top.groupBy("above").applyInPandas(_handed_down, schema)
+    while levels:
+        known = states.withColumnRenamed("slice", "above")
+        states = levels.pop().withColumn("above", above).join(known, "above").groupBy("above").applyInPandas(_handed_down, schema)
+    return cut_lineage(states)
+
+
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rn")
     ids = pdf["sha1"].to_numpy()
@@ -131,7 +179,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def burst_members(rows: DataFrame, gap: int = 15, metres: float = 15.0, bridge_gap: int = 5,
-                  min_size: int = 2, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                  min_size: int = 2, slice_rows: int = SLICE_ROWS, fan: int = FAN) -> DataFrame:
     """``cluster_id, sha1, ts, size``: members of all bursts of at least ``min_size`` photos.
 
     There are as many slices as make about ``slice_rows`` rows each, so a task
@@ -142,15 +190,15 @@ def burst_members(rows: DataFrame, gap: int = 15, metres: float = 15.0, bridge_g
     """
     ship_package(rows.sparkSession)
     located = cut_lineage(rows.where("has_gps AND ts IS NOT NULL").select("sha1", "ts", "latitude", "longitude"))
-    slices = max(1, -(-located.count() // slice_rows))
-    edges = cut_lineage(time_edges(ordered_slices(located, "ts", "sha1", slices=slices), gap, metres, bridge_gap))
+    rows_of_all = located.count()
+    slices = max(1, -(-rows_of_all // max(slice_rows, -(-rows_of_all // MOST_SLICES))))
+    edges = cut_lineage(time_edges(ordered_slices(located, "ts", "sha1", slices=slices), gap, metres, bridge_gap, slices, fan))
     breaks = edges.groupBy("slice").agg(F.max(F.when(F.col("edge") == BREAK, F.col("rn"))).alias("last_break"))
-    tails = (edges.join(F.broadcast(breaks), "slice").where("last_break IS NULL OR rn >= last_break")
+    tails = (edges.join(per_slice(breaks, slices), "slice").where("last_break IS NULL OR rn >= last_break")
              .select("slice", "sha1", "ts", "rn", "edge", "ts_before"))
-    maps = tails.groupBy("slice").applyInPandas(_state_map, "slice int, state int, after int, start_sha1 string")
-    chain = maps.withColumn("all_slices", F.lit(0)).groupBy("all_slices").applyInPandas(_chain, "slice int, state int, open_run string")
+    states = incoming_states(tails.groupBy("slice").applyInPandas(_slice_map, MAP), slices, fan)
     # Written once: the sizes and the callers all read the members again.
-    members = cut_lineage(edges.join(F.broadcast(chain), "slice").groupBy("slice")
+    members = cut_lineage(edges.join(per_slice(states, slices), "slice").groupBy("slice")
                           .applyInPandas(_resolve, "cluster_id string, sha1 string, ts long"))
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return members.join(sizes, "cluster_id")

@@ -64,3 +64,19 @@ def running_max(sliced: DataFrame, group: list[str], order: list[str], name: str
             .select("slice", *group, F.max("most").over(earlier).alias("carried")))
     local = sliced.withColumn("local", F.max(value).over(inside))
     return local.join(most, ["slice", *group]).withColumn(name, F.greatest("local", "carried")).drop("local", "carried")
+
+
+def before_each(ends: DataFrame, by: str, value: str, name: str, most: int, fan: int) -> DataFrame:
+    """``by`` and ``name``: the ``value`` of the row before, in the order of the whole numbers ``by`` (unique, below ``most``).
+
+    Numbers are taken ``fan`` at a time; the last value of each such group is handed on by the same
+    rule one level up, so no task holds more than about ``fan`` rows however many there are.
+    """
+    if most <= fan:
+        return ends.select(by, F.lag(value).over(Window.orderBy(by)).alias(name))
+    up = f"{by}_up"
+    grouped = ends.select(by, value, F.floor(F.col(by) / fan).cast("int").alias(up))
+    groups = grouped.groupBy(up).agg(F.max_by(value, by).alias("end"))
+    carried = before_each(groups, up, "end", f"{up}_end", -(-most // fan), fan)
+    inside = F.lag(value).over(Window.partitionBy(up).orderBy(by))
+    return grouped.withColumn("inside", inside).join(carried, up).select(by, F.coalesce("inside", f"{up}_end").alias(name))

@@ -15,10 +15,10 @@ PHOTO = "sha1 string, ts long, latitude double, longitude double, has_gps boolea
 NEAR, FAR = 0.00005, 0.01
 
 
-def found(spark, photos, slice_rows=60):
+def found(spark, photos, slice_rows=60, fan=bursts.FAN):
     rows = spark.createDataFrame([(s, t, la, lo, True) for s, t, la, lo in photos], PHOTO)
     groups: dict[str, set] = {}
-    for r in bursts.burst_members(rows, slice_rows=slice_rows).collect():
+    for r in bursts.burst_members(rows, slice_rows=slice_rows, fan=fan).collect():
         groups.setdefault(r["cluster_id"], set()).add(r["sha1"])
         assert r["size"] >= 2
     return {frozenset(g) for g in groups.values()}
@@ -51,6 +51,35 @@ def test_random_runs_over_many_slices(many_slices, seed):
     assert found(many_slices, photos) == brute.bursts(photos)
 
 
+@pytest.mark.parametrize("slice_rows,fan", [(20, 3), (7, 2), (600, 2)])
+def test_states_pass_through_a_tree_of_any_shape(many_slices, monkeypatch, slice_rows, fan):
+    """Several levels of groups, with and without broadcasts."""
+    monkeypatch.setattr(bursts, "BROADCAST_SLICES", 5)
+    rng = random.Random(fan)
+    photos, ts = [], 0
+    for i in range(200):
+        ts += rng.choice([0, 0, 1, 2, 3, 5, 16])
+        photos.append((f"{rng.getrandbits(64):016x}", ts, 1.0 + rng.choice([0, 0, NEAR, FAR]), 2.0))
+    assert found(many_slices, photos, slice_rows, fan) == brute.bursts(photos)
+
+
+def test_maps_compose_in_any_grouping():
+    rng = np.random.default_rng(3)
+    maps = [pd.DataFrame({"slice": [i], "above": [0], "after": [rng.integers(0, bursts.STATES, bursts.STATES).tolist()],
+                          "opened": [[None if rng.random() < 0.5 else f"r{i}-{s}" for s in range(bursts.STATES)]]}) for i in range(9)]
+    whole = bursts._composed(pd.concat(maps))
+    for cut in range(1, 9):
+        left, right = (bursts._composed(pd.concat(part)).assign(slice=n, above=0) for n, part in enumerate((maps[:cut], maps[cut:])))
+        both = bursts._composed(pd.concat([left, right]))
+        assert both["after"].tolist() == whole["after"].tolist() and both["opened"].tolist() == whole["opened"].tolist()
+
+
+def test_the_row_before_over_levels(spark):
+    rows = [(i, f"v{i}") for i in range(100) if i % 7 and not 30 < i < 60]
+    got = ordering.before_each(spark.createDataFrame(rows, "n int, v string"), "n", "v", "p", 100, 3).collect()
+    assert {r["n"]: r["p"] for r in got} == {n: (rows[i - 1][1] if i else None) for i, (n, _) in enumerate(rows)}
+
+
 def test_one_second_holds_everything(many_slices):
     """A run that spans every slice: all photos in one second, some far away."""
     rng = random.Random(9)

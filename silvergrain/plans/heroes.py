@@ -276,9 +276,8 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, lab
 SELECT vec_id, max(CASE WHEN rn = 1 THEN label END) AS scene_type, string_agg(label, ',' ORDER BY rn) AS top_labels,
   round(max(p), 6) AS top_score FROM r WHERE rn <= 6 GROUP BY vec_id""")
 def zero_shot_labels(a) -> DataFrame:
-    probs = semantics.label_probabilities(images(a), label_bank(a))
-    rows = probs.withColumn("top", semantics.top_labels(F.col("probs")))
-    return rows.select("vec_id", semantics.best_label(F.col("probs")).alias("scene_type"),
+    rows = semantics.top_probabilities(images(a), label_bank(a), "vec_id")
+    return rows.select("vec_id", F.element_at("top", 1)["label"].alias("scene_type"),
                        F.array_join(F.transform("top", lambda s: s["label"]), ",").alias("top_labels"),
                        F.element_at("top", 1)["score"].alias("top_score"))
 
@@ -301,7 +300,7 @@ FLAG_COLUMNS = ("contains_people", "contains_animals", "contains_text", "is_docu
 
 
 def _bank_probabilities(a) -> DataFrame:
-    probs = semantics.label_probabilities(images(a), label_bank(a))
+    probs = semantics.label_probabilities(images(a), label_bank(a), "vec_id")
     at = lambda i: F.coalesce(F.get("probs", F.lit(i))["p"], F.lit(0.0))
     faces = a.face_summary.select("sha1", "face_count")
     return (probs.withColumn("sha1", F.sha1(F.col("vec_id").cast("string").cast("binary")))
@@ -391,9 +390,7 @@ SELECT n.image_id, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std, rou
   round(any_value(saturation), 6) AS saturation
 FROM n JOIN e USING (image_id) JOIN c USING (image_id) GROUP BY n.image_id""")
 def pixel_statistics(a) -> DataFrame:
-    rows = grids(a)
-    out = (pixels.histogram_stats(rows).join(pixels.laplacian_variance(rows), "image_id")
-           .join(pixels.colour_stats(rows), "image_id"))
+    out = pixels.grid_statistics(grids(a))
     return out.select("image_id", "laplacian", *[F.round(c, 6).alias(c) for c in out.columns[1:] if c != "laplacian"])
 
 

@@ -17,17 +17,18 @@ table gives an empty result. Further columns are left out.
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
 from silvergrain.llm.common import by_batch, hold, record, texts
-from silvergrain.llm.word_bpe import CHUNK_ENTRIES, PIECE_ENTRIES, Memo, WordBpe, as_letters, chunks_of
-
+from silvergrain.llm.word_bpe import CHUNK_ENTRIES, MEMO_CHARS, PIECE_ENTRIES, Memo, WordBpe, as_bytes, as_letters, chunks_of
 
 
 class PrefixCounts:
@@ -52,11 +53,20 @@ class PrefixCounts:
         self.agree_ended = Memo(self._agree_ended, PIECE_ENTRIES)
         self.piece_counts = Memo(self.count_piece_prefixes, PIECE_ENTRIES)
         self.chunk_totals = Memo(self.count_chunk, CHUNK_ENTRIES)
+        normalize = self.words.library.normalizer.normalize_str
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.words.special, key=len, reverse=True))) or r"(?!)")
+        self.normal = Memo(normalize, PIECE_ENTRIES)
+        #: Whether the second of two characters leaves the first alone when both are normalised.
+        self.apart = Memo(lambda pair: normalize(pair[0] + pair[1]) == normalize(pair[0]) + normalize(pair[1]), PIECE_ENTRIES)
+        self.cut_special = Memo(self._cut_special, 1_000)
+        self.last_long: tuple[str, object] = ("", b"\0")
 
     def release(self) -> None:
         self.words.release()
-        for memo in (self.agree_inside, self.agree_ended, self.piece_counts, self.chunk_totals):
+        for memo in (self.agree_inside, self.agree_ended, self.piece_counts, self.chunk_totals, self.normal, self.apart,
+                     self.cut_special):
             memo.forget()
+        self.last_long = "", b"\0"
 
     def _agree_inside(self, pair: tuple[str, str]) -> bool:
         """Whether two tokens stay as they are when both stand inside a word."""
@@ -93,19 +103,87 @@ class PrefixCounts:
         pieces = self.words.pieces_of(chunk) if chunk else []
         if pieces is None:
             return self.count_odd(chunk)
-        return int(sum(self.piece_counts[as_letters(p)][-1] for p in pieces))
+        return int(sum(self.stored(as_letters(p))[-1] for p in pieces))
+
+    def segments(self, chunk: str) -> list[tuple[str, bool]]:
+        """A chunk cut at its special strings, and whether a part is one."""
+        out, at = [], 0
+        for hit in self.special.finditer(chunk):
+            out += [(chunk[at:hit.start()], False), (hit.group(), True)]
+            at = hit.end()
+        return [(part, special) for part, special in [*out, (chunk[at:], False)] if part]
+
+    def library_pieces(self, part: str) -> list[str]:
+        """The pieces of a part without special strings, as letters of bytes."""
+        library = self.words.library
+        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
 
     def count_odd(self, chunk: str) -> int:
         """Chunks with special tokens or characters outside the plain range: the library splits, the program counts."""
-        for token in self.words.special:
-            if token in chunk:
-                left, right = chunk.split(token, 1)
-                return self.count_odd(left) + 1 + self.count_odd(right)
-        if not chunk:
-            return 0
-        library = self.words.library
-        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))
-        return int(sum(self.piece_counts[p][-1] for p, _ in pieces))
+        return sum(1 if special else sum(int(self.stored(p)[-1]) for p in self.library_pieces(part))
+                   for part, special in self.segments(chunk))
+
+    def _cut_special(self, at: tuple[str, str]) -> list[int]:
+        """Tokens that each prefix of a special string adds, as text, to the signs before it."""
+        tail, special = at
+        own = self.count_odd(tail) if tail else 0
+        return [self.count_odd(tail + special[:end]) - own for end in range(1, len(special))]
+
+    def stored(self, piece: str) -> bytes | np.ndarray:
+        """Counts at the prefixes of a piece; the last long one is kept, too, as its total and its prefixes are asked for in turn."""
+        if len(piece) <= MEMO_CHARS:
+            return self.piece_counts[piece]
+        if self.last_long[0] != piece:
+            self.last_long = piece, self.count_piece_prefixes(piece)
+        return self.last_long[1]
+
+    def clusters(self, part: str) -> list[tuple[str, str]]:
+        """A part cut into characters that are normalised apart from each other, with their normal forms."""
+        normal, out = self.normal, []
+        for c in part:
+            if out and (unicodedata.combining(c) or not self.apart[out[-1][-1:], c]):
+                out[-1] += c
+            else:
+                out.append(c)
+        return [(c, normal[c]) for c in out]
+
+    def odd_prefixes(self, chunk: str) -> list[int]:
+        """Tokens of every prefix of an odd chunk, the empty one first.
+
+        The chunk is split once. A prefix that ends between two characters reads the stored counts of the piece
+        that it cuts. Only what cuts a special string, a composed character or a contraction is counted
+        anew, and of it only the piece that it ends in.
+        """
+        counts, before, tail = [0], 0, ""
+        for part, special in self.segments(chunk):
+            if special:  # a cut special string is text, and goes on with the signs before it
+                counts += [before + more for more in self.cut_special[tail, part]] + [before + 1]
+                before, tail = before + 1, ""
+                continue
+            marks = self.clusters(part)
+            pieces = self.library_pieces(part)
+            if "".join(n for _, n in marks).encode() != b"".join(map(as_bytes, pieces)):  # the library drops or adds something
+                counts += [before + self.count_odd(part[:end]) for end in range(1, len(part) + 1)]
+                before, tail = counts[-1], part
+                continue
+            at, inside, done = 0, 0, 0  # piece, bytes of it read, tokens of the pieces before it
+            text = ""  # the piece's characters so far
+            for raw, form in marks:
+                for end in range(1, len(raw)):
+                    counts.append(before + done + self.count_odd(text + raw[:end]))
+                for c in form:
+                    inside += len(c.encode())
+                    while at < len(pieces) and inside > len(pieces[at]):
+                        inside -= len(pieces[at])
+                        done += int(self.stored(pieces[at])[-1])
+                        at, text = at + 1, ""
+                    text += c
+                piece = pieces[at] if at < len(pieces) else ""
+                cuts = inside < len(piece) and piece[0] == "'" and len(piece) > 1
+                own = self.count_odd(text) if cuts else int(self.stored(piece)[inside]) if piece else 0
+                counts.append(before + done + own)
+            before, tail = counts[-1], text if text and not text[-1].isalnum() else ""
+        return counts
 
     def count(self, text: str) -> int:
         return sum(map(self.chunk_totals.__getitem__, chunks_of(text)))
@@ -113,15 +191,14 @@ class PrefixCounts:
     def chunk_prefixes(self, chunk: str) -> list[int]:
         """Tokens of every prefix of a chunk, by code points, the empty one first.
 
-        Inside plain pieces these are stored counts. A prefix that cuts a
-        contraction, or one of an odd chunk, is split and counted by itself.
+        Inside plain pieces these are stored counts. A prefix that cuts a contraction is counted by itself.
         """
         pieces = self.words.pieces_of(chunk) if chunk else []
         if pieces is None or sum(map(len, pieces)) != len(chunk):
-            return [self.count_chunk(chunk[:end]) for end in range(len(chunk) + 1)]
+            return self.odd_prefixes(chunk)
         counts, before = [0], 0
         for piece in pieces:
-            stored = self.piece_counts[as_letters(piece)]
+            stored = self.stored(as_letters(piece))
             if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
                 inner = [self.count_chunk(piece[:end]) for end in range(1, len(piece))] + [int(stored[-1])]
             elif piece.isascii():

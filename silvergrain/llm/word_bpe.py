@@ -9,7 +9,8 @@ library's whole pipeline.
 from __future__ import annotations
 
 import json
-import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each generation of the memos; about 120 MB per worker at most.
-CHUNK_ENTRIES, PIECE_ENTRIES = 120_000, 200_000
+#: Entries of each generation of the memos; about 100 MB per worker at most.
+CHUNK_ENTRIES, PIECE_ENTRIES = 100_000, 160_000
 #: Longer chunks are encoded anew each time, so that entries stay small.
 MEMO_CHARS = 64
 
@@ -40,6 +41,14 @@ def as_letters(piece: str) -> str:
     return piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
 
 
+BYTES = {ord(letter): chr(b) for b, letter in LETTERS.items()}
+
+
+def as_bytes(piece: str) -> bytes:
+    """The bytes that letters of byte-level BPE stand for."""
+    return piece.translate(BYTES).encode("latin-1")
+
+
 class WordBpe:
     """``encode(text)`` gives the ids, as raw unsigned 16-bit little-endian bytes."""
 
@@ -65,8 +74,14 @@ class WordBpe:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, chunks_of(text)))
 
+    def encode_odd(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes() if chunk else b""
+
     def encode_piece(self, piece: str) -> bytes:
-        return struct.pack("<%dH" % len(ids := [t.id for t in self.model.tokenize(as_letters(piece))]), *ids)
+        ids = array("H", [t.id for t in self.model.tokenize(as_letters(piece))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def pieces_of(self, chunk: str) -> list[str] | None:
         """The lower-case pieces of a plain chunk; None where the library must split it."""
@@ -80,12 +95,10 @@ class WordBpe:
         return None
 
     def encode_chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
         pieces = self.pieces_of(chunk)
         if pieces is None:
-            return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(map(self.pieces.__getitem__, pieces))
+            return self.encode_odd(chunk)
+        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
 
 
 def chunks_of(text: str) -> list[str]:

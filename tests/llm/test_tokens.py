@@ -44,6 +44,30 @@ def test_encoder_and_prefixes_equal_the_library():
             assert total == len(ids_of(text)) and chars == max(i for i, c in enumerate(want) if c <= budget)
 
 
+def test_prefixes_of_composed_and_special_text_equal_the_library():
+    """Runs without blanks that the library composes, drops or cuts at special strings."""
+    rnd = random.Random(1)
+    parts = ["a", "'s", "'re", "'", "<|endoftext|>", "<|startoftext|>", "<|", "<", "!", "!!", "日", "本", "語", "é", "e\u0301", "A\u0315\u0300",
+             "\u1112\u1161\u11ab", "한", "1", "²", "İ", "ß", "\x00", "\xad", "ﬁ", "🙂", "\u200d", "ก", "ำ", "\x0b", "\xa0", "\u3000"]
+    counter = prefix_counts.prefix_counter("word_bpe_49k.json")
+    for _ in range(600):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        assert counter.prefixes(text).tolist() == [len(ids_of(text[:i])) for i in range(len(text) + 1)]
+
+
+def test_long_runs_without_blanks_are_counted_in_one_pass():
+    rnd = random.Random(2)
+    counter = prefix_counts.prefix_counter("word_bpe_49k.json")
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(30_000))
+    special = "<|endoftext|>" * 20_000
+    for text in (han, special, "x" + special + han[:50], "한" * 20_000):
+        counts = counter.prefixes(text)
+        for at in (1, len(text) // 3, len(text) - 5, len(text)):
+            assert counts[at] == len(ids_of(text[:at]))
+        total, chars = counter.within(text, 2048)
+        assert total == counts[-1] and counts[chars] <= 2048 and (counts[chars + 1:] > 2048).all()
+
+
 def test_memo_forgets_without_changing_results():
     from silvergrain.llm.word_bpe import Memo
     memo = Memo(lambda k: k * 2, 3)

@@ -182,7 +182,8 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.jso
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
             yield record(**{n: (list(c), pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns)})
 
-    joined = pieces.join(first, ["slice", "length"]).select("doc_id", "start", "length", "doc_tokens", "rank", "first", "ids")
+    # One row per slice and length grows with the documents: it is shuffled, never broadcast.
+    joined = pieces.join(first.hint("merge"), ["slice", "length"]).select("doc_id", "start", "length", "doc_tokens", "rank", "first", "ids")
     return by_batch(joined, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                    "sequence_id long, offset long, ids binary")
 

@@ -40,6 +40,8 @@ START = "▁"
 GAIN = 8.0
 #: Letters of texts that are scored together, and chunks whose scores a worker keeps.
 BATCH_CHARS, CHUNK_ENTRIES = 1_000_000, 120_000
+#: Numbers of forward sums that are held at once, whatever the languages; tasks that fit languages.
+SUMS, FITS = 4_000_000, 64
 #: Fixed odd numbers of the substring hash, and marks of its lookups.
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BEGINS, NOTHING = -2, -3
@@ -199,7 +201,8 @@ class Model:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            for part in np.array_split(own, -(-len(own) // 20_000)):
+            most = max(1, SUMS // (int(size + 2) * len(self.languages)))
+            for part in np.array_split(own, -(-len(own) // most)):
                 out[part] = forward_sums([words[i] for i in part], table, self.probability.T)
         return out
 
@@ -266,7 +269,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "piece": np.arange(len(found), dtype=np.int32), "probability": found})
 
     ship_package(docs.sparkSession)
-    found = words.groupBy("lang").applyInPandas(fit, schema).toPandas()  # languages times vocabulary
+    found = words.repartition(FITS, "lang").groupBy("lang").applyInPandas(fit, schema).toPandas()  # languages times vocabulary
     languages = sorted(found["lang"].unique())
     table = [found[found["lang"] == k].sort_values("piece")["probability"].to_numpy() for k in languages]
     return Model(languages, np.array(table), settings)

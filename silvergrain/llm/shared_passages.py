@@ -364,8 +364,9 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     long = rows.where(F.octet_length("text") >= settings.length)
     stretches = cut_lineage(repeated(long.select("tid", "text"), settings))
     copies = long.groupBy("tid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("tid", F.lit(True).alias("copied"))
-    own = stretches.join(copies, "tid", "left_anti").groupBy("tid").agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("starts"))
+    # Combined before they move, so that the stretches of a text with many copies don't meet in one task.
+    own = (stretches.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("starts"))
+           .join(copies, "tid", "left_anti"))
     marks = cut_lineage(own.withColumn("copied", F.lit(False)).unionByName(copies.withColumn(
         "starts", F.array().cast("array<struct<first:int,last:int>>"))))
     length = settings.length

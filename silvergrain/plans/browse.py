@@ -60,7 +60,7 @@ def gps_valid(a) -> DataFrame:
         F.when(ok, geo.coord_key(lat, lon, 2)).alias("coarse_key"))
 
 
-@query("file_date_sources", "PRJ28", "PRJ29", "PRJ31", oracle="""
+@query("file_date_sources", "PRJ28", "PRJ29", oracle="""
 SELECT sha1, coalesce(name IN ('filesystem', 'file system', 'file modification', 'file modified', 'mtime',
     'modified time') OR (contains(name, 'file') AND (contains(name, 'modification') OR contains(name, 'modified'))),
     FALSE)::INT AS file_date,

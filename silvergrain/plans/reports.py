@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.operators import audit, frequency, ranking_scores, sidecars
+from silvergrain.operators import audit, detail, frequency, ranking_scores, sidecars
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
 from silvergrain.session import shared_folder
@@ -186,7 +186,7 @@ def todo_patterns(a) -> DataFrame:
 
 # --- joined records ----------------------------------------------------------------
 
-@query("wide_record", "JON7", "PRJ31", oracle="""
+@query("wide_record", "JON7", oracle="""
 WITH b AS (SELECT sha1, string_agg(printf('%d:%d,%d,%d,%d', face_index, x, y, w, h), ';' ORDER BY face_index) AS boxes
            FROM image_faces GROUP BY 1),
 l AS (SELECT sha1, string_agg(printf('%d:%.4f', face_index, expression_score), ';' ORDER BY face_index) AS looks
@@ -217,6 +217,108 @@ def wide_record(a) -> DataFrame:
         blank(F.col("summary_text")).alias("summary_text"))
 
 
+def _fixed(table: str, **places: int) -> str:
+    """Oracle columns: measures as text with so many decimals, blank where there is none."""
+    return ", ".join(f"CASE WHEN {table}.sha1 IS NOT NULL THEN coalesce(printf('%.{n}f', {table}.{c}::DOUBLE), '') END"
+                     f" AS {table}_{c}" for c, n in places.items())
+
+
+def _plain(table: str, *columns: str) -> str:
+    return ", ".join(f"CASE WHEN {table}.sha1 IS NOT NULL THEN coalesce({table}.{c}::VARCHAR, '') END AS {table}_{c}"
+                     for c in columns)
+
+
+def _numbers(table: str, *columns: str) -> str:
+    return ", ".join(f"{table}.{c} AS {table}_{c}" for c in columns)
+
+
+_SCORERS = ["*", "CASE WHEN sha1 < '8' THEN 'blend' END AS scorer_name", "'model ' || substr(sha1, 1, 1) AS model_name"]
+_NORMS = ["*", "x / img_width AS x_norm", "y / img_height AS y_norm", "w / img_width AS w_norm", "h / img_height AS h_norm"]
+_SHARES = ("x_norm", "y_norm", "w_norm", "h_norm", "area_ratio")
+_LOOKS = ("smile_score", "eyes_open_score", "expression_score", "confidence")
+_EXPRESSION = ("best_face_expression_score", "avg_top2_face_expression_score", "prominent_face_expression_score",
+               "people_moment_score")
+_EXPRESSION_COUNTS = ("face_count_scored", "smiling_face_count", "eyes_open_face_count", "good_expression_face_count")
+
+
+@query("detail_record", "PRJ31", "JON7", oracle=rf"""
+WITH tags AS (
+  SELECT sha1, string_agg(tag, ', ' ORDER BY tag) AS tags FROM (
+    SELECT DISTINCT sha1, array_to_string(list_transform(regexp_extract_all(lower(tag), '(\p{{L}}+|\P{{L}}+)'),
+        lambda r: upper(r[1]) || r[2:]), '') AS tag
+    FROM (SELECT sha1, trim(unnest(string_split(coalesce(path_tags, '') || ',' || coalesce(custom_tags, ''), ','))) AS tag
+          FROM media)
+    WHERE tag <> '' AND NOT regexp_full_match(tag, '\d{{4}}')
+      AND lower(tag) NOT IN ('pictures', 'photos', 'photographs', 'media', 'images', 'topaz-undated')) GROUP BY 1),
+links AS (SELECT sha1, min(coord_key) AS coord_key, min_by(source_lat, coord_key) AS source_lat,
+            min_by(source_lon, coord_key) AS source_lon FROM photo_geo JOIN geo_cache USING (coord_key) GROUP BY 1),
+place AS (SELECT *, CASE WHEN city <> '' THEN city WHEN town <> '' THEN town WHEN village <> '' THEN village
+            WHEN hamlet <> '' THEN hamlet ELSE suburb END AS locality FROM links JOIN geo_cache USING (coord_key)),
+boxes AS (
+  SELECT sha1, string_agg(printf('%d:%d,%d,%d,%d/%d,%d', face_index, x, y, w, h, img_width, img_height)
+    || printf(' %.12f %.12f %.12f %.12f %.12f', x_norm, y_norm, w_norm, h_norm, area_ratio), ';' ORDER BY face_index) AS boxes
+  FROM (SELECT {', '.join(_NORMS)} FROM image_faces) GROUP BY 1),
+looks AS (
+  SELECT sha1, string_agg(printf('%d %.9f %.9f %.9f %.9f ', face_index, {', '.join(_LOOKS)}) || model_version, ';'
+    ORDER BY face_index) AS looks FROM face_expression GROUP BY 1),
+aesthetic AS (SELECT {', '.join(_SCORERS)} FROM aesthetic_scores),
+semantic AS (
+  SELECT {', '.join(_SCORERS)}, CASE WHEN json_valid(top_labels_json) THEN coalesce(array_to_string(list_transform(
+      from_json(top_labels_json, '[{{"label":"VARCHAR","score":"DOUBLE"}}]')[1:6],
+      lambda x: x.label || ' (' || printf('%.2f', x.score) || ')'), ', '), '') ELSE '' END AS top_labels_display,
+    CASE WHEN ai_tags_json IS NULL THEN '' ELSE array_to_string(from_json(ai_tags_json, '["VARCHAR"]'), ', ') END
+      AS ai_tags_display FROM semantic_scores)
+SELECT overview.sha1, {_plain('overview', 'original_filename', 'final_dt', 'dt_source', 'path_tags', 'custom_tags', 'custom_notes',
+                              'file_size')},
+  replace(overview.rel_fqn, chr(92), '/') AS overview_rel_fqn, coalesce(tags.tags, '') AS overview_tags,
+  overview.is_deleted AS overview_is_deleted, coalesce(overview.extension, '') AS overview_file_extension,
+  CASE WHEN overview.width IS NULL OR overview.height IS NULL THEN '' ELSE printf('%d x %d', overview.width, overview.height) END
+    AS overview_dimensions,
+  {_fixed('overview', latitude=6, longitude=6, altitude_meters=1)},
+  CASE WHEN coalesce(abs(overview.latitude) > 0.000001 OR abs(overview.longitude) > 0.000001, FALSE) THEN 'Yes' ELSE 'No' END
+    AS overview_has_valid_gps,
+  {_plain('place', 'formatted', 'place_name', 'road', 'county', 'state', 'country', 'city', 'town', 'village', 'hamlet',
+          'suburb', 'locality', 'coord_key', 'lat_rounded', 'lon_rounded')}, {_fixed('place', source_lat=6, source_lon=6)},
+  {_numbers('technical', 'width', 'height')}, {_plain('technical', 'model_version', 'scored_at')},
+  {_fixed('technical', sharpness=2, contrast=2, brightness=2, edge_density=4, resolution_score=4, technical_score=4)},
+  {_numbers('faces', 'width', 'height', 'face_count', 'prominent_face_count', 'has_prominent_face')},
+  {_fixed('faces', largest_face_area_ratio=4)}, {_plain('faces', 'model_version', 'scored_at')},
+  boxes.boxes, looks.looks, {', '.join(f'expression.{c}::BIGINT AS expression_{c}' for c in _EXPRESSION_COUNTS)},
+  {', '.join(f'round(expression.{c}, 9) AS expression_{c}' for c in _EXPRESSION)},
+  {_fixed('aesthetic', aesthetic_score=4, composition_score=4, subject_prominence_score=4, interest_score=4, saliency_score=4,
+          overall_aesthetic_score=4)},
+  {_plain('aesthetic', 'scorer_name', 'model_name', 'model_version', 'scored_at', 'warnings')},
+  {_fixed('semantic', semantic_score=4)},
+  {_plain('semantic', 'scene_type', 'scorer_name', 'model_name', 'model_version', 'scored_at', 'warnings', 'top_labels_display',
+          'ai_tags_display')},
+  CASE WHEN semantic.sha1 IS NOT NULL THEN coalesce(semantic.top_labels_json, '[]') END AS semantic_top_labels_json,
+  CASE WHEN semantic.sha1 IS NOT NULL THEN coalesce(semantic.ai_tags_json, '[]') END AS semantic_ai_tags_json,
+  {_numbers('semantic', *frequency.FLAGS)},
+  {_plain('summary', 'summary_text', 'model_name', 'model_version', 'scored_at', 'warnings')}
+FROM media overview LEFT JOIN tags USING (sha1) LEFT JOIN place ON place.sha1 = overview.sha1
+LEFT JOIN image_scores technical ON technical.sha1 = overview.sha1 LEFT JOIN image_face_summary faces ON faces.sha1 = overview.sha1
+LEFT JOIN boxes ON boxes.sha1 = overview.sha1 LEFT JOIN looks ON looks.sha1 = overview.sha1
+LEFT JOIN o_expr_summary expression ON expression.sha1 = overview.sha1 LEFT JOIN aesthetic ON aesthetic.sha1 = overview.sha1
+LEFT JOIN semantic ON semantic.sha1 = overview.sha1 LEFT JOIN ai_summaries summary ON summary.sha1 = overview.sha1""")
+def detail_record(a) -> DataFrame:
+    """Every field of every photo's record, one column each; faces as text."""
+    record = detail.detail_record(
+        a.media, a.photo_geo, a.geo_cache, a.technical, a.face_summary, a.faces.selectExpr(*_NORMS),
+        ranking_scores.expression_summary(a.expression), a.expression, a.aesthetic.selectExpr(*_SCORERS),
+        a.semantic.selectExpr(*_SCORERS), a.summaries)
+    box = lambda s: F.format_string("%d:%d,%d,%d,%d/%d,%d" + " %.12f" * 5, *[s[c] for c in (
+        "face_index", "x", "y", "w", "h", "img_width", "img_height", *_SHARES)])
+    look = lambda s: F.format_string("%d" + " %.9f" * 4 + " %s", s["face_index"], *[s[c] for c in _LOOKS], s["model_version"])
+    flat = [F.col(f"{part}.{field}").alias(f"{part}_{field}")
+            for part in ("overview", "place", "technical", "faces", "aesthetic", "semantic", "summary")
+            for field in record.schema[part].dataType.names]
+    return record.select(
+        "sha1", *flat, F.array_join(F.transform("boxes", box), ";").alias("boxes"),
+        F.array_join(F.transform("looks", look), ";").alias("looks"),
+        *[F.col(f"expression.{c}").cast("long").alias(f"expression_{c}") for c in _EXPRESSION_COUNTS],
+        *[F.round(F.col(f"expression.{c}"), 9).alias(f"expression_{c}") for c in _EXPRESSION])
+
+
 @query("faces_by_area", "JON9", oracle="""
 SELECT sha1, rel_fqn, string_agg(face_index::VARCHAR, ',' ORDER BY area_ratio DESC, face_index) AS face_order
 FROM o_active JOIN image_faces USING (sha1) GROUP BY 1, 2""")

@@ -97,12 +97,17 @@ def merged_leaves(leaves: DataFrame) -> DataFrame:
 
 
 def place_tree(records: DataFrame) -> DataFrame:
-    """Node table: id, level, label, parent, count, mean position, cover, child count and order.
+    """Node table: id, level, label, parent, count, mean position, cover, child count and order."""
+    return tree_of(leaf_nodes(records))
+
+
+def tree_of(leaf_rows: DataFrame) -> DataFrame:
+    """The node table over leaves.
 
     Ancestors roll up from the leaves, not from photos. The leaves are written
     once, and so are the nodes, which are counted and ordered from there.
     """
-    leaves = cut_lineage(merged_leaves(leaf_nodes(records)))
+    leaves = cut_lineage(merged_leaves(leaf_rows))
     upper = leaves.rollup(*PATH).agg(
         F.sum("photo_count").alias("photo_count"), F.sum("lat_sum").alias("lat_sum"),
         F.sum("lon_sum").alias("lon_sum"), F.max("best").alias("best"), F.grouping_id().alias("gid"))

@@ -146,20 +146,29 @@ def membership(rows: DataFrame) -> DataFrame:
             .withColumn("scope", F.explode(scopes)).select("scope.*", *rows.columns))
 
 
-def scope_signatures(members: DataFrame) -> DataFrame:
-    """Order-free digest of each scope's photo set, for change detection.
+def scope_sums(members: DataFrame, sign: str | None = None) -> DataFrame:
+    """``scope_type, scope_key, photo_count, s1, s2, s3``: exact sums of slices of up to 60 bits of each id.
 
-    All forty digits of each id are folded with exact sums of slices of up to
-    60 bits rather than collected, so a scope of any size is one partial
-    aggregate per task.
+    A scope of any size is one partial aggregate per task. With the name of a column of signs,
+    members that are taken back count against those that are added.
     """
-    part = lambda at: F.conv(F.substring("sha1", at, 15), 16, 10).cast("decimal(38,0)")
+    weight = F.lit(1) if sign is None else F.col(sign)
+    part = lambda at: F.conv(F.substring("sha1", at, 15), 16, 10).cast("decimal(20,0)") * weight.cast("decimal(1,0)")
     return members.groupBy("scope_type", "scope_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(part(1)).alias("s1"), F.sum(part(16)).alias("s2"),
-        F.sum(part(31)).alias("s3")).select(
-        "scope_type", "scope_key", F.col("n").alias("photo_count"),
-        F.md5(F.concat_ws("|", F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"),
-                          F.col("s3").cast("string")).cast("binary")).alias("signature"))
+        F.sum(weight.cast("long")).alias("photo_count"),
+        *[F.sum(part(at)).cast("decimal(38,0)").alias(name) for name, at in (("s1", 1), ("s2", 16), ("s3", 31))])
+
+
+def signatures_of(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "scope_type", "scope_key", "photo_count",
+        F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("photo_count", "s1", "s2", "s3")]).cast("binary"))
+        .alias("signature"))
+
+
+def scope_signatures(members: DataFrame) -> DataFrame:
+    """Order-free digest of each scope's photo set, for change detection: all forty digits of each id are folded."""
+    return signatures_of(scope_sums(members))
 
 
 def changed_scopes(stored: DataFrame, fresh: DataFrame) -> DataFrame:

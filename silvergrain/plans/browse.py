@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.functions import geo, text, time
-from silvergrain.operators import library, ordering, places, scopes
+from silvergrain.operators import library, ordering, places, refresh, scopes
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
+from silvergrain.session import cut_lineage
 
 
 @query("active_media", "SRC1", "PRJ1", "PRJ32", oracle="""
@@ -208,25 +209,46 @@ def month_calendar(a) -> DataFrame:
     return scopes.month_calendar(library.dated(a.active), library.dated(a.scored))
 
 
-@query("scope_signatures", "PRJ27", oracle="""
+_SIGNATURES = """
 WITH m AS (
-  SELECT sha1, 'decade' AS scope_type, decade AS scope_key FROM o_browse WHERE undated = 0
-  UNION ALL SELECT sha1, 'year', year FROM o_browse WHERE undated = 0
-  UNION ALL SELECT sha1, 'month', year || '-' || month FROM o_browse WHERE undated = 0
-  UNION ALL SELECT sha1, 'day', date_key FROM o_browse WHERE undated = 0
-  UNION ALL SELECT sha1, 'undated', folder_group FROM o_browse WHERE undated = 1
-  UNION ALL SELECT sha1, 'tag', tag FROM o_tags
+  SELECT sha1, 'decade' AS scope_type, decade AS scope_key FROM {photos} WHERE undated = 0
+  UNION ALL SELECT sha1, 'year', year FROM {photos} WHERE undated = 0
+  UNION ALL SELECT sha1, 'month', year || '-' || month FROM {photos} WHERE undated = 0
+  UNION ALL SELECT sha1, 'day', date_key FROM {photos} WHERE undated = 0
+  UNION ALL SELECT sha1, 'undated', folder_group FROM {photos} WHERE undated = 1
+  UNION ALL SELECT sha1, 'tag', tag FROM {tags}
   UNION ALL SELECT sha1, 'folder', array_to_string(p[1:d], '/') FROM (
-    SELECT sha1, p, unnest(range(1, len(p))) AS d FROM (SELECT sha1, string_split(web_path, '/') AS p FROM o_browse)))
+    SELECT sha1, p, unnest(range(1, len(p))) AS d FROM (SELECT sha1, string_split(web_path, '/') AS p FROM {photos})))
 SELECT scope_type, scope_key, count(*) AS photo_count,
   md5(concat_ws('|', count(*)::VARCHAR, sum(('0x' || substr(sha1, 1, 15))::BIGINT)::HUGEINT::VARCHAR,
     sum(('0x' || substr(sha1, 16, 15))::BIGINT)::HUGEINT::VARCHAR,
     sum(('0x' || substr(sha1, 31, 10))::BIGINT)::HUGEINT::VARCHAR)) AS signature
-FROM m GROUP BY 1, 2""")
+FROM m GROUP BY 1, 2"""
+
+
+@query("scope_signatures", "PRJ27", oracle=_SIGNATURES.format(photos="o_browse", tags="o_tags"))
 def scope_signatures(a) -> DataFrame:
     return scopes.scope_signatures(scopes.membership(a.active))
 
 
+view("o_browse_after", """
+SELECT * REPLACE (CASE WHEN starts_with(sha1, '02') THEN 'Sorted/' || web_path ELSE web_path END AS web_path) FROM o_browse
+WHERE NOT starts_with(sha1, '00')""")
+view("o_tags_after", "SELECT * FROM o_tags WHERE NOT starts_with(sha1, '00')")
+
+
+@query("scope_refresh", "PRJ27", oracle=_SIGNATURES.format(photos="o_browse_after", tags="o_tags_after"))
+def scope_refresh(a) -> DataFrame:
+    """Signatures after photos went (ids in 00), came (01) or moved into another folder (02), from the sums before."""
+    kind = F.substring("sha1", 1, 2)
+    before = a.active.where(kind != "01")
+    moved = a.active.where(kind.isin("01", "02")).withColumn(
+        "web_path", F.when(kind == "02", F.concat(F.lit("Sorted/"), "web_path")).otherwise(F.col("web_path")))
+    state = cut_lineage(scopes.scope_sums(scopes.membership(before)))
+    touched = cut_lineage(refresh.touched_scopes(state, refresh.changes(before.where(kind.isin("00", "02")), moved)))
+    return scopes.signatures_of(refresh.apply(state, touched, refresh.SCOPE))
+
+
 # --- selections and grid orders -------------------------------------------------
 
 def _request(a) -> DataFrame:

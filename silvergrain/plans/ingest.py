@@ -9,6 +9,8 @@ from silvergrain.operators import grids, ingest, library
 from silvergrain.plans.browse import _request
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
+from silvergrain.session import shared_folder
+from silvergrain.sources import listing
 
 
 def files(a) -> DataFrame:
@@ -32,6 +34,28 @@ def file_manifest(a) -> DataFrame:
     return ingest.manifest(files(a)).select("file_id", "rel_fqn", "path_tags", "extension", "mtime_utc")
 
 
+@query("tree_listing", "SRC2", oracle="""
+SELECT DISTINCT source, rel_path, length(rel_path) AS file_size, kind FROM o_files WHERE kind <> 'private'""")
+def tree_listing(a) -> DataFrame:
+    """The files of the three sources, written as folder trees and listed again."""
+    base = shared_folder(a.spark, "tree")
+    rows = files(a).select("source", "rel_path").distinct()
+    listing.write_tree(rows.select(F.concat_ws("/", "source", "rel_path").alias("rel_path"), F.col("rel_path").alias("content")),
+                       base)
+    found = listing.list_tree(a.spark, {name: f"{base}/{name}" for name in ("takeout", "camera", "phone")}, tasks=8)
+    return found.select("source", "rel_path", "file_size", ingest.file_kind(F.col("rel_path")).alias("kind"))
+
+
+@query("listing_counts", "SRC2", "SUM4", oracle="""
+SELECT source, count(*) AS examined, count(*) FILTER (kind = 'photo') AS photos,
+  count(*) FILTER (kind = 'other_image') AS other_images, count(*) FILTER (kind = 'ignored') AS ignored
+FROM (SELECT DISTINCT source, rel_path, kind FROM o_files WHERE kind <> 'private') GROUP BY 1""")
+def listing_counts(a) -> DataFrame:
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return tree_listing(a).groupBy("source").agg(F.count(F.lit(1)).alias("examined"), count("photo").alias("photos"),
+                                                 count("other_image").alias("other_images"), count("ignored").alias("ignored"))
+
+
 def _good(ts: str) -> str:
     return f"CASE WHEN year({ts}) BETWEEN 1950 AND 2026 THEN {ts} END"
 

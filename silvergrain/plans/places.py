@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.operators import places
+from silvergrain.operators import places, refresh
 from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
+from silvergrain.session import cut_lineage, shared_folder
 
 
 def records(a) -> DataFrame:
@@ -82,6 +83,30 @@ def place_nodes(a) -> DataFrame:
     return tree(a)
 
 
+@query("place_refresh", "AGG13", "WIN5", oracle="""
+SELECT country_label, region_label, city_label, coord_key, count(*) AS photo_count, round(avg(use_lat), 6) AS lat,
+  round(avg(use_lon), 6) AS lon, arg_max(sha1, (hero_score, final_dt, sha1)) AS cover_sha1, arg_min(place_label, sha1) AS label
+FROM (SELECT * REPLACE (CASE WHEN starts_with(sha1, '02') THEN hero_score / 2 ELSE hero_score END AS hero_score)
+      FROM o_place_records WHERE NOT starts_with(sha1, '00'))
+GROUP BY 1, 2, 3, 4""")
+def place_refresh(a) -> DataFrame:
+    """The leaves after photos went (ids in 00), came (01) or were scored anew (02), from the state before."""
+    rows = cut_lineage(records(a).select("sha1", *refresh.LEAF, "use_lat", "use_lon", "hero_score", "final_dt", "place_label"))
+    kind = F.substring("sha1", 1, 2)
+    before = rows.where(kind != "01")
+    after = rows.where(kind != "00").withColumn("hero_score", F.when(kind == "02", F.col("hero_score") / 2)
+                                                .otherwise(F.col("hero_score")))
+    path = shared_folder(a.spark, "records")
+    refresh.laid_out(after).write.partitionBy(refresh.LAYOUT).parquet(path)
+    state = cut_lineage(refresh.leaf_state(before))
+    moved = kind.isin("00", "01", "02")
+    touched = cut_lineage(refresh.touched_leaves(state, refresh.changes(before.where(moved), after.where(moved)),
+                                                 a.spark.read.parquet(path)))
+    return refresh.leaves_of(refresh.apply(state, touched, refresh.LEAF)).select(
+        *refresh.LEAF, "photo_count", F.round(F.col("lat_sum") / F.col("photo_count"), 6).alias("lat"),
+        F.round(F.col("lon_sum") / F.col("photo_count"), 6).alias("lon"), F.col("best.sha1").alias("cover_sha1"), "label")
+
+
 @query("place_leaf_merge", "AGG14", "PRJ19", oracle="""
 SELECT country_label, region_label, city_label, norm, leaf_id AS node_id, top_label AS label, count(*) AS photo_count,
   count(DISTINCT coord_key) AS merged_from FROM o_leaves GROUP BY ALL""")

@@ -7,7 +7,9 @@ longest common prefixes; for every position the longer common prefix with its tw
 neighbours is the longest repeated run of words that starts there, and the
 maximal ones among these runs cover what all repeated runs cover. Their spans are
 united, and a document passes while the covered fraction and the longest
-repeat stay within limits.
+repeat stay within limits. Both limits are apart from the base rule's: only runs
+longer than its windows count for the fraction, which is lower, and the longest
+repeat has a bound that doesn't grow with the text.
 
 Missing, empty and wordless texts have no words, fail the base rule and are not
 kept. Repeated rows are judged row by row. An empty table gives an empty result.
@@ -35,17 +37,20 @@ BLANKS = " \t\n\v\f\r"
 class Limits:
     """A base rule by five-word windows, then the rule by maximal repeats.
 
-    Repeats count from ``min_repeat`` words on. They may cover ``max_covered`` of
-    a document's words, and the longest may have ``max_longest`` of them, or
-    ``free_longest`` words if that is more: quoting a sentence twice is no fault.
+    Repeats count from ``min_repeat`` words on. They may cover ``max_covered_percent`` of
+    a document's words, and the longest may have ``max_longest_percent`` of them, or
+    ``free_covered`` and ``free_longest`` words if that is more: quoting a sentence twice is no fault.
+    The longest may never have more than ``most_longest`` words, however long the text.
     """
     min_words: int = 10
     window: int = 5
     max_window_percent: int = 20
-    min_repeat: int = 5
-    max_covered: float = 0.20
-    max_longest: float = 0.05
+    min_repeat: int = 10
+    max_covered_percent: int = 15
+    free_covered: int = 50
+    max_longest_percent: int = 5
     free_longest: int = 25
+    most_longest: int = 200
 
 
 def repeat_lengths(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -164,8 +169,9 @@ def repetition(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 texts = [t or "" for t in texts]
                 n = m["n_words"]
                 base = (n < limits.min_words) | (100 * m["n_repeat_words"] > limits.max_window_percent * n)
-                passed = (m["covered_words"] <= limits.max_covered * n) & (
-                    m["longest_repeat"] <= np.maximum(limits.free_longest, limits.max_longest * n))
+                allowed = np.minimum(limits.most_longest, np.maximum(limits.free_longest, limits.max_longest_percent * n // 100))
+                passed = (m["longest_repeat"] <= allowed) & (
+                    m["covered_words"] <= np.maximum(limits.free_covered, limits.max_covered_percent * n // 100))
                 yield record(
                     doc_id=ids.slice(at, end + 1 - at), n_words=n,
                     word_chars=([len(t) - sum(map(t.count, BLANKS)) for t in texts], pa.int64()),

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 from helpers import PROSE, awkward, documents, empty, words_of
 
 import __spark_entry__ as entry
@@ -29,7 +30,7 @@ def plain_repetition(text):
         if windows[tuple(words[i:i + 5])] > 1:
             in_window[i:i + 5] = [True] * 5
     for i in range(n):
-        if longest[i] >= 5:
+        if longest[i] >= 10:
             covered[i:i + longest[i]] = [True] * longest[i]
     return n, sum(in_window), sum(covered), max(longest, default=0)
 
@@ -49,12 +50,15 @@ def check_repetition(rows, texts, full):
         n = r["n_words"]
         failed = n < 10 or 100 * r["n_repeat_words"] > 20 * n
         assert r["base_failed"] == failed
-        assert r["kept"] == (not failed and r["covered_words"] <= 0.2 * n and r["longest_repeat"] <= max(25, 0.05 * n))
+        assert r["kept"] == (not failed and r["covered_words"] <= max(50, 15 * n // 100)
+                             and r["longest_repeat"] <= min(200, max(25, n // 20)))
 
 
 def test_repeats_equal_brute_force(spark):
     rnd = random.Random(0)
     texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 60))) for _ in range(120)]
+    texts += [" ".join(rnd.choice("abcd") for _ in range(14)) + f" x{i} " for i in range(30)]
+    texts += [" ".join([*texts[i].split(), *map(str, range(i)), *texts[i].split()]) for i in range(120, 150)]
     texts += ["a " * 50, "", " x", None, "a b c d e f\na b c d e f\n\n \n# * <>", "é é é é é é\x0bü"]
     docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
     rows = sorted(repetition.repetition(docs).collect(), key=lambda r: r["doc_id"])
@@ -70,6 +74,23 @@ def test_repetition_query(spark, data_dir):
     check_repetition(short, [texts[r["doc_id"]] for r in short], full=True)
 
 
+def test_each_limit_of_repeats_decides(spark):
+    own = lambda a, b: [f"w{i}" for i in range(a, b)]
+    cases = {
+        1: own(0, 20_000) + own(0, 199) + own(20_000, 20_100),    # a long text may repeat 199 words
+        2: own(0, 20_000) + own(100, 1_000) + own(20_000, 20_100),  # but not 900, though they are 5 % of it
+        3: own(0, 22) + ["x"] + own(22, 250) + own(0, 22),        # a sentence twice
+        4: own(0, 200) + [w for i in range(0, 40, 10) for w in [f"y{i}", *own(i, i + 10)]],  # four of ten words: 80 of 244
+        5: own(0, 100) + [w for i in range(0, 21, 7) for w in [f"y{i}", *own(i, i + 6)]],    # shorter runs are for the base rule
+        6: own(0, 290) + [w for i in range(0, 30, 10) for w in [f"y{i}", *own(i, i + 10)]],  # three of ten words: 60 of 323
+        7: own(0, 290) + [w for i in range(0, 20, 10) for w in [f"y{i}", *own(i, i + 10)]]}  # two: 40 of 312
+    docs = documents(spark, [(i, " ".join(w), None, None) for i, w in cases.items()])
+    rows = {r["doc_id"]: r for r in repetition.repetition(docs).collect()}
+    assert {i: r["base_failed"] for i, r in rows.items()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False}
+    assert {i: r["kept"] for i, r in rows.items()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
+    assert (rows[6]["covered_words"], rows[6]["longest_repeat"]) == (60, 10)  # only the covered fraction speaks against it
+
+
 def test_repetition_of_awkward_rows(spark):
     rows = repetition.repetition(awkward(spark)).collect()
     assert len(rows) == 13 and sum(r["n_words"] == 0 for r in rows) == 3
@@ -101,6 +122,49 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
 
+def test_quality_equals_a_plain_version(spark, data_dir):
+    """Dictionaries, curve and scores from their definitions, for every document."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    marks: dict[int, list] = {}
+    for r in spark.read.parquet(f"{data_dir}/labels.parquet").collect():
+        if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            marks.setdefault(r["doc_id"], []).append(r["quality"])
+    good = {i: int(sum(m) / len(m) >= 0.5) for i, m in marks.items()}
+    chosen = {k: [docs[i] for i in sorted(docs) if good.get(i) == k] for k in (0, 1)}
+    assert 1 < min(map(len, chosen.values())) and max(map(len, chosen.values())) <= 2_000
+    assert max(len(t) for texts in chosen.values() for t in texts) <= 20_000  # so that all of each is trained on
+    cut = lambda text: [text.encode()[i:i + 512] for i in range(0, len(text.encode()), 512)]
+    made = []
+    for k in (0, 1):
+        samples = [b for t in chosen[k][::2] for b in cut(t)]
+        size = min(512 << 10, max(sum(map(len, samples)) // 8, 1 << 10))
+        made.append(zstandard.ZstdCompressionDict(zstandard.train_dictionary(size, samples).as_bytes()))
+
+    def size(text, k):  # a new compressor for every block
+        return sum(len(zstandard.ZstdCompressor(level=3, dict_data=made[k], write_checksum=False, write_content_size=False,
+                                                write_dict_id=False).compress(b)) for b in cut(text))
+
+    def difference(text):
+        bad, good = size(text, 0), size(text, 1)
+        return (bad - good) / (bad + good) if text else 0.0
+
+    unseen = [(difference(t), k) for k in (0, 1) for t in chosen[k][1::2]]
+    x, y = np.array(unseen).T
+    slope, level = compression_quality.fit_curve(x, y)
+    # at the best curve the slopes of its penalised log likelihood are nought
+    scale = float(np.std(x))
+    miss = y - 1 / (1 + np.exp(-(slope * x + level)))
+    assert abs((miss * x / scale).sum() - 1e-2 * slope * scale) < 1e-6 and abs(miss.sum() - 1e-3 * level) < 1e-6
+    counts = [sum(v == k for v in good.values()) for k in (0, 1)]
+    level += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    rows = entry.queries()["op8_compression_quality"](spark, data_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = 1 / (1 + np.exp(-(slope * difference(docs[r["doc_id"]]) + level)))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_quality_ignores_labels_of_the_held_out_fold(spark, data_dir):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
     labels = spark.read.parquet(f"{data_dir}/labels.parquet")

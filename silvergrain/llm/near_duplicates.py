@@ -13,8 +13,10 @@ Inside a table, candidates are not paired off. Nodes are first checked
 against their tables' leaders, the smallest nodes, on the full sets; links join components. What
 then still lies apart in some table is searched exactly: two sets that are
 similar enough share one of the shingles that stand first in them, when all are
-ordered from rare to common. So a passage that thousands share pairs none of
-them. Pairs inside one component can't change the result and are left out.
+ordered from rare to common. Rows of a shared shingle that stand too late in
+their sets for any partner go before rows are paired, so a passage or a template
+that thousands share pairs none of them where all lie too far apart. Pairs inside one
+component can't change the result and are left out.
 
 Missing or wordless text has an empty set and is linked with nothing. Rows that
 repeat a doc_id with one set are one document; rows that give a doc_id different
@@ -201,14 +203,34 @@ def _apart_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     placed = (shared.withColumn("rare", F.col("n") - F.count(F.lit(1)).over(own))
               .withColumn("rank", F.col("rare") + F.row_number().over(own.orderBy("df", "shingle"))))
     first = cut_lineage(placed.where(f"torn AND rank <= n - ceil({LEAST} * n / 100) + 1").select("shingle", "node", "label", "n", "rank"))
-    main = (first.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("shingle")
-            .agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1"))
-    seeking = first.join(main, "shingle").where("label <> main")
-    other = first.select("shingle", F.col("node").alias("other"), F.col("label").alias("of_other"), F.col("n").alias("n_other"),
-                         F.col("rank").alias("rank_other"))
+    live = _prospects(first)
+    other = live.select("shingle", F.col("node").alias("other"), F.col("label").alias("of_other"), F.col("n").alias("n_other"),
+                        F.col("most").alias("most_other"))
     near = (f"label <> of_other AND 100 * least(n, n_other) >= {LEAST} * greatest(n, n_other)"
-            f" AND {100 + LEAST} * (1 + least(n - rank, n_other - rank_other)) >= {LEAST} * (n + n_other)")
-    return seeking.join(other, "shingle").where(near).select(*_ordered("node", "other")).distinct()
+            " AND n_other <= most AND n <= most_other")
+    return live.where("label <> main").join(other, "shingle").where(near).select(*_ordered("node", "other")).distinct()
+
+
+def _prospects(first: DataFrame) -> DataFrame:
+    """The rows ``shingle, node, label, n, rank`` that may have a partner, with ``main``, their shingle's largest component.
+
+    If the shingle at ``rank`` is the first in common, the sets share at most
+    1 + n - rank shingles, so a partner has at most ``most`` of them. Of two
+    partners the smaller one's ``most`` reaches the larger one's size, and with
+    it its own: a row for which it doesn't needs a smaller partner for which it
+    does. So a template whose texts are all too far apart leaves no row.
+    """
+    first = first.withColumn("most", F.expr(f"({100 + LEAST} * (1 + n - rank)) div {LEAST} - n"))
+    able = F.col("most") >= F.col("n")
+    main = (first.groupBy("shingle", "label")
+            .agg(F.count(F.lit(1)).alias("size"), F.min(F.when(able, F.col("n"))).alias("least_n"),
+                 F.max(F.when(able, F.col("most"))).alias("reach"))
+            .groupBy("shingle")
+            .agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"),
+                 F.min("least_n").alias("least_n"), F.max("reach").alias("reach"))
+            .where("labels > 1 AND least_n IS NOT NULL").drop("labels"))
+    return (first.join(main, "shingle").where("most >= n OR (most >= least_n AND n <= reach)")
+            .select("shingle", "node", "label", "n", "most", "main"))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

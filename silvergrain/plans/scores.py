@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.functions import text
-from silvergrain.operators import ranking_scores, semantics, sidecars
+from silvergrain.operators import keywords, ranking_scores, semantics, sidecars
 from silvergrain.plans.oracle import view
 from silvergrain.plans.oracle_views import CULL_PET, HERO_PET
 from silvergrain.plans.registry import query
@@ -374,6 +374,45 @@ def caption_clean(a) -> DataFrame:
                        F.length(text.normal_token(F.col("s"))).alias("token_length"))
 
 
+KEYWORD_LISTS = {"cull_pet": text.CULL_PET_WORDS, "hero_pet": text.HERO_PET_WORDS, "landmark": text.LANDMARK_WORDS,
+                 "label": ("beach", "mountain", "museum", "food", "sunset", "garden", "tower", "cat", "people", "text")}
+
+view("o_keyword_text", r"""
+SELECT s.sha1, summary_text, top_labels_json, ai_tags_json FROM ai_summaries s LEFT JOIN semantic_scores USING (sha1)
+UNION ALL SELECT 'doc' || doc_id::VARCHAR, regexp_replace(text, '[^\x00-\x7F]+', '', 'g'), source, lang FROM documents""")
+view("o_keyword", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{name}', '{word}')" for name, words in KEYWORD_LISTS.items() for word in words) + ") AS k(list, word)")
+view("o_keyword_hit", """
+SELECT sha1, list, word FROM o_keyword_text, o_keyword
+WHERE contains(lower(coalesce(summary_text, '')), word) OR contains(lower(coalesce(top_labels_json, '')), word)
+   OR contains(lower(coalesce(ai_tags_json, '')), word)""")
+
+
+def _keyword_texts(a) -> DataFrame:
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]+", "")
+    photos = (a.summaries.select("sha1", "summary_text")
+              .join(a.semantic.select("sha1", "top_labels_json", "ai_tags_json"), "sha1", "left"))
+    return photos.unionByName(a.base("documents").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("sha1"), ascii_only.alias("summary_text"),
+        F.col("source").alias("top_labels_json"), F.col("lang").alias("ai_tags_json")))
+
+
+@query("keyword_hits", "PRJ21", oracle="""
+SELECT sha1, coalesce(words, '') AS words, coalesce(lists, '') AS lists FROM o_keyword_text LEFT JOIN (
+  SELECT sha1, string_agg(DISTINCT word, ',' ORDER BY word) AS words, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+  FROM o_keyword_hit GROUP BY 1) USING (sha1)""")
+def keyword_hits(a) -> DataFrame:
+    hits = keywords.with_hits(_keyword_texts(a), ["summary_text", "top_labels_json", "ai_tags_json"], KEYWORD_LISTS)
+    return hits.select("sha1", F.array_join("words", ",").alias("words"), F.array_join("lists", ",").alias("lists"))
+
+
+@query("keyword_usage", "PRJ21", oracle="""
+SELECT list, word, count(DISTINCT sha1) AS n_rows, min(sha1) AS first
+FROM o_keyword LEFT JOIN o_keyword_hit USING (list, word) GROUP BY 1, 2""")
+def keyword_usage(a) -> DataFrame:
+    return keywords.word_usage(_keyword_texts(a), ["summary_text", "top_labels_json", "ai_tags_json"], KEYWORD_LISTS, "sha1")
+
+
 @query("label_display", "PRJ23", oracle="""
 SELECT sha1, CASE WHEN json_valid(top_labels_json) THEN coalesce(array_to_string(list_transform(
     from_json(top_labels_json, '[{"label":"VARCHAR","score":"DOUBLE"}]')[1:6],

@@ -171,6 +171,36 @@ def test_groups_of_edited_copies(spark, many_slices, seed):
     assert {r["doc_id"]: tuple(r)[1:] for r in near_duplicates.near_duplicates(docs).collect()} == plain_components(texts)
 
 
+def test_texts_of_one_template_are_not_paired(spark):
+    template = [f"t{i}" for i in range(80)]
+    rnd = random.Random(3)
+    texts = {i: " ".join(template + [f"u{i}_{k}" for k in range(rnd.randint(18, 24))]) for i in range(300)}
+    docs = documents(spark, [(i, t, None, None) for i, t in texts.items()])
+    assert {r["doc_id"]: tuple(r)[1:] for r in near_duplicates.near_duplicates(docs).collect()} == plain_components(texts)
+    late = [(s, i, i, n, n - 75 + s) for i in range(4000) for n in (95 + i % 6,) for s in range(4)]
+    first = spark.createDataFrame(late, "shingle long, node long, label long, n int, rank long")
+    assert near_duplicates._prospects(first).count() == 0
+
+
+def test_prospects_keep_every_possible_pair(spark):
+    rnd = random.Random(8)
+    rows = []
+    for node in range(160):
+        n = rnd.randint(8, 40)
+        for shingle in rnd.sample(range(12), 4):
+            rows.append((shingle, node, node % 90, n, rnd.randint(1, n - -(-75 * n // 100) + 1)))
+
+    def pairs(rows):
+        return {(a[0], a[1], b[1]) for a in rows for b in rows
+                if a[0] == b[0] and a[2] != b[2] and 100 * min(a[3], b[3]) >= 75 * max(a[3], b[3])
+                and 175 * (1 + min(a[3] - a[4], b[3] - b[4])) >= 75 * (a[3] + b[3])}
+
+    first = spark.createDataFrame(rows, "shingle long, node long, label long, n int, rank long")
+    kept = {(r["shingle"], r["node"]) for r in near_duplicates._prospects(first).collect()}
+    assert pairs(rows) and pairs(rows) == pairs([r for r in rows if r[:2] in kept])
+    assert len(kept) < len(rows)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = near_duplicates.near_duplicates(awkward(spark)).collect()
     by_id = {r["doc_id"]: r for r in rows}

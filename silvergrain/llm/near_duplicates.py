@@ -186,14 +186,13 @@ def _leader_pairs(tables: DataFrame, lengths: DataFrame) -> DataFrame:
             .where(f"100 * least(n_x, n_y) >= {LEAST} * greatest(n_x, n_y)").select("x", "y"))
 
 
-def _apart_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs in different components among ``node, label``: an exact prefix filter.
+def _first_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``shingle, node, label, n, rank`` of the shingles that stand first in the sets of ``node, label``: an exact prefix filter.
 
     Of n shingles, a similar set must hold one of the first n - ceil(0.75 n) + 1,
     in any order common to all, and from the first common one on there must be
     enough left in both. The order is by the number of sets that hold a shingle.
-    A shingle whose sets all lie in one component is dropped; where most
-    of its sets lie in one, only the others look for partners.
+    A shingle whose sets all lie in one component is dropped.
     """
     rows = cut_lineage(nodes.join(sets, "node").select(
         "node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
@@ -202,13 +201,35 @@ def _apart_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("node")  # one document's shingles
     placed = (shared.withColumn("rare", F.col("n") - F.count(F.lit(1)).over(own))
               .withColumn("rank", F.col("rare") + F.row_number().over(own.orderBy("df", "shingle"))))
-    first = cut_lineage(placed.where(f"torn AND rank <= n - ceil({LEAST} * n / 100) + 1").select("shingle", "node", "label", "n", "rank"))
+    return cut_lineage(placed.where(f"torn AND rank <= n - ceil({LEAST} * n / 100) + 1").select("shingle", "node", "label", "n", "rank"))
+
+
+NEAR = (f"label <> of_other AND 100 * least(n, n_other) >= {LEAST} * greatest(n, n_other)"
+        " AND n_other <= most AND n <= most_other")
+
+
+def _others(live: DataFrame) -> DataFrame:
+    return live.select("shingle", F.col("node").alias("other"), F.col("label").alias("of_other"), F.col("n").alias("n_other"),
+                       F.col("most").alias("most_other"))
+
+
+def _central_pairs(first: DataFrame) -> DataFrame:
+    """Pairs of rows outside a shingle's largest component with one of its rows, the one with the most room for partners.
+
+    That is the text with the fewest shingles of its own, which many are close to. One
+    pair a row; what they link needs no further search in :func:`_apart_pairs`.
+    """
+    live = _prospects(first)
+    centre = (live.where("label = main").groupBy("shingle")
+              .agg(F.max(F.struct(F.expr("most - n").alias("room"), "node", "label", "n", "most")).alias("c"))
+              .select("shingle", "c.node", "c.label", "c.n", "c.most"))
+    return live.where("label <> main").join(_others(centre), "shingle").where(NEAR).select(*_ordered("node", "other")).distinct()
+
+
+def _apart_pairs(first: DataFrame) -> DataFrame:
+    """Candidate pairs in different components; where most sets of a shingle lie in one, only the others look for partners."""
     live = _prospects(first)
-    other = live.select("shingle", F.col("node").alias("other"), F.col("label").alias("of_other"), F.col("n").alias("n_other"),
-                        F.col("most").alias("most_other"))
-    near = (f"label <> of_other AND 100 * least(n, n_other) >= {LEAST} * greatest(n, n_other)"
-            " AND n_other <= most AND n <= most_other")
-    return live.where("label <> main").join(other, "shingle").where(near).select(*_ordered("node", "other")).distinct()
+    return live.where("label <> main").join(_others(live), "shingle").where(NEAR).select(*_ordered("node", "other")).distinct()
 
 
 def _prospects(first: DataFrame) -> DataFrame:
@@ -266,7 +287,11 @@ def _judged(docs: DataFrame) -> DataFrame:
     labelled = cut_lineage(_with_labels(tables, labels))
     torn = labelled.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("torn")).where("torn")
     apart = cut_lineage(labelled.join(torn, "bucket", "left_semi").select("node", "label").distinct())
-    pairs = cut_lineage(_apart_pairs(apart, sets).join(tested, ["x", "y"], "left_anti"))
+    first = _first_shingles(apart, sets)
+    central = cut_lineage(_central_pairs(first).join(tested, ["x", "y"], "left_anti"))
+    labels = _joined(labels, _confirmed(central, sets))
+    first = cut_lineage(_with_labels(first.drop("label"), labels))
+    pairs = cut_lineage(_apart_pairs(first).join(tested.union(central), ["x", "y"], "left_anti"))
     labels = _joined(labels, _confirmed(pairs, sets))
     one = F.struct("doc_id", "set_key")
     firsts = nodes.select("node", one.alias("one")).join(labels, "node").groupBy("label").agg(F.min("one").alias("first"))

@@ -44,15 +44,15 @@ FROM o_active m JOIN failed USING (sha1)
 UNION ALL SELECT m.sha1, 'semantic', 0, '[]', 'open_failed' FROM o_active m JOIN failed USING (sha1)""")
 def score_failures(a) -> DataFrame:
     """Failure rows of two score tables, as the retry work lists of these tables find them again."""
-    unreadable = a.active.where("width IS NULL").select("sha1")
+    unreadable = a.active.where("width IS NULL").select("sha1").hint("merge")  # of any number
     version = "semantic_v1"
     rows = sidecars.failure_rows(unreadable, a.semantic, {
         "scene_type": F.lit("unknown"), "top_labels_json": F.lit("[]"), "ai_tags_json": F.lit("[]"),
         "model_version": F.lit(version), "warnings": F.lit("open_failed")})
     semantic = sidecars.upsert(a.semantic, rows, "sha1")
-    retried = sidecars.todo_by_warnings(a.active, semantic, version).select("sha1")
+    retried = sidecars.todo_by_warnings(a.active, semantic, version).select("sha1").hint("merge")
     hero = _hero_sidecar(a)
-    again = sidecars.todo_by_warnings(a.active, hero, "hero_v1").select("sha1")
+    again = sidecars.todo_by_warnings(a.active, hero, "hero_v1").select("sha1").hint("merge")
     return (hero.where("warnings <> ''").join(again, "sha1", "left_semi")
             .select("sha1", F.lit("hero").alias("score"), F.col("hero_score").alias("value"),
                     F.col("breakdown_json").alias("details"), "warnings")

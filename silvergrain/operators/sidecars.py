@@ -18,6 +18,8 @@ RETRY_PATTERNS = ("clip_model_load_failed", "clip_inference_failed", "CLIP unava
 SUMMARY_COLUMNS = ("summary", "summary_text", "ai_summary", "caption", "description", "text")
 
 
+# Tables of photos are never broadcast: a plan's guess of their size may be far too low.
+
 # --- reading -------------------------------------------------------------------
 
 def optional_table(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None) -> DataFrame:
@@ -39,14 +41,14 @@ def keyed(rows: DataFrame, key: str = "sha1") -> DataFrame:
 
 def todo_by_version(active: DataFrame, done: DataFrame, version: str) -> DataFrame:
     """Photos without a row of this model version."""
-    current = done.where(F.col("model_version") == version).select("sha1")
+    current = done.where(F.col("model_version") == version).select("sha1").hint("merge")
     return active.select("sha1", "rel_fqn").join(current, "sha1", "left_anti")
 
 
 def todo_by_presence(active: DataFrame, faces: DataFrame, summary: DataFrame) -> DataFrame:
     """Photos with faces and no expression summary, whatever its version."""
-    return (active.select("sha1", "rel_fqn").join(summary.select("sha1"), "sha1", "left_anti")
-            .join(faces.select("sha1"), "sha1", "left_semi"))
+    return (active.select("sha1", "rel_fqn").join(summary.select("sha1").hint("merge"), "sha1", "left_anti")
+            .join(faces.select("sha1").hint("merge"), "sha1", "left_semi"))
 
 
 def todo_by_warnings(active: DataFrame, done: DataFrame, version: str, retry: bool = True,
@@ -55,7 +57,7 @@ def todo_by_warnings(active: DataFrame, done: DataFrame, version: str, retry: bo
     clean = done.where(F.col("model_version") == version)
     if retry:
         clean = clean.where(~(F.col("warnings") != "") | F.col("warnings").isNull())
-    rows = active.select("sha1", "rel_fqn").join(clean.select("sha1"), "sha1", "left_anti")
+    rows = active.select("sha1", "rel_fqn").join(clean.select("sha1").hint("merge"), "sha1", "left_anti")
     return rows.orderBy("sha1").limit(limit) if limit else rows
 
 
@@ -64,7 +66,7 @@ def todo_by_patterns(active: DataFrame, done: DataFrame, version: str) -> DataFr
     fine = F.lit(True)
     for pattern in RETRY_PATTERNS:
         fine = fine & ~F.contains(F.lower(F.coalesce("warnings", F.lit(""))), F.lit(pattern.lower()))
-    settled = done.where((F.col("model_version") == version) & fine).select("sha1")
+    settled = done.where((F.col("model_version") == version) & fine).select("sha1").hint("merge")
     return active.select("sha1", "rel_fqn").join(settled, "sha1", "left_anti")
 
 

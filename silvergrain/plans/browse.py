@@ -106,7 +106,7 @@ def timeline_day_rows(a) -> DataFrame:
     """Month and day scopes, and the located photos of a year."""
     month = library.in_timeline_scope(a.active, decade="1990s", year="1995", month="07").select("sha1", F.lit("month").alias("scope"))
     day = library.in_timeline_scope(a.active, month="03", day="09").select("sha1", F.lit("day").alias("scope"))
-    records = places.place_records(a.ranked, a.photo_geo, a.geo_cache)
+    records = places.place_records(a.placed, a.photo_geo, a.geo_cache)
     place = library.in_timeline_scope(records, year="2001").select("sha1", F.lit("place").alias("scope"))
     return month.unionByName(day).unionByName(place)
 

@@ -10,6 +10,7 @@ from silvergrain.plans.oracle import view
 from silvergrain.plans.registry import query
 from silvergrain.plans.reports import committed
 from silvergrain.plans.scores import people_signals
+from silvergrain.session import cut_lineage
 
 
 def _gap_sql(gap: int, keys: str, source: str) -> str:
@@ -26,19 +27,20 @@ SELECT *, round(latitude, 3) AS lat3, round(longitude, 3) AS lon3 FROM o_scored
 
 
 def _clusters(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    return sessions.time_clusters(rows, keys, gap).select(
+    photos = cut_lineage(rows.select(*keys, "ts", "hero_score", "final_dt", "sha1"))
+    return sessions.time_clusters(photos, keys, gap).select(
         *keys, "cluster_start", "cluster_end", "size", F.col("best.sha1").alias("best_sha1"))
 
 
 @query("gap_clusters_15s", "WIN1", "WIN4", "PRJ7", oracle=_gap_sql(15, "lat3, lon3", "o_placed"))
 def gap_clusters_15s(a) -> DataFrame:
-    return _clusters(a.ranked.where("has_gps"), ["lat3", "lon3"], 15)
+    return _clusters(a.placed.where("has_gps"), ["lat3", "lon3"], 15)
 
 
 @query("gap_clusters_20s", "WIN2", "WIN4", oracle=_gap_sql(
     20, "coord_key", "(SELECT s.*, coord_key FROM o_scored s JOIN photo_geo USING (sha1))"))
 def gap_clusters_20s(a) -> DataFrame:
-    return _clusters(a.ranked.join(a.photo_geo.select("sha1", "coord_key"), "sha1"), ["coord_key"], 20)
+    return _clusters(a.placed.join(a.photo_geo.select("sha1", "coord_key").hint("merge"), "sha1"), ["coord_key"], 20)
 
 
 view("o_year_scored", "SELECT *, 'year' AS scope_type, year AS scope_key FROM o_scored WHERE undated = 0")
@@ -55,8 +57,9 @@ UNION ALL SELECT scope_type, scope_key, sha1, final_dt, hero_score, has_gps, NUL
 FROM s WHERE NOT has_gps""")
 
 
-def year_members(a) -> DataFrame:
-    return a.ranked.where("undated = 0").withColumns({"scope_type": F.lit("year"), "scope_key": F.col("year")})
+def year_members(a, photos: DataFrame | None = None) -> DataFrame:
+    """The dated photos by year; those of ``photos`` where a plan reads them only once."""
+    return (photos or a.ranked).where("undated = 0").withColumns({"scope_type": F.lit("year"), "scope_key": F.col("year")})
 
 
 @query("burst_reduction", "WIN6", "AGG19", "SET3", oracle="""

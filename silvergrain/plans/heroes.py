@@ -107,7 +107,7 @@ for _name in ("o_reduced", "o_buckets", "o_seeds", "o_settle"):
     "SELECT split_part(scope_key, '|', 1) AS scope_type, split_part(scope_key, '|', 2) AS scope_key,"))
 def hero16_all_scopes(a) -> DataFrame:
     """Cards of every decade, year, month, day, folder, tag and undated folder in one job."""
-    return heroes.hero_selection(scopes.membership(a.ranked), SCOPE)
+    return heroes.hero_selection(scopes.membership(cut_lineage(a.placed)), SCOPE)
 
 
 view("o_day_reduced", """
@@ -213,7 +213,7 @@ def place_mosaic(a) -> DataFrame:
 SELECT year AS scope_key, ts // 60 * 60 AS minute, arg_max(sha1, (hero_score, final_dt, sha1)) AS sha1
 FROM o_scored WHERE undated = 0 GROUP BY 1, 2""")
 def minute_best(a) -> DataFrame:
-    return heroes.best_per_minute(year_members(a), ["scope_key"]).select("scope_key", "minute", "sha1")
+    return heroes.best_per_minute(year_members(a, a.placed), ["scope_key"]).select("scope_key", "minute", "sha1")
 
 
 @query("round_robin", "OPT2", oracle="""
@@ -223,7 +223,7 @@ WITH p AS (SELECT year AS scope_key, sha1, round(latitude, 3) AS lat3, round(lon
 SELECT scope_key, sha1, turn, row_number() OVER (PARTITION BY scope_key ORDER BY turn, lat3, lon3) - 1 AS pos FROM p
 QUALIFY pos < 16""")
 def round_robin(a) -> DataFrame:
-    return heroes.round_robin(year_members(a), ["scope_key"])
+    return heroes.round_robin(year_members(a, a.placed), ["scope_key"])
 
 
 @query("document_hero", "OPT6", "OPT7", oracle="""

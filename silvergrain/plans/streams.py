@@ -35,7 +35,7 @@ def stream_bursts(a) -> DataFrame:
     """Photos arrive in four batches from the newest to the oldest; bursts are split over batches."""
     base = shared_folder(a.spark, "stream-bursts")
     keys = ["lat3", "lon3"]
-    rows = cut_lineage(a.ranked.where("has_gps AND ts IS NOT NULL").select(*keys, "ts", "hero_score", "final_dt", "sha1"))
+    rows = cut_lineage(a.placed.where("has_gps AND ts IS NOT NULL").select(*keys, "ts", "hero_score", "final_dt", "sha1"))
     year = F.substring("final_dt", 1, 4)
     parts = [year >= "2003", year < "2003"]
     odd = F.col("sha1").rlike("[13579bdf]$")

@@ -24,14 +24,23 @@ def cluster_starts(rows: DataFrame, keys: list[str], gap: int, aggs: dict[str, C
     ``rows`` needs the keys and a non-null ``ts`` in seconds. Two neighbouring
     seconds of a key share a cluster when they are at most ``gap`` apart.
     """
-    seconds = (rows.groupBy(*keys, "ts").agg(*[c.alias(n) for n, c in aggs.items()])
-               .withColumn("day", F.floor(F.col("ts") / DAY)))
-    in_day = Window.partitionBy(*keys, "day").orderBy("ts")
-    seconds = seconds.withColumn("prev", F.lag("ts").over(in_day))
-    seconds = seconds.withColumn("opens", F.when(F.col("ts") - F.col("prev") > gap, F.col("ts")))
+    seconds = rows.groupBy(*keys, "ts").agg(*[c.alias(n) for n, c in aggs.items()])
+    return piece_starts(seconds.withColumns({"first": F.col("ts"), "last": F.col("ts")}), keys, gap).drop("first", "last")
+
 
-    days = seconds.groupBy(*keys, "day").agg(
-        F.min("ts").alias("day_first"), F.max("ts").alias("day_last"), F.max("opens").alias("last_open"))
+def piece_starts(pieces: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Adds ``cluster_start`` to pieces of clusters (``first, last`` in seconds, both of one day; they may overlap).
+
+    A piece opens a cluster when it starts more than ``gap`` after the latest end before it.
+    """
+    pieces = pieces.withColumn("day", F.floor(F.col("first") / DAY))
+    in_day = Window.partitionBy(*keys, "day").orderBy("first")
+    reached = F.max("last").over(in_day.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("reached", reached)
+    pieces = pieces.withColumn("opens", F.when(F.col("first") - F.col("reached") > gap, F.col("first")))
+
+    days = pieces.groupBy(*keys, "day").agg(
+        F.min("first").alias("day_first"), F.max("last").alias("day_last"), F.max("opens").alias("last_open"))
     by_day = Window.partitionBy(*keys).orderBy("day")
     before = by_day.rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("first_opens", F.coalesce(
@@ -43,10 +52,33 @@ def cluster_starts(rows: DataFrame, keys: list[str], gap: int, aggs: dict[str, C
     days = days.select(*keys, "day", F.coalesce("carried", "day_first").alias("day_start"))
 
     upto = in_day.rowsBetween(Window.unboundedPreceding, 0)
-    return (seconds.withColumn("open_upto", F.max("opens").over(upto))
+    return (pieces.withColumn("open_upto", F.max("opens").over(upto))
             .join(days, [*keys, "day"])
             .withColumn("cluster_start", F.coalesce("open_upto", "day_start"))
-            .drop("day", "prev", "opens", "open_upto", "day_start"))
+            .drop("day", "reached", "opens", "open_upto", "day_start"))
+
+
+def day_pieces(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Clusters inside each day of a key: ``first, last, n, best``.
+
+    They are pieces of the clusters of the key and of every group of keys, as more
+    photos only narrow gaps. So groups that hold each other are clustered from the
+    pieces of the smallest, which are fewer than seconds wherever there are bursts.
+    """
+    seconds = (rows.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("n"), representative().alias("best"))
+               .withColumn("day", F.floor(F.col("ts") / DAY)))
+    in_day = Window.partitionBy(*keys, "day").orderBy("ts")
+    seconds = seconds.withColumn("prev", F.lag("ts").over(in_day))
+    seconds = seconds.withColumn("opens", F.when(F.col("prev").isNull() | (F.col("ts") - F.col("prev") > gap), F.col("ts")))
+    opened = F.max("opens").over(in_day.rowsBetween(Window.unboundedPreceding, 0))
+    return (seconds.withColumn("first", opened).groupBy(*keys, "day", "first")
+            .agg(F.max("ts").alias("last"), F.sum("n").alias("n"), F.max("best").alias("best")).drop("day"))
+
+
+def joined_pieces(pieces: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Clusters of a key, as :func:`time_clusters` gives them for dated rows, from :func:`day_pieces` of its parts."""
+    return piece_starts(pieces, keys, gap).groupBy(*keys, "cluster_start").agg(
+        F.sum("n").alias("size"), F.max("last").alias("cluster_end"), F.max("best").alias("best"))
 
 
 def time_clusters(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:

@@ -11,7 +11,7 @@ from silvergrain.session import cut_lineage, shared_folder
 
 
 def records(a) -> DataFrame:
-    return places.place_records(a.ranked, a.photo_geo, a.geo_cache)
+    return places.place_records(a.placed, a.photo_geo, a.geo_cache)
 
 
 view("o_place_raw", """
@@ -164,7 +164,7 @@ SELECT node_id, rank, best.s AS sha1, size,
   coalesce(strftime(try_strptime(best.d, '%Y-%m-%d %H:%M:%S'), '%B %-d, %Y'), 'Photo') AS title,
   size::VARCHAR || CASE WHEN size = 1 THEN ' photo' ELSE ' photos' END AS subtitle FROM r WHERE rank <= 18""")
 def place_gallery(a) -> DataFrame:
-    return places.gallery(places.node_members(records(a)))
+    return places.leaf_gallery(places.leaf_members(records(a)))
 
 
 @query("geocode_coordinates", "AGG11", "PRJ8", oracle="""

@@ -17,3 +17,15 @@ def test_signal_tables_are_not_broadcast(spark, data_dir, name):
     """However small their files: Spark would judge them by these and not by their rows."""
     text = plan_text(PLANS[name](Archive(spark, data_dir)))
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+@pytest.mark.parametrize("name, heavy", [("minute_best", "path_tags"), ("timeline_day_rows", "custom_tags"),
+                                         ("grid_keys", "top_labels_json"), ("detail_record", "")])
+def test_joins_carry_what_the_result_reads(spark, data_dir, name, heavy):
+    """The long texts of a photo aren't shuffled for results that don't show them, nor are its tables broadcast."""
+    df = PLANS[name](Archive(spark, data_dir))
+    text = plan_text(df)
+    assert text.count("SortMergeJoin") >= 5 and "BroadcastHashJoin [sha1" not in text
+    for line in text.splitlines():  # what an exchange sends is the project or scan below it
+        if heavy and "Project" in line:
+            assert f" {heavy}#" not in line.replace(f"AS {heavy}#", "")

@@ -110,6 +110,6 @@ def detail_record(media: DataFrame, links: DataFrame, cache: DataFrame, technica
         section(aesthetic, "aesthetic"), section(semantic, "semantic", *label_fields(semantic)),
         section(summaries, "summary")]
     record = overview(media)
-    for part in parts:
-        record = record.join(part, "sha1", "left")
+    for part in parts:  # each about as long as the record, whatever a plan guesses
+        record = record.join(part.hint("merge"), "sha1", "left")
     return record

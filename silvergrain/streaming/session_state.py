@@ -42,12 +42,16 @@ class Sessions(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         found = [tuple(s) for s in self.sessions.get()]
         for part in rows:  # photos of one second first: a hot second is one session
-            ordered = part.sort_values(list(BEST), na_position="first", kind="stable")
-            seconds = ordered.groupby("ts", sort=True)
-            best = seconds.tail(1).set_index("ts")[list(BEST)].astype(object)
-            best = best.where(best.notna(), None)
-            sizes = seconds.size()
-            found += [(int(sizes[ts]), int(ts), int(ts), *best.loc[ts]) for ts in sizes.index]
+            seconds: dict[int, list] = {}  # most groups hold a few photos, for which frames cost more than the work
+            for ts, *best in zip(*(part[c].tolist() for c in ("ts", *BEST))):
+                best = tuple(None if v is None or v != v else v for v in best)
+                known = seconds.get(ts)
+                if known is None:
+                    seconds[ts] = [1, best]
+                else:
+                    known[0] += 1
+                    known[1] = max(known[1], best, key=rank)
+            found += [(size, int(ts), int(ts), *best) for ts, (size, best) in seconds.items()]
         found = merged(found, self.gap)
         self.sessions.put(found)
         columns = {f.name: [s[i] for s in found] for i, f in enumerate(self.stored.fields)}

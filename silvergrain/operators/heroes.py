@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.operators import clusters, sessions
+from silvergrain.operators import clusters, scopes, sessions
 from silvergrain.operators.ordering import top_rows
 from silvergrain.session import cut_lineage
 
@@ -16,11 +16,9 @@ def _best_first() -> list[Column]:
     return [F.desc(c) for c in BEST]
 
 
-def _buckets(members: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFrame:
+def _buckets(met: DataFrame, reduced: DataFrame, keys: list[str]) -> DataFrame:
     """Place buckets of the reduced photos with centroid, weight, best photo and encounter order."""
-    stamp = F.coalesce(-F.col("ts"), F.lit(1 << 40))
-    met = (members.where("has_gps").groupBy(*keys, "lat3", "lon3")
-           .agg(F.min(F.struct(stamp.alias("o"), "sha1")).alias("met")))
+    met = met.groupBy(*keys, "lat3", "lon3").agg(F.min("met").alias("met"))
     grouped = reduced.where("has_gps").groupBy(*keys, "lat3", "lon3").agg(
         clusters.whole_mean(F.sum(clusters.micro(F.col("latitude"))), F.count(F.lit(1))).alias("lat"),
         clusters.whole_mean(F.sum(clusters.micro(F.col("longitude"))), F.count(F.lit(1))).alias("lon"),
@@ -37,9 +35,20 @@ def hero_selection(members: DataFrame, keys: list[str], card: int = CARD, limit:
     place or region, phase 2 the best of the remaining reduced photos.
     ``members`` is as for :func:`sessions.reduced_candidates`, plus latitude and longitude.
     """
-    reduced = cut_lineage(sessions.reduced_candidates(members, keys))
+    met = members.where("has_gps").select(*keys, "lat3", "lon3", sessions.encounter().alias("met"))
+    return _selection(sessions.reduced_candidates(members, keys), met, keys, card, limit)
+
+
+def scope_selection(photos: DataFrame, card: int = CARD, limit: int = clusters.GROUP_LIMIT) -> DataFrame:
+    """:func:`hero_selection` of all scopes that photos belong to; ``photos`` also has what :func:`scopes.membership` reads."""
+    keys = ["scope_type", "scope_key"]
+    return _selection(*sessions.reduced_of_scopes(photos, scopes.leaf_rows, scopes.LEAF, scopes.membership, keys), keys, card, limit)
+
+
+def _selection(candidates: DataFrame, met: DataFrame, keys: list[str], card: int, limit: int) -> DataFrame:
+    reduced = cut_lineage(candidates)
     loose = reduced.where(~F.col("has_gps")).groupBy(*keys).agg(F.max(F.struct(*BEST)).alias("best"))
-    buckets = cut_lineage(_buckets(members, reduced, keys))
+    buckets = cut_lineage(_buckets(met, reduced, keys))
     slots = buckets.groupBy(*keys).agg(F.count(F.lit(1)).alias("places")).join(
         loose.select(*keys, F.lit(1).alias("held")), keys, "left")
     slots = slots.select(*keys, "places", (F.lit(card) - F.coalesce("held", F.lit(0))).alias("k"))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from silvergrain.operators.ordering import top_rows
 
 TIMELINE = ["decade", "year", "month"]
+#: What :func:`membership` reads.
+LEAF = ["decade", "year", "date_key", "folder_group", "web_path", "tags"]
 
 
 def timeline_cards(dated: DataFrame) -> DataFrame:
@@ -146,6 +148,24 @@ def membership(rows: DataFrame) -> DataFrame:
             .withColumn("scope", F.explode(scopes)).select("scope.*", *rows.columns))
 
 
+def leaf_rows(rows: DataFrame) -> DataFrame:
+    """A row of each photo for the timeline, its folder and its tags, with the columns ``LEAF`` of these alone.
+
+    Their :func:`membership` is that of the photos, so what leaves have in common can be combined before.
+    """
+    path = F.substring("web_path", F.lit(1), F.length("web_path") - F.length(F.substring_index("web_path", "/", -1)))
+    blank = {c: F.lit(None).cast("string") for c in LEAF} | {"web_path": F.lit(""), "tags": F.array().cast("array<string>")}
+
+    def leaf(**own) -> F.Column:
+        return F.struct(*[c.alias(name) for name, c in (blank | own).items()])
+
+    timeline = leaf(**{c: F.col(c) for c in ("decade", "year", "date_key", "folder_group")})
+    some = lambda s: (F.coalesce(s["decade"], s["year"], s["date_key"], s["folder_group"]).isNotNull()
+                      | (s["web_path"] != "") | (F.size(s["tags"]) > 0))
+    leaves = F.filter(F.array(timeline, leaf(web_path=path), leaf(tags=F.col("tags"))), some)
+    return rows.withColumn("leaf", F.explode(leaves)).select("leaf.*", *[c for c in rows.columns if c not in LEAF])
+
+
 def scope_sums(members: DataFrame, sign: str | None = None) -> DataFrame:
     """``scope_type, scope_key, photo_count, s1, s2, s3``: exact sums of slices of up to 60 bits of each id.
 

@@ -6,11 +6,16 @@ share a second, and one key holds one summary row per day.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silvergrain.session import cut_lineage
+
 DAY = 86400
+UNDATED = 1 << 40  # after every time, in browse order
 
 
 def representative(hero: str = "hero_score") -> Column:
@@ -18,6 +23,11 @@ def representative(hero: str = "hero_score") -> Column:
     return F.max(F.struct(hero, "final_dt", "sha1"))
 
 
+def encounter() -> Column:
+    """Place of a photo in browse order: newest first, undated last."""
+    return F.struct(F.coalesce(-F.col("ts"), F.lit(UNDATED)).alias("o"), "sha1")
+
+
 def cluster_starts(rows: DataFrame, keys: list[str], gap: int, aggs: dict[str, Column]) -> DataFrame:
     """Per (key, second): the aggregates of that second and its cluster start.
 
@@ -58,21 +68,22 @@ def piece_starts(pieces: DataFrame, keys: list[str], gap: int) -> DataFrame:
             .drop("day", "reached", "opens", "open_upto", "day_start"))
 
 
-def day_pieces(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Clusters inside each day of a key: ``first, last, n, best``.
+def day_pieces(rows: DataFrame, keys: list[str], gap: int, aggs: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """Clusters inside each day of a key: ``first, last`` and ``n, best``, or what ``aggs`` names.
 
-    They are pieces of the clusters of the key and of every group of keys, as more
+    ``aggs`` holds aggregates of the photos of a second, and of such aggregates by their name. The pieces are pieces of the clusters of the key and of every group of keys, as more
     photos only narrow gaps. So groups that hold each other are clustered from the
     pieces of the smallest, which are fewer than seconds wherever there are bursts.
     """
-    seconds = (rows.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("n"), representative().alias("best"))
+    aggs = aggs or {"n": (F.count(F.lit(1)), F.sum("n")), "best": (representative(), F.max("best"))}
+    seconds = (rows.groupBy(*keys, "ts").agg(*[photos.alias(name) for name, (photos, _) in aggs.items()])
                .withColumn("day", F.floor(F.col("ts") / DAY)))
     in_day = Window.partitionBy(*keys, "day").orderBy("ts")
     seconds = seconds.withColumn("prev", F.lag("ts").over(in_day))
     seconds = seconds.withColumn("opens", F.when(F.col("prev").isNull() | (F.col("ts") - F.col("prev") > gap), F.col("ts")))
     opened = F.max("opens").over(in_day.rowsBetween(Window.unboundedPreceding, 0))
     return (seconds.withColumn("first", opened).groupBy(*keys, "day", "first")
-            .agg(F.max("ts").alias("last"), F.sum("n").alias("n"), F.max("best").alias("best")).drop("day"))
+            .agg(F.max("ts").alias("last"), *[merged.alias(name) for name, (_, merged) in aggs.items()]).drop("day"))
 
 
 def joined_pieces(pieces: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -113,3 +124,23 @@ def reduced_candidates(rows: DataFrame, keys: list[str], gap: int = 15) -> DataF
     loose = rows.where(~F.col("has_gps")).select(*columns)
     return (reps.select(*columns).unionByName(undated).withColumn("has_gps", F.lit(True))
             .unionByName(loose.withColumn("has_gps", F.lit(False))))
+
+
+def reduced_of_scopes(rows: DataFrame, leaf_rows: Callable[[DataFrame], DataFrame], leaf: list[str],
+                      members: Callable[[DataFrame], DataFrame], keys: list[str], gap: int = 15) -> tuple[DataFrame, DataFrame]:
+    """As :func:`reduced_candidates` of ``members(rows)``, and ``keys, lat3, lon3, met``: whom each place meets first.
+
+    ``leaf_rows`` gives each photo once per family of scopes that hold each other, with that
+    family's columns ``leaf`` alone. Bursts are clustered there, and only their pieces become ``members``.
+    """
+    columns = ["hero_score", "final_dt", "sha1", "latitude", "longitude"]
+    buckets = [*keys, "lat3", "lon3"]
+    dated = F.col("has_gps") & F.col("ts").isNotNull()
+    pieces = cut_lineage(day_pieces(leaf_rows(rows.where(dated)), [*leaf, "lat3", "lon3"], gap, {
+        "best": (F.max(F.struct(*columns)), F.max("best")), "met": (F.min(encounter()), F.min("met"))}))
+    reps = (piece_starts(members(pieces).select(*buckets, "first", "last", "best"), buckets, gap)
+            .groupBy(*buckets, "cluster_start").agg(F.max("best").alias("best")).select(*buckets, "best.*"))
+    single = members(rows.where(~dated))
+    met = members(pieces).select(*buckets, "met").unionByName(
+        members(rows.where(F.col("has_gps") & ~dated)).select(*buckets, encounter().alias("met")))
+    return reps.withColumn("has_gps", F.lit(True)).unionByName(single.select(*buckets, *columns, "has_gps")), met

@@ -107,7 +107,7 @@ for _name in ("o_reduced", "o_buckets", "o_seeds", "o_settle"):
     "SELECT split_part(scope_key, '|', 1) AS scope_type, split_part(scope_key, '|', 2) AS scope_key,"))
 def hero16_all_scopes(a) -> DataFrame:
     """Cards of every decade, year, month, day, folder, tag and undated folder in one job."""
-    return heroes.hero_selection(scopes.membership(cut_lineage(a.placed)), SCOPE)
+    return heroes.scope_selection(cut_lineage(a.placed))
 
 
 view("o_day_reduced", """

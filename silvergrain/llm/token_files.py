@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silvergrain.llm.common import by_batch, crc_of_ids, hold, record, texts
-from silvergrain.llm.word_bpe import word_bpe
+from silvergrain.llm.word_bpe import GROUP_ROWS, bounds_of, grouped, word_bpe
 
 NO_ID = np.iinfo(np.int64).min
 PART_SCHEMA = "part int, name string, n_docs long, n_tokens long"
@@ -42,35 +42,32 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     One shuffle: texts are ranged by doc_id (and a hash of the text, which splits
     repeated ids). Parts are as many as Spark makes of the range.
     """
-    end = np.array([end_id], "<u2").tobytes()
-
     def write_part(batches):
         part, encoder = TaskContext.get().partitionId(), word_bpe(tokenizer)
         name, out, store = f"{part:06d}-{uuid.uuid4().hex}", None, None
         ids, lengths = [], []
         hold(encoder)
-        for batch in batches:
+        for batch in grouped(batches):
             if out is None:
                 store, path = fs.FileSystem.from_uri(folder)
                 store.create_dir(f"{path}/data", recursive=True)
                 out = store.open_output_stream(f"{path}/data/{name}.bin")
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = encoder.encode(text.as_py()) + end
-                out.write(tokens)
-                ids.append(NO_ID if doc_id is None else doc_id)
-                lengths.append(len(tokens) // 2)
+            tokens, bounds = encoder.encode_all(batch.column(1))
+            out.write(np.insert(tokens, bounds[1:], end_id).tobytes())
+            ids.append(batch.column(0).fill_null(NO_ID).to_numpy())
+            lengths.append(np.diff(bounds) + 1)
         if out is None:
             return
         out.close()
-        offsets = np.concatenate([[0], np.cumsum(np.array(lengths, "<i8"))]).astype("<i8")
+        ids, offsets = np.concatenate(ids), bounds_of(np.concatenate(lengths)).astype("<i8")
         with store.open_output_stream(f"{path}/data/{name}.idx") as index:
-            index.write(offsets.tobytes() + np.array(ids, "<i8").tobytes())
+            index.write(offsets.tobytes() + ids.astype("<i8").tobytes())
         yield record(part=([part], pa.int32()), name=[name], n_docs=([len(ids)], pa.int64()),
                      n_tokens=([int(offsets[-1])], pa.int64()))
 
     ordered = (texts(docs).repartitionByRange(F.col("doc_id"), F.xxhash64("text"))
                .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
-    by_batch(ordered, write_part, PART_SCHEMA).write.parquet(f"{folder}/parts")
+    by_batch(ordered, write_part, PART_SCHEMA, GROUP_ROWS).write.parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one small row per part
     parts = docs.sparkSession.read.schema(PART_SCHEMA).parquet(f"{folder}/parts")
     (parts.withColumn("token_base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvergrain.llm.common import by_batch, hold, record, texts
-from silvergrain.llm.word_bpe import word_bpe
+from silvergrain.llm.word_bpe import GROUP_ROWS, grouped, word_bpe
 from silvergrain.session import cut_lineage
 
 PIECES = "slice int, rank long, doc_id long, start long, length int, doc_tokens long, ids binary"
@@ -125,8 +125,6 @@ def closest_to(capacity: int, counts: dict[int, int]) -> dict[int, int]:
 
 def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
     """Encoded pieces, written once; ``rank`` counts pieces of the same length inside the slice."""
-    end = np.array([end_id], "<u2").tobytes()
-
     def encode(batches):
         part, encoder, seen = TaskContext.get().partitionId(), word_bpe(tokenizer), {}
         rows = []
@@ -139,13 +137,15 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFr
                           doc_id=(columns[1], pa.int64()), start=(columns[2], pa.int64()), length=(columns[3], pa.int32()),
                           doc_tokens=(columns[4], pa.int64()), ids=(columns[5], pa.binary()))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = encoder.encode(text.as_py()) + end
-                total = len(tokens) // 2
+        for batch in grouped(batches):
+            tokens, bounds = encoder.encode_all(batch.column(1))
+            tokens = np.insert(tokens, bounds[1:], end_id).tobytes()
+            bounds = (bounds + np.arange(len(bounds))).tolist()  # an end id after each document
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                total = last - first
                 for start in range(0, total, window):
-                    ids = tokens[2 * start:2 * (start + window)]
-                    length = len(ids) // 2
+                    length = min(window, total - start)
+                    ids = tokens[2 * (first + start):2 * (first + start + length)]
                     rows.append((seen.get(length, 0), doc_id, start, length, total, ids))
                     seen[length] = seen.get(length, 0) + 1
                 if len(rows) >= OUT_ROWS:
@@ -153,7 +153,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFr
         if rows:
             yield out()
 
-    return cut_lineage(by_batch(texts(docs), encode, PIECES))
+    return cut_lineage(by_batch(texts(docs), encode, PIECES, GROUP_ROWS))
 
 
 def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:

@@ -26,10 +26,10 @@ from tokenizers import Tokenizer
 #: One of the kinds of pieces.
 LETTER_RUN = r"[\p{L}]+|"
 
-#: Entries of each generation of the memos, of odd chunks and of pieces; about 100 MB per worker at most.
-CHUNK_ENTRIES, PIECE_ENTRIES = 100_000, 260_000
+#: Entries of each generation of the memos, of odd chunks and of pieces; less than 100 MB per worker.
+CHUNK_ENTRIES, PIECE_ENTRIES = 100_000, 160_000
 #: Bytes of the texts that are cut at once (one text at least), and their number.
-GROUP_BYTES, GROUP_ROWS = 4 << 20, 10_000
+GROUP_BYTES, GROUP_ROWS = 2 << 20, 10_000
 #: Longer chunks are encoded anew each time, so that entries stay small.
 MEMO_CHARS = 64
 
@@ -72,14 +72,18 @@ class Cut(NamedTuple):
 
 
 def bounds_of(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    bounds = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=bounds[1:])
+    return bounds
 
 
 def joined(flat: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``wanted`` of ``flat`` one after the other, and their bounds."""
     lengths = np.diff(bounds)[wanted]
     out = bounds_of(lengths)
-    return flat[np.repeat(bounds[wanted] - out[:-1], lengths) + np.arange(out[-1])], out
+    at = np.repeat(bounds[wanted] - out[:-1], lengths)
+    at += np.arange(out[-1])
+    return flat[at], out
 
 
 def grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -90,6 +94,7 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Itera
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+            pa.default_memory_pool().release_unused()  # cutting takes several times the group's bytes
 
 
 class WordBpe:

@@ -23,12 +23,29 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
 from silvergrain.llm.common import by_batch, hold, record, texts
-from silvergrain.llm.word_bpe import CHUNK_ENTRIES, MEMO_CHARS, PIECE_ENTRIES, Memo, WordBpe, as_bytes, as_letters, chunks_of
+from silvergrain.llm.word_bpe import (
+    CHUNK_ENTRIES,
+    GROUP_ROWS,
+    MEMO_CHARS,
+    PIECE_ENTRIES,
+    Memo,
+    WordBpe,
+    as_bytes,
+    as_letters,
+    bounds_of,
+    chunks_of,
+    grouped,
+    is_odd,
+)
+
+#: Entries of each generation of the memos of neighbours and of signs.
+PAIR_ENTRIES = 160_000
 
 
 class PrefixCounts:
@@ -49,22 +66,21 @@ class PrefixCounts:
             for end in range(1, len(bare)):
                 self.table.setdefault(bare[:end], 0)
             self.table[bare] = self.table.get(bare, 0) | kind
-        self.agree_inside = Memo(self._agree_inside, PIECE_ENTRIES)
-        self.agree_ended = Memo(self._agree_ended, PIECE_ENTRIES)
+        self.agree_inside = Memo(self._agree_inside, PAIR_ENTRIES)
+        self.agree_ended = Memo(self._agree_ended, PAIR_ENTRIES)
         self.piece_counts = Memo(self.count_piece_prefixes, PIECE_ENTRIES)
-        self.chunk_totals = Memo(self.count_chunk, CHUNK_ENTRIES)
+        self.odd_totals = Memo(self.count_odd, CHUNK_ENTRIES)
         normalize = self.words.library.normalizer.normalize_str
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.words.special, key=len, reverse=True))) or r"(?!)")
-        self.normal = Memo(normalize, PIECE_ENTRIES)
+        self.normal = Memo(normalize, PAIR_ENTRIES)
         #: Whether the second of two characters leaves the first alone when both are normalised.
-        self.apart = Memo(lambda pair: normalize(pair[0] + pair[1]) == normalize(pair[0]) + normalize(pair[1]), PIECE_ENTRIES)
+        self.apart = Memo(lambda pair: normalize(pair[0] + pair[1]) == normalize(pair[0]) + normalize(pair[1]), PAIR_ENTRIES)
         self.cut_special = Memo(self._cut_special, 1_000)
         self.last_long: tuple[str, object] = ("", b"\0")
 
     def release(self) -> None:
         self.words.release()
-        for memo in (self.agree_inside, self.agree_ended, self.piece_counts, self.chunk_totals, self.normal, self.apart,
-                     self.cut_special):
+        for memo in (self.agree_inside, self.agree_ended, self.piece_counts, self.odd_totals, self.normal, self.apart, self.cut_special):
             memo.forget()
         self.last_long = "", b"\0"
 
@@ -105,6 +121,12 @@ class PrefixCounts:
             return self.count_odd(chunk)
         return int(sum(self.stored(as_letters(p))[-1] for p in pieces))
 
+    def count_part(self, part: str) -> int:
+        """Tokens of a piece, or of a chunk that the library must split."""
+        if is_odd(part):
+            return self.odd_totals[part]
+        return int(self.stored(as_letters(part))[-1])
+
     def segments(self, chunk: str) -> list[tuple[str, bool]]:
         """A chunk cut at its special strings, and whether a part is one."""
         out, at = [], 0
@@ -186,7 +208,7 @@ class PrefixCounts:
         return counts
 
     def count(self, text: str) -> int:
-        return sum(map(self.chunk_totals.__getitem__, chunks_of(text)))
+        return sum(map(self.count_chunk, chunks_of(text)))
 
     def chunk_prefixes(self, chunk: str) -> list[int]:
         """Tokens of every prefix of a chunk, by code points, the empty one first.
@@ -219,20 +241,29 @@ class PrefixCounts:
         return np.array(out, np.int64)
 
     def within(self, text: str, budget: int) -> tuple[int, int]:
-        """(tokens of the text, code points of its longest prefix of at most ``budget`` tokens).
+        """(tokens of the text, code points of its longest prefix of at most ``budget`` tokens)."""
+        totals, chars = self.within_all(pa.array([text]), budget)
+        return int(totals[0]), int(chars[0])
+
+    def within_all(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of each text.
 
         Counts at chunk borders never fall, so only the chunk that crosses the
         budget is looked into.
         """
-        chunks = chunks_of(text)
-        totals = np.cumsum(np.fromiter(map(self.chunk_totals.__getitem__, chunks), np.int64, len(chunks)))
-        if totals[-1] <= budget:
-            return int(totals[-1]), len(text)
-        over = int(np.searchsorted(totals, budget, "right"))
-        left = budget - (int(totals[over - 1]) if over else 0)
-        start = sum(map(len, chunks[:over])) + over
-        inside = max(i for i, c in enumerate(self.chunk_prefixes(chunks[over])) if c <= left)
-        return int(totals[-1]), start + inside
+        cut = self.words.cut(texts)
+        parts = np.fromiter(map(self.count_part, cut.pieces), np.int64, len(cut.pieces))
+        own = np.diff(bounds_of(parts[cut.chunk_pieces])[cut.chunk_bounds])
+        before = bounds_of(own[cut.text_chunks])  # tokens before each chunk
+        totals, chars = np.diff(before[cut.text_bounds]), pc.utf8_length(texts).to_numpy().astype(np.int64)
+        for row in np.flatnonzero(totals > budget).tolist():
+            first, last = cut.text_bounds[row:row + 2].tolist()
+            over = first + int(np.searchsorted(before[first + 1:last + 1], before[first] + budget, "right"))
+            start = int(cut.chunk_chars[cut.text_chunks[first:over]].sum()) + over - first
+            chunk = texts[row].as_py()[start:start + int(cut.chunk_chars[cut.text_chunks[over]])]
+            left = budget - int(before[over] - before[first])
+            chars[row] = start + max(i for i, c in enumerate(self.chunk_prefixes(chunk)) if c <= left)
+        return totals, chars
 
 
 @lru_cache(maxsize=2)
@@ -248,16 +279,9 @@ def token_counts(docs: DataFrame, limit: int = 2048, tokenizer: str = "word_bpe_
     def count(batches):
         counter = prefix_counter(tokenizer)
         hold(counter)
-        for batch in batches:
-            n_bytes, n_tokens, cut = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                total, chars = counter.within(text, limit)
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(total)
-                cut.append(chars)
-            tokens = np.array(n_tokens, np.int64)
-            yield record(doc_id=batch.column(0), n_bytes=(n_bytes, pa.int64()), n_tokens=tokens,
-                         over_limit=tokens > limit, cut_chars=(cut, pa.int64()))
-
-    return by_batch(texts(docs), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+        for batch in grouped(batches):
+            tokens, cut = counter.within_all(batch.column(1), limit)
+            yield record(doc_id=batch.column(0), n_bytes=pc.binary_length(batch.column(1)).cast(pa.int64()), n_tokens=tokens,
+                         over_limit=tokens > limit, cut_chars=cut)
+
+    return by_batch(texts(docs), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long", GROUP_ROWS)

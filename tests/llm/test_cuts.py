@@ -3,9 +3,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from helpers import PROSE, ids_of
 
+from silvergrain.llm import prefix_counts
 from silvergrain.llm.word_bpe import grouped, word_bpe
 
 SIGNS = ["The", "the", "THE,", "don't", "'tis", "\"'s", "!!", "a1²b", "éÀ", "<|endoftext|>", "<|", "日本", "İx", "\x0b", "\x00", "\xa0", " ", "\n", "\t", "…"]
@@ -31,6 +33,15 @@ def test_a_piece_is_looked_up_once_for_many_texts():
     assert len(cut.text_chunks) == 6000 and sorted(p for p in cut.pieces if p) == [*'"', "'s", *",.0123456", "fox"]
 
 
+def test_counts_within_a_budget_equal_the_prefixes():
+    counter = prefix_counts.prefix_counter("word_bpe_49k.json")
+    texts = mixed(200)
+    for budget in (0, 2, 5):
+        totals, chars = counter.within_all(pa.array(texts), budget)
+        assert totals.tolist() == [len(ids_of(t)) for t in texts]
+        assert chars.tolist() == [int(np.flatnonzero(counter.prefixes(t) <= budget)[-1]) for t in texts]
+
+
 def test_groups_are_bounded_and_whole():
     texts = ["x" * n for n in (3, 0, 50, 4, 4, 4, 0)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
